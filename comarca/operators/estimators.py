@@ -35,9 +35,27 @@ def _present(df: DataFrame, name: str) -> Column:
     return ~is_blank(F.col(name)) if _is_text(df, name) else F.col(name).isNotNull()
 
 
-def _parsed(df: DataFrame, name: str, dtype: str) -> Column:
-    """Strict: text that is no number is an error under ANSI mode."""
-    return strip(F.col(name)).cast(dtype) if _is_text(df, name) else F.col(name).cast(dtype)
+def _stripped(df: DataFrame, name: str) -> Column:
+    return strip(F.col(name)) if _is_text(df, name) else F.col(name)
+
+
+def weighted_totals(
+    persons: DataFrame, specs: Sequence[Share], key: str, weight: str, weight_type: str = WEIGHT_TYPE
+) -> DataFrame:
+    """Total weight and the weight of every positive answer per key: one scan, one shuffle.
+
+    Rows without key or weight are left out. The weight is parsed strictly: text that is no
+    number is an error under ANSI mode.
+    """
+    kept = persons.where(_present(persons, key) & _present(persons, weight)).select(
+        _stripped(persons, key).alias("_key"),
+        _stripped(persons, weight).cast(weight_type).alias("_weight"),
+        *[spec.holds(persons).alias(spec.variable) for spec in specs],
+    )
+    return kept.groupBy("_key").agg(
+        F.sum("_weight").alias("_total"),
+        *[F.sum(F.when(F.col(spec.variable), F.col("_weight"))).alias(spec.variable) for spec in specs],
+    )
 
 
 def weighted_shares(
@@ -46,21 +64,22 @@ def weighted_shares(
     entity: str = fixed.SURVEY_ENTITY_COLUMN,
     weight: str = fixed.SURVEY_WEIGHT_COLUMN,
     weight_type: str = WEIGHT_TYPE,
+    entity_of: DataFrame | None = None,
 ) -> DataFrame:
-    """All weighted shares of one microdata table in a single scan and a single shuffle.
+    """All weighted shares of one microdata table by entity.
 
-    Rows without entity or weight are left out; everyone else counts in the denominator,
-    whatever the answer. An entity whose weights add up to 0 is left out.
+    Everyone with entity and weight counts in the denominator, whatever the answer. An entity
+    whose weights add up to 0 is left out. Where persons carry the code of a smaller unit in
+    place of the entity, ``entity_of`` (``unit, cve_ent``, one row per unit) leads from one to
+    the other: totals are summed per unit first and only then joined, on the same partitioning.
     """
-    kept = persons.where(_present(persons, entity) & _present(persons, weight)).select(
-        strip(F.col(entity).cast("string")).alias("cve_ent"),
-        _parsed(persons, weight, weight_type).alias("_weight"),
-        *[spec.holds(persons).alias(spec.variable) for spec in specs],
-    )
-    totals = kept.groupBy("cve_ent").agg(
-        F.sum("_weight").alias("_total"),
-        *[F.sum(F.when(F.col(spec.variable), F.col("_weight"))).alias(spec.variable) for spec in specs],
-    )
+    totals = weighted_totals(persons, specs, entity, weight, weight_type)
+    if entity_of is None:
+        totals = totals.withColumn("cve_ent", F.col("_key").cast("string"))
+    else:
+        sums = [name for name in totals.columns if name != "_key"]
+        units = totals.join(entity_of, F.col("_key") == F.col("unit"), "inner")
+        totals = units.groupBy("cve_ent").agg(*[F.sum(name).alias(name) for name in sums])
     return totals.where(F.col("_total") != 0).select(
         "cve_ent", *[_share(F.col(spec.variable), F.col("_total")).alias(spec.variable) for spec in specs]
     )

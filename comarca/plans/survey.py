@@ -2,58 +2,95 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
 from comarca import fixed_values as fixed
 from comarca.operators import estimators, observations
 from comarca.sinks import publish
-from comarca.specs import by_source_table, direct_values, locality_shares, survey_shares
+from comarca.specs import DirectValue, Metric, Share, by_source_table, direct_values, locality_shares, survey_shares
+
+
+@dataclass(frozen=True)
+class Microdata:
+    """Persons with their entity (or unit, see ``entity_of``) and weight columns."""
+
+    persons: DataFrame
+    entity: str = fixed.SURVEY_ENTITY_COLUMN
+    weight: str = fixed.SURVEY_WEIGHT_COLUMN
+    weight_type: str = estimators.WEIGHT_TYPE
+    entity_of: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class SurveyInputs:
     """Raw tables. ``microdata`` and ``published`` are keyed by the source table of the specs."""
 
-    microdata: dict[str, DataFrame]
+    microdata: dict[str, Microdata]
     published: dict[str, DataFrame]
     connectivity: DataFrame
     localities: DataFrame
     master: DataFrame
+    locality_order: str = "ID"
 
 
-def survey_specs() -> list:
-    """All metrics in catalog order."""
-    return [*survey_shares(), *direct_values(), *locality_shares()]
+@dataclass(frozen=True)
+class SurveyMetrics:
+    """What to measure; the published metrics unless others are declared."""
+
+    shares: tuple[Share, ...] = field(default_factory=lambda: tuple(survey_shares()))
+    direct: tuple[DirectValue, ...] = field(default_factory=lambda: tuple(direct_values()))
+    localities: tuple[Share, ...] = field(default_factory=lambda: tuple(locality_shares()))
+
+    @property
+    def all(self) -> list[Metric]:
+        """Catalog order."""
+        return [*self.shares, *self.direct, *self.localities]
+
+    @property
+    def variables(self) -> list[str]:
+        return [spec.variable for spec in self.all]
+
+
+def survey_families(
+    inputs: SurveyInputs, year: int = fixed.SURVEY_YEAR, metrics: SurveyMetrics | None = None
+) -> list[DataFrame]:
+    """Long rows of each family. Every raw table is scanned once."""
+    metrics = metrics or SurveyMetrics()
+    families = []
+    for table, specs in by_source_table(metrics.shares).items():
+        source = inputs.microdata[table]
+        shares = estimators.weighted_shares(
+            source.persons, specs, source.entity, source.weight, source.weight_type, source.entity_of
+        )
+        families.append(estimators.share_observations(shares, specs, inputs.master, year, fixed.SURVEY_SOURCE))
+    for spec in metrics.direct:
+        families.append(estimators.direct_observations(inputs.published[spec.source_table], spec, inputs.master, year))
+    if metrics.localities:
+        last = estimators.latest_localities(inputs.localities, inputs.locality_order)
+        shares = estimators.locality_shares(inputs.connectivity, last, metrics.localities, year)
+        families.append(
+            estimators.share_observations(shares, metrics.localities, inputs.master, year, fixed.LOCALITY_SOURCE)
+        )
+    return families
 
 
-def survey_observations(inputs: SurveyInputs, year: int = fixed.SURVEY_YEAR, locality_order: str = "ID") -> DataFrame:
-    """The long table of all three families. Every raw table is scanned once."""
-    families = [
-        estimators.share_observations(
-            estimators.weighted_shares(inputs.microdata[table], specs), specs, inputs.master, year, fixed.SURVEY_SOURCE
-        )
-        for table, specs in by_source_table(survey_shares()).items()
-    ]
-    families += [
-        estimators.direct_observations(inputs.published[spec.source_table], spec, inputs.master, year)
-        for spec in direct_values()
-    ]
-    specs = locality_shares()
-    shares = estimators.locality_shares(
-        inputs.connectivity, estimators.latest_localities(inputs.localities, locality_order), specs, year
-    )
-    families.append(estimators.share_observations(shares, specs, inputs.master, year, fixed.LOCALITY_SOURCE))
-    return observations.append(families)
+def survey_observations(
+    inputs: SurveyInputs, year: int = fixed.SURVEY_YEAR, metrics: SurveyMetrics | None = None
+) -> DataFrame:
+    """The long table of all families."""
+    return observations.append(survey_families(inputs, year, metrics))
 
 
-def survey_wide(long: DataFrame, master: DataFrame, year: int = fixed.SURVEY_YEAR) -> DataFrame:
-    return observations.wide_records(long, master, [spec.variable for spec in survey_specs()], year)
+def survey_wide(
+    long: DataFrame, master: DataFrame, year: int = fixed.SURVEY_YEAR, metrics: SurveyMetrics | None = None
+) -> DataFrame:
+    return observations.wide_records(long, master, (metrics or SurveyMetrics()).variables, year)
 
 
 def publish_survey(
-    inputs: SurveyInputs, folder: str, updated_at: str, public_folder: str | None = None, locality_order: str = "ID"
+    inputs: SurveyInputs, folder: str, updated_at: str, public_folder: str | None = None
 ) -> None:
     """Write the long table, then derive everything else from what was written.
 
@@ -61,7 +98,7 @@ def publish_survey(
     nothing next to the scans, and nothing of it is computed twice.
     """
     spark = inputs.master.sparkSession
-    long = survey_observations(inputs, locality_order=locality_order)
+    long = survey_observations(inputs)
     stored = f"{folder}/{fixed.SURVEY_LONG_ID}/parquet"
     long.write.mode("overwrite").parquet(stored)
     long = spark.read.parquet(stored)
@@ -77,7 +114,7 @@ def publish_survey(
         copies.append(f"{public_folder}/{fixed.SURVEY_WIDE_ID}")
     publish.write_wide_document(
         survey_wide(long, inputs.master),
-        observations.metric_catalog(spark, survey_specs()),
+        observations.metric_catalog(spark, SurveyMetrics().all),
         publish.envelope(long, updated_at, fixed.SURVEY_WIDE_ID, fixed.SURVEY_SOURCE),
         copies,
     )
