@@ -52,11 +52,9 @@ def to_geojson(geometry: Column) -> Column:
 
 def bounds(geometry: Column) -> Column:
     points = F.flatten(F.flatten(geometry))
-    xs = F.transform(points, lambda p: p["x"])
-    ys = F.transform(points, lambda p: p["y"])
     return F.struct(
-        F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"),
-        F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max"),
+        F.array_min(points["x"]).alias("x_min"), F.array_min(points["y"]).alias("y_min"),
+        F.array_max(points["x"]).alias("x_max"), F.array_max(points["y"]).alias("y_max"),
     )
 
 
@@ -97,6 +95,11 @@ def inside(edge_list: Column, x: Column, y: Column) -> Column:
     return F.aggregate(edge_list, F.lit(0), step) == 1
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use`` as a variable."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _ring_moments(ring: Column, origin: Column) -> Column:
     """Doubled signed area and its moments about ``origin`` (a vertex, which keeps digits)."""
 
@@ -104,62 +107,71 @@ def _ring_moments(ring: Column, origin: Column) -> Column:
         x1, y1 = e["x1"] - origin["x"], e["y1"] - origin["y"]
         x2, y2 = e["x2"] - origin["x"], e["y2"] - origin["y"]
         turn = x1 * y2 - x2 * y1
-        return F.struct(
-            (sums["a"] + turn).alias("a"),
-            (sums["mx"] + (x1 + x2) * turn).alias("mx"),
-            (sums["my"] + (y1 + y2) * turn).alias("my"),
-        )
+        return _moments(sums["a"] + turn, sums["mx"] + (x1 + x2) * turn, sums["my"] + (y1 + y2) * turn)
 
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    return F.aggregate(ring_edges(ring), zero, step)
+    return F.aggregate(ring_edges(ring), _moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step)
 
 
-def _oriented_moments(geometry: Column) -> Column:
-    """Moments of every ring with outer rings positive and holes negative."""
-    origin = geometry[0][0][0]
+def _moments(a: Column, mx: Column, my: Column) -> Column:
+    return F.struct(a.alias("a"), mx.alias("mx"), my.alias("my"))
 
-    def of_part(part: Column) -> Column:
-        def oriented(ring: Column, index: Column) -> Column:
-            m = _ring_moments(ring, origin)
-            sign = F.when(index == 0, F.signum(m["a"])).otherwise(-F.signum(m["a"]))
-            return F.struct(
-                (m["a"] * sign).alias("a"), (m["mx"] * sign).alias("mx"), (m["my"] * sign).alias("my")
-            )
 
-        return F.transform(part, oriented)
+def _total_moments(geometry: Column, origin: Column) -> Column:
+    """Moments over all rings, outer rings counting positive and holes negative."""
 
-    return F.flatten(F.transform(geometry, of_part))
+    def oriented(ring: Column, index: Column) -> Column:
+        def signed(m: Column) -> Column:
+            sign = F.signum(m["a"]) * F.when(index == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+            return _moments(m["a"] * sign, m["mx"] * sign, m["my"] * sign)
 
+        return _bind(_ring_moments(ring, origin), signed)
 
-def _sum(items: Column, field: str) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda total, item: total + item[field])
+    rings = F.flatten(F.transform(geometry, lambda part: F.transform(part, oriented)))
+    return F.aggregate(
+        rings,
+        _moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)),
+        lambda sums, m: _moments(sums["a"] + m["a"], sums["mx"] + m["mx"], sums["my"] + m["my"]),
+    )
 
 
 def area(geometry: Column) -> Column:
     """Planar area, holes taken out."""
-    return _sum(_oriented_moments(geometry), "a") / F.lit(2.0)
+    return _bind(geometry, lambda g: _total_moments(g, g[0][0][0])["a"] / F.lit(2.0))
+
+
+def _outline(geometry: Column) -> Column:
+    """Length of all edges and its moments, in the fields of an area moment."""
+
+    def step(sums: Column, e: Column) -> Column:
+        length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+        return _moments(
+            sums["a"] + length,
+            sums["mx"] + length * (e["x1"] + e["x2"]) / 2.0,
+            sums["my"] + length * (e["y1"] + e["y2"]) / 2.0,
+        )
+
+    return F.aggregate(edges(geometry), _moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step)
 
 
 def centroid(geometry: Column) -> Column:
     """Area-weighted centroid; a polygon without area falls back to its length-weighted outline."""
-    origin = geometry[0][0][0]
-    moments = _oriented_moments(geometry)
-    doubled = _sum(moments, "a")
-    spans = F.transform(
-        edges(geometry),
-        lambda e: F.struct(
-            F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]).alias("d"),
-            (F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]) * (e["x1"] + e["x2"]) / 2.0).alias("mx"),
-            (F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]) * (e["y1"] + e["y2"]) / 2.0).alias("my"),
-        ),
-    )
 
-    def along(axis: str) -> Column:
-        by_area = origin[axis] + F.try_divide(_sum(moments, f"m{axis}"), doubled * 3.0)
-        by_length = F.try_divide(_sum(spans, f"m{axis}"), _sum(spans, "d"))
-        return F.when(doubled != 0.0, by_area).otherwise(F.coalesce(by_length, origin[axis]))
+    def of_shape(g: Column) -> Column:
+        origin = g[0][0][0]
+
+        def by_area(m: Column) -> Column:
+            return point(origin["x"] + m["mx"] / (m["a"] * 3.0), origin["y"] + m["my"] / (m["a"] * 3.0))
+
+        def by_length(m: Column) -> Column:
+            return point(
+                F.coalesce(F.try_divide(m["mx"], m["a"]), origin["x"]), F.coalesce(F.try_divide(m["my"], m["a"]), origin["y"])
+            )
+
+        return _bind(
+            _total_moments(g, origin), lambda m: F.when(m["a"] != 0.0, by_area(m)).otherwise(_bind(_outline(g), by_length))
+        )
 
-    return F.struct(along("x").alias("x"), along("y").alias("y"))
+    return _bind(geometry, of_shape)
 
 
 def lambert(lon: Column, lat: Column, crs: dict[str, float] = fixed.LCC_MEXICO) -> tuple[Column, Column]:

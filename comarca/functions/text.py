@@ -25,6 +25,16 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal. Long column lists are built as SQL text, one call per column."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip_sql(text: str) -> str:
+    """:func:`strip` for SQL text."""
+    return f"btrim({text}, {quoted(WHITESPACE)})"
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text.cast("string")), F.lit("")) == ""
 
@@ -70,17 +80,19 @@ def _mapping(rule: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
 
 
 def _map_characters(text: Column, rule: Callable[[str], str]) -> Column:
-    """Apply a character rule; pure ASCII text skips it, one-to-many characters are a rare branch."""
+    """Apply a character rule: first one-to-one characters, then the few that become several."""
     sources, targets, longer = _mapping(rule)
-    expansions = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda char: F.coalesce(F.try_element_at(expansions, char), char)), ""
-    )
-    needs_expansion = text.rlike("[" + "".join(longer) + "]")
-    return F.when(
-        text.rlike(_NON_ASCII),
-        F.translate(F.when(needs_expansion, expanded).otherwise(text), sources, targets),
-    ).otherwise(text)
+    table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+
+    def expanded(part: Column) -> Column:
+        left = F.array_distinct(F.regexp_extract_all(part, F.lit(f"({_NON_ASCII})"), F.lit(1)))
+        return F.aggregate(left, part, lambda done, char: F.replace(done, char, F.coalesce(F.try_element_at(table, char), char)))
+
+    # Mapped text is bound to a variable: what is left outside ASCII is usually nothing.
+    mapped = F.transform(
+        F.array(F.translate(text, sources, targets)), lambda part: F.when(part.rlike(_NON_ASCII), expanded(part)).otherwise(part)
+    )[0]
+    return F.when(text.rlike(_NON_ASCII), mapped).otherwise(text)
 
 
 def fold(text: Column) -> Column:

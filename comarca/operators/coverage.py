@@ -29,8 +29,9 @@ def located_tiles(
     tiles: DataFrame, municipalities: DataFrame, geometry: str = "geometria", step: float | None = None
 ) -> DataFrame:
     """Each tile with the municipality its centroid lies in; the tile keeps its own geometry."""
-    centred = tiles.withColumn("_centro", geo.centroid(F.col(geometry)))
-    centred = centred.withColumn("_x", F.col("_centro.x")).withColumn("_y", F.col("_centro.y")).drop("_centro")
+    # A one-row generator keeps the optimizer from copying the centroid into the join condition.
+    centre = F.inline(F.array(geo.centroid(F.col(geometry)))).alias("_x", "_y")
+    centred = tiles.select("*", centre)
     shapes = municipalities.withColumnRenamed("geometria", "_forma")
     return within_join(centred, shapes, "_x", "_y", geometry="_forma", step=step).drop("_x", "_y")
 

@@ -6,13 +6,13 @@ entity or locality is reduced map-side and never gathers in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
-from comarca.functions.numeric import number_or_zero, ratio, round_half_even
+from comarca.functions.numeric import number_or_zero, round_half_even
 from comarca.functions.text import is_blank, strip, zero_fill
 from comarca.operators.observations import observations
 from comarca.specs import DirectValue, Metric, Share
@@ -23,8 +23,13 @@ WEIGHT_TYPE = "decimal(18,4)"
 LOCALITY_WEIGHTS = ("poblacion", "hogares", "localidades")
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.coalesce(ratio(part, whole), F.lit(0.0)) * F.lit(100.0)
+def _share(part: str, whole: str) -> str:
+    """The share in percent as SQL; nobody positive is 0, not missing."""
+    return f"coalesce(try_divide(cast(`{part}` as double), cast(`{whole}` as double)), 0D) * 100D"
+
+
+def _columns(expressions: Iterable[tuple[str, str]]) -> list[Column]:
+    return [F.expr(f"{sql} as `{name}`") for sql, name in expressions]
 
 
 def _is_text(df: DataFrame, name: str) -> bool:
@@ -50,11 +55,11 @@ def weighted_totals(
     kept = persons.where(_present(persons, key) & _present(persons, weight)).select(
         _stripped(persons, key).alias("_key"),
         _stripped(persons, weight).cast(weight_type).alias("_weight"),
-        *[spec.holds(persons).alias(spec.variable) for spec in specs],
+        *_columns((spec.holds(persons), spec.variable) for spec in specs),
     )
     return kept.groupBy("_key").agg(
         F.sum("_weight").alias("_total"),
-        *[F.sum(F.when(F.col(spec.variable), F.col("_weight"))).alias(spec.variable) for spec in specs],
+        *_columns((f"sum(case when `{spec.variable}` then _weight end)", spec.variable) for spec in specs),
     )
 
 
@@ -81,7 +86,7 @@ def weighted_shares(
         units = totals.join(entity_of, F.col("_key") == F.col("unit"), "inner")
         totals = units.groupBy("cve_ent").agg(*[F.sum(name).alias(name) for name in sums])
     return totals.where(F.col("_total") != 0).select(
-        "cve_ent", *[_share(F.col(spec.variable), F.col("_total")).alias(spec.variable) for spec in specs]
+        "cve_ent", *_columns((_share(spec.variable, "_total"), spec.variable) for spec in specs)
     )
 
 
@@ -130,26 +135,27 @@ def locality_shares(
     """
     of_year = connectivity.where(strip(F.col(year_column).cast("string")) == str(year)).select(
         F.coalesce(strip(F.col(key).cast("string")), F.lit("")).alias("cvegeo"),
-        *[spec.holds(connectivity).alias(spec.variable) for spec in specs],
+        *_columns((spec.holds(connectivity), spec.variable) for spec in specs),
     )
     counted = of_year.groupBy("cvegeo").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(spec.variable)).alias(spec.variable) for spec in specs]
+        F.count(F.lit(1)).alias("_rows"),
+        *_columns((f"count_if(`{spec.variable}`)", spec.variable) for spec in specs),
     )
     joined = counted.join(localities, "cvegeo", "inner")
 
-    def weighed(weight: str, count: str) -> Column:
-        return F.sum(F.col(weight) * F.col(count).cast("decimal(18,0)"))
+    def weighed(weight: str, count: str) -> str:
+        return f"sum(`{weight}` * cast(`{count}` as decimal(18,0)))"
 
     totals = joined.groupBy("cve_ent").agg(
-        *[weighed(weight, "_rows").alias(f"_{weight}") for weight in LOCALITY_WEIGHTS],
-        *[weighed(spec.weight, spec.variable).alias(spec.variable) for spec in specs],
+        *_columns((weighed(weight, "_rows"), f"_{weight}") for weight in LOCALITY_WEIGHTS),
+        *_columns((weighed(spec.weight, spec.variable), spec.variable) for spec in specs),
     )
     return totals.select(
         "cve_ent",
-        *[
-            F.when(F.col(f"_{spec.weight}") != 0, _share(F.col(spec.variable), F.col(f"_{spec.weight}"))).alias(spec.variable)
+        *_columns(
+            (f"case when `_{spec.weight}` <> 0 then {_share(spec.variable, '_' + spec.weight)} end", spec.variable)
             for spec in specs
-        ],
+        ),
     )
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
+from comarca.functions.text import quoted
 from comarca.specs import ContextVariable, Metric
 
 CATALOG_SCHEMA = "variable_id string, categoria_id string, label string, unidad string, source_table string"
@@ -29,24 +29,13 @@ def observations(
     it is not part of the published table.
     """
     sequence = F.col("secuencia") if "secuencia" in values.columns else F.lit(0).cast("long")
-    rows = values.select(
-        "cve_ent",
-        sequence.alias("secuencia"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(spec.categoria).alias("categoria"),
-                        F.lit(spec.variable).alias("variable"),
-                        F.col(spec.variable).cast("double").alias("valor"),
-                        F.lit(anio).cast("int").alias("anio"),
-                        F.lit(spec.unidad).alias("unidad"),
-                    )
-                    for spec, anio in specs
-                ]
-            )
-        ),
-    ).where(F.col("valor").isNotNull() & ~F.isnan("valor"))
+    items = ", ".join(
+        f"named_struct('categoria', {quoted(spec.categoria)}, 'variable', {quoted(spec.variable)}, "
+        f"'valor', cast(`{spec.variable}` as double), 'anio', {int(anio)}, 'unidad', {quoted(spec.unidad)})"
+        for spec, anio in specs
+    )
+    unpivoted = values.select("cve_ent", sequence.alias("secuencia"), F.expr(f"inline(array({items}))"))
+    rows = unpivoted.where(F.col("valor").isNotNull() & ~F.isnan("valor"))
     if rounded is not None:
         rows = rows.withColumn("valor", rounded(F.col("valor")))
     entities = master.select("cve_ent", "state_code", "estado")
@@ -68,27 +57,23 @@ def pivot_metrics(long: DataFrame, variables: Sequence[str], keys: Sequence[str]
     Last means the highest ``secuencia``, then the highest value, so the result does not
     depend on how the rows are spread over files and tasks.
     """
-    if "secuencia" not in long.columns:
-        return long.groupBy(*keys).agg(
-            *[F.max(F.when(F.col("variable") == name, F.col("valor"))).alias(name) for name in variables]
-        )
-    last = F.struct("secuencia", "valor")
+    wanted, value = ("struct(secuencia, valor)", ".valor") if "secuencia" in long.columns else ("valor", "")
     return long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("variable") == name, last)).getField("valor").alias(name) for name in variables]
+        *[F.expr(f"max(case when variable = {quoted(name)} then {wanted} end){value} as `{name}`") for name in variables]
     )
 
 
 def pack_metrics(wide: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Fold one column per variable into a ``metrics`` map that holds no nulls."""
-    pairs = F.create_map(*chain.from_iterable((F.lit(name), F.col(name)) for name in variables))
+    pairs = ", ".join(f"{quoted(name)}, `{name}`" for name in variables)
     others = [name for name in wide.columns if name not in set(variables)]
-    return wide.select(*others, F.map_filter(pairs, lambda _, value: value.isNotNull()).alias("metrics"))
+    return wide.select(*others, F.expr(f"map_filter(map({pairs}), (k, v) -> v is not null) as metrics"))
 
 
 def unpack_metrics(wide: DataFrame, variables: Sequence[str]) -> DataFrame:
     """The opposite of :func:`pack_metrics`; metrics an entity lacks become null."""
     others = [name for name in wide.columns if name != "metrics"]
-    return wide.select(*others, *[F.try_element_at("metrics", F.lit(name)).alias(name) for name in variables])
+    return wide.selectExpr(*others, *[f"try_element_at(metrics, {quoted(name)}) as `{name}`" for name in variables])
 
 
 def wide_records(

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from comarca import fixed_values as fixed
-from comarca.functions.text import strip
+from comarca.functions.text import quoted, strip_sql
 
 
 @dataclass(frozen=True)
@@ -31,12 +30,13 @@ class Share(Metric):
     positive_values: tuple[str, ...] = ()
     weight: str = ""
 
-    def holds(self, df: DataFrame) -> Column:
-        """Never null; a column the table lacks makes every answer negative."""
-        if self.column not in df.columns:
-            return F.lit(False)
-        answer = F.coalesce(strip(F.col(self.column).cast("string")), F.lit(""))
-        return answer.isin(*self.positive_values)
+    def holds(self, df: DataFrame) -> str:
+        """The condition as SQL; never null. A column the table lacks makes every answer negative."""
+        kind = dict(df.dtypes).get(self.column)
+        if kind is None:
+            return "false"
+        answer = strip_sql(f"`{self.column}`") if kind == "string" else f"cast(`{self.column}` as string)"
+        return f"coalesce({answer}, '') in ({', '.join(map(quoted, self.positive_values))})"
 
 
 @dataclass(frozen=True)

@@ -236,10 +236,11 @@ SELECT doc_id, md5(folded) AS folded, CAST(length(folded) AS INTEGER) AS n FROM
 SQL["text_slug"] = """WITH f AS (
   SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents)
 SELECT doc_id, md5(slug) AS slug, CAST(length(slug) AS INTEGER) AS n FROM f"""
-SQL["text_title"] = r"""WITH f AS (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS line FROM conversations)
+_UP = "CASE WHEN w[1] = 'ß' THEN 'SS' ELSE upper(w[1]) END"
+SQL["text_title"] = rf"""WITH f AS (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS line FROM conversations)
 SELECT conv_id, turn,
-  md5(array_to_string(list_transform(list_filter(string_split(lower(line), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ')) AS titled,
-  CAST(length(line) AS INTEGER) AS n FROM f"""
+  md5(array_to_string(list_transform(list_filter(string_split(lower(line), ' '), lambda w: w <> ''), lambda w: {_UP} || w[2:]), ' ')) AS words,
+  md5(array_to_string(list_transform(regexp_extract_all(line, '\p{{L}}*[^\p{{L}}]|\p{{L}}+$'), lambda w: {_UP} || lower(w[2:])), '')) AS runs FROM f"""
 SQL["canonical_names"] = """SELECT
   CASE p_name WHEN 'red widget' THEN 'Widget Rojo' WHEN 'blue bolt' THEN 'Perno Azul' WHEN 'small ring' THEN 'Anillo'
     ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS nombre,

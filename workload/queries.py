@@ -153,7 +153,7 @@ def text_title(spark: SparkSession, sf: str) -> DataFrame:
     """Title case of blank-separated words and of letter runs, in the turns of all conversations."""
     line = F.regexp_replace(F.col("text"), r"\s+", " ")
     return t.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.md5(txt.title_words(F.lower(line))).alias("titled"), F.length(txt.title_runs(line)).alias("n")
+        "conv_id", "turn", F.md5(txt.title_words(F.lower(line))).alias("words"), F.md5(txt.title_runs(line)).alias("runs")
     )
 
 
