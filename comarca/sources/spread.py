@@ -1,0 +1,15 @@
+"""Dealing out heavy per-row work over inputs that come in few pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only if the input has fewer partitions than the session has cores.
+
+    One small file is one task, however long its rows take. Large inputs have many more
+    splits than cores and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

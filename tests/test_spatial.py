@@ -50,6 +50,18 @@ def test_area_centroid_bounds(spark):
     assert got[4][:3] == (0.0, 1.0, 0.0)
 
 
+def test_fan_equals_the_general_centroid(spark):
+    rnd = random.Random(2)
+    rings = []
+    for n in (3, 4, 6, 8, 9, 14):
+        ring = [(-100 + math.cos(2 * math.pi * i / n) * rnd.uniform(0.001, 0.004), 20 + math.sin(2 * math.pi * i / n) * rnd.uniform(0.001, 0.004)) for i in range(n)]
+        rings += [ring + ring[:1], (ring + ring[:1])[::-1]]
+    df = shapes(spark, [(k, [[ring]]) for k, ring in enumerate(rings)] + [(90, HOLED), (91, TWO_PARTS), (92, FLAT)])
+    both = cov.with_centroid(df).withColumn("c", geo.centroid(F.col("geometria"))).collect()
+    assert len(both) == 15 and both[0].asDict().keys() == {"k", "geometria", "x", "y", "c"}
+    assert all(abs(r.x - r.c.x) < 1e-12 and abs(r.y - r.c.y) < 1e-12 for r in both)
+
+
 def test_within_leaves_the_boundary_out(spark):
     polygons = [(1, SQUARE), (2, HOLED), (3, TWO_PARTS)]
     points = [(i, x / 2, y / 2) for i, (x, y) in enumerate((x, y) for x in range(-1, 26) for y in range(-1, 10))]

@@ -33,7 +33,7 @@ def _sums(specs, weight: str) -> str:
 
 
 def _share(part: str, whole: str) -> str:
-    return f"round(CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) * 100.0, 2)"
+    return f"round_even(CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) * 100.0, 2)"
 
 
 def _labels(specs, source: str, year: int) -> str:
@@ -296,7 +296,7 @@ census AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS cve_ent, CAST(co
   CAST(count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS DOUBLE) AS insured FROM customer GROUP BY 1),
 merged AS (SELECT * FROM poverty LEFT JOIN product USING (cve_ent) LEFT JOIN census USING (cve_ent)),
 v AS ({' UNION ALL '.join(
-    f"SELECT cve_ent, {_text(_CONTEXT[name][2])} AS categoria, {_text(name)} AS variable, round({sql}, 4) AS valor, {_CONTEXT[name][1]} AS anio, {_text(_CONTEXT[name][4])} AS unidad FROM merged"
+    f"SELECT cve_ent, {_text(_CONTEXT[name][2])} AS categoria, {_text(name)} AS variable, round_even({sql}, 4) AS valor, {_CONTEXT[name][1]} AS anio, {_text(_CONTEXT[name][4])} AS unidad FROM merged"
     for name, sql in _CONTEXT_VALUES.items())})
 SELECT state_code, cve_ent, estado, categoria, variable, valor, anio, {_text(fixed.CONTEXT_SOURCE)} AS fuente, unidad
 FROM v JOIN master USING (cve_ent) WHERE valor IS NOT NULL"""
@@ -366,12 +366,12 @@ mun AS (SELECT c.ent, c.geo, nom, avg(mbps) AS speed, m.tech, count(*) AS n, CAS
   FROM classed c JOIN modes m ON c.ent = m.ent AND c.geo = m.geo GROUP BY c.ent, c.geo, nom, m.tech)"""
 
 
-_MUN = """SELECT ent AS CVE_ENT, geo AS id_cvegeo, nom AS nom_mun, round(speed, 6) AS int_avg_speed, tech AS int_tech_predominante,
-  n AS geometry, tests, round(p3, 6) AS int_pct_3g_coverage, round(p4, 6) AS int_pct_4g_coverage, round(p5, 6) AS int_pct_5g_coverage FROM mun"""
+_MUN = """SELECT ent AS CVE_ENT, geo AS id_cvegeo, nom AS nom_mun, round(speed, 9) AS int_avg_speed, tech AS int_tech_predominante,
+  n AS geometry, tests, round(p3, 9) AS int_pct_3g_coverage, round(p4, 9) AS int_pct_4g_coverage, round(p5, 9) AS int_pct_5g_coverage FROM mun"""
 _STATE = """, state_modes AS (SELECT ent, tech FROM (SELECT ent, tech, row_number() OVER (PARTITION BY ent ORDER BY count(*) DESC, tech) AS rn
   FROM mun GROUP BY ent, tech) WHERE rn = 1)
-SELECT mun.ent AS CVE_ENT, round(avg(speed), 6) AS int_avg_speed, round(avg(p3), 6) AS int_pct_3g_coverage, round(avg(p4), 6) AS int_pct_4g_coverage,
-  round(avg(p5), 6) AS int_pct_5g_coverage, s.tech AS int_tech_predominante FROM mun JOIN state_modes s ON mun.ent = s.ent GROUP BY mun.ent, s.tech"""
+SELECT mun.ent AS CVE_ENT, round(avg(speed), 9) AS int_avg_speed, round(avg(p3), 9) AS int_pct_3g_coverage, round(avg(p4), 9) AS int_pct_4g_coverage,
+  round(avg(p5), 9) AS int_pct_5g_coverage, s.tech AS int_tech_predominante FROM mun JOIN state_modes s ON mun.ent = s.ent GROUP BY mun.ent, s.tech"""
 _EVENT_ROWS = """tiles AS (SELECT event_type AS ent, event_type || '-' || user_id AS geo, 'user ' || user_id AS nom,
   value * 1000 / 1000 AS mbps, user_id AS tests FROM events)"""
 SQL["coverage_municipality"] = f"WITH {_rolled(_EVENT_ROWS)} {_MUN}"
@@ -425,11 +425,12 @@ def _lambert() -> tuple[str, str]:
 _X, _Y = _lambert()
 SQL["population_density"] = f"""WITH {_PLACES},
 corners AS (SELECT ent, geo, unnest([0, 1, 2, 3]) AS i, unnest([cx + r, cx, cx - r, cx]) AS lon, unnest([cy, cy + r, cy, cy - r]) AS lat FROM land),
-xy AS (SELECT ent, geo, i, {_X} AS x, {_Y} AS y FROM corners),
+metres AS (SELECT ent, geo, i, {_X} AS x, {_Y} AS y FROM corners),
+xy AS (SELECT ent, geo, i, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y FROM metres WINDOW w AS (PARTITION BY geo ORDER BY i)),
 areas AS (SELECT a.ent, a.geo, abs(sum(a.x * b.y - b.x * a.y)) / 2 / 1e6 AS km2 FROM xy a JOIN xy b ON a.geo = b.geo AND b.i = (a.i + 1) % 4 GROUP BY 1, 2),
 land_areas AS (SELECT ent, sum(km2) AS km2 FROM areas GROUP BY 1),
 people AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS ent, count(*) AS n FROM customer GROUP BY 1)
-SELECT ent AS cve_ent, round(n / km2, 6) AS densidad_poblacional FROM people JOIN land_areas USING (ent)"""
+SELECT ent AS cve_ent, round(n / km2, 4) AS densidad_poblacional FROM people JOIN land_areas USING (ent)"""
 
 # --- dashboard analytics ----------------------------------------------------------------
 _SCORES = """SELECT cve_ent, estado, round(score, 6) AS "opportunityScore", round(market_score, 6) AS "marketAttractiveness",
@@ -533,8 +534,8 @@ SQL["section_cards"] = _BOARD + " UNION ALL ".join([
 _CATALOG = "catalog AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {_text(s.variable)}, {_text(s.label)}, {_text(s.unidad)})" for i, s in enumerate(SURVEY.all)
 ) + ") AS v(posicion, variable_id, label, unidad))"
-_PROFILE = """profile AS (SELECT c.posicion, variable_id AS metric_id, c.label, c.unidad AS unit, count(*) AS "count", round(min(valor), 2) AS "min",
-  round(max(valor), 2) AS "max", round(avg(valor), 2) AS "mean", round(stddev_pop(valor), 2) AS std_dev
+_PROFILE = """profile AS (SELECT c.posicion, variable_id AS metric_id, c.label, c.unidad AS unit, count(*) AS "count", round_even(min(valor), 2) AS "min",
+  round_even(max(valor), 2) AS "max", round_even(avg(valor), 2) AS "mean", round_even(stddev_pop(valor), 2) AS std_dev
   FROM catalog c JOIN last_values v ON v.variable = c.variable_id GROUP BY c.posicion, variable_id, c.label, c.unidad)"""
 SQL["metric_profile"] = f"WITH {WIDE}, {_CATALOG}, {_PROFILE} SELECT * FROM profile"
 _FACTS = """pairs AS (SELECT cve_ent, variable, count(*) AS n FROM long GROUP BY 1, 2),

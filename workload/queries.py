@@ -138,14 +138,14 @@ def catalog_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def text_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Every document folded to plain ASCII."""
     folded = txt.fold(F.col("text"))
-    return t.table(spark, sf, "documents").select("doc_id", F.md5(folded).alias("folded"), F.length(folded).alias("n"))
+    return t.documents(spark, sf, "doc_id", "text").select("doc_id", F.md5(folded).alias("folded"), F.length(folded).alias("n"))
 
 
 @query
 def text_slug(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as one slug."""
     slug = txt.slug(F.col("text"))
-    return t.table(spark, sf, "documents").select("doc_id", F.md5(slug).alias("slug"), F.length(slug).alias("n"))
+    return t.documents(spark, sf, "doc_id", "text").select("doc_id", F.md5(slug).alias("slug"), F.length(slug).alias("n"))
 
 
 @query
@@ -208,7 +208,7 @@ def alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, a value of the first document whose whole text matches each pattern."""
-    documents = t.table(spark, sf, "documents")
+    documents = t.documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
     sheet = F.struct(
         F.col("source").alias("sheet"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("sheet_pos"),
         F.col("doc_id").alias("row"),
@@ -418,13 +418,13 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def coverage_municipality(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(cov.by_municipality(_event_tiles(spark, sf), geometry="props"))
+    return _rounded(cov.by_municipality(_event_tiles(spark, sf), geometry="props"), 9)
 
 
 @query
 def coverage_state(spark: SparkSession, sf: str) -> DataFrame:
     """Unweighted means of the municipalities, mode of their modes."""
-    return _rounded(cov.by_state(cov.by_municipality(_event_tiles(spark, sf), geometry="props")))
+    return _rounded(cov.by_state(cov.by_municipality(_event_tiles(spark, sf), geometry="props")), 9)
 
 
 @query
@@ -443,13 +443,13 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 def tile_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles of the box to territories by centroid, classified and rolled up."""
     classified = network.classified_tiles(t.tiles(spark, sf), t.territories(spark, sf), t.STRIP_BOX)
-    return _rounded(cov.by_municipality(classified))
+    return _rounded(cov.by_municipality(classified), 9)
 
 
 @query
 def tile_coverage_state(spark: SparkSession, sf: str) -> DataFrame:
     classified = network.classified_tiles(t.tiles(spark, sf), t.territories(spark, sf), t.STRIP_BOX)
-    return _rounded(cov.by_state(cov.by_municipality(classified)))
+    return _rounded(cov.by_state(cov.by_municipality(classified)), 9)
 
 
 @query
@@ -475,11 +475,11 @@ def polygon_area(spark: SparkSession, sf: str) -> DataFrame:
 def population_density(spark: SparkSession, sf: str) -> DataFrame:
     """Customers per projected square kilometre of their nation's territories."""
     areas = t.territories(spark, sf).groupBy(F.col("CVE_ENT").alias("cve_ent")).agg(
-        F.sum(geo.area_km2(F.col("geometria")).cast("decimal(28,6)")).alias("km2")
+        F.sum(geo.area_km2(F.col("geometria")).cast("decimal(28,12)")).alias("km2")
     )
     people = t.table(spark, sf, "customer").groupBy(txt.zero_fill(F.col("c_nationkey")).alias("cve_ent")).agg(F.count(F.lit(1)).alias("n"))
     density = lookups.population_density(people, areas, F.col("n"), F.col("km2"))
-    return density.select("cve_ent", F.round("densidad_poblacional", 6).alias("densidad_poblacional"))
+    return density.select("cve_ent", F.round("densidad_poblacional", 4).alias("densidad_poblacional"))
 
 
 # --- dashboard analytics ----------------------------------------------------------------

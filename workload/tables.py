@@ -17,6 +17,7 @@ from comarca.functions.text import zero_fill
 from comarca.operators import observations
 from comarca.plans.survey import Microdata, SurveyInputs, SurveyMetrics, survey_observations
 from comarca.sources.documents import dashboard_metrics
+from comarca.sources.spread import spread
 from comarca.specs import Share, direct_values, locality_shares, survey_shares
 
 YEAR = 1997
@@ -193,6 +194,11 @@ def dashboard_catalog(spark: SparkSession) -> DataFrame:
     return dashboard_metrics(observations.metric_catalog(spark, metrics().all), fixed.SURVEY_SOURCE)
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Whole texts; long ones, so they are dealt out over all cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 # --- places -----------------------------------------------------------------------------
 # Coordinates are multiples of 1/1024 degree, so every engine computes them exactly. Speed
 # tests and territories lie along a strip that grows with both tables, so a place falls into
@@ -205,7 +211,7 @@ TILE_HALF = 1 / 512
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speed tests with a place; some lie west, south or north of the box."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value")).select(
         "event_id", "user_id", "value",
         (F.lit(-119.0) + F.col("event_id") * 15 / F.lit(1024.0)).alias("x"),
         (F.lit(13.0) + F.pmod(F.col("event_id") * 7919 + F.col("user_id") * 131, F.lit(21504)) / F.lit(1024.0)).alias("y"),
