@@ -35,8 +35,16 @@ class Share(Metric):
         kind = dict(df.dtypes).get(self.column)
         if kind is None:
             return "false"
-        answer = strip_sql(f"`{self.column}`") if kind == "string" else f"cast(`{self.column}` as string)"
-        return f"coalesce({answer}, '') in ({', '.join(map(quoted, self.positive_values))})"
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            codes = [value for value in self.positive_values if value.removeprefix("-").isdecimal() and str(int(value)) == value]
+            return f"coalesce(`{self.column}` in ({', '.join(codes)}), false)" if codes else "false"
+        listed = f"in ({', '.join(map(quoted, self.positive_values))})"
+        if kind != "string":
+            return f"coalesce(cast(`{self.column}` as string) {listed}, false)"
+        # Stripping only shortens, so an answer no longer than the shortest value needs none.
+        shortest = min(len(value.encode()) for value in self.positive_values)
+        stripped = f"(octet_length(`{self.column}`) > {shortest} and {strip_sql(f'`{self.column}`')} {listed})"
+        return f"coalesce(`{self.column}` {listed} or {stripped}, false)"
 
 
 @dataclass(frozen=True)

@@ -39,6 +39,20 @@ def test_zero_weight_entity_is_left_out(spark):
     assert [r.cve_ent for r in shares.collect()] == ["02"]
 
 
+def test_answers_are_stripped_and_whole(spark):
+    """Longer answers are stripped before they are compared, codes of any type compare as text."""
+    from comarca.specs import Share
+
+    spec = Share("v", "c", "l", "%", "t", column="a", positive_values=("Sí", "Garantizada", "7"))
+    answers = [" Sí", "Sí\t", "Garantizada  ", "Garantizad", "S", "sí", "7", "07", " 7 ", "77", "", None]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").orderBy("i")
+    assert [r[0] for r in df.selectExpr(spec.holds(df)).collect()] == [
+        (a or "").strip() in spec.positive_values for a in answers
+    ]
+    numbers = spark.createDataFrame([(7,), (8,), (None,)], "a int")
+    assert [r[0] for r in numbers.selectExpr(spec.holds(numbers)).collect()] == [True, False, False]
+
+
 def test_units_lead_to_entities(spark):
     units = spark.createDataFrame([("u1", "01"), ("u2", "01"), ("u3", "02")], "unit string, cve_ent string")
     rows = spark.createDataFrame([("u1", "1", "1"), ("u2", "3", "2"), ("u3", "5", "1"), ("u9", "5", "1")], "CVE_ENT string, FAC_PER string, P7_1 string")

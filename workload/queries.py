@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
@@ -549,20 +549,13 @@ def metric_scatter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def metric_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """Top, bottom and last-ranked nation, averages and range of every metric."""
-    records = t.survey_columns(spark, sf)
-    names = t.metrics().variables
-
-    def facts(name: str) -> Column:
-        value = an.metric(records, name)
-        return F.struct(
-            F.lit(name).alias("variable"), an.top(value).alias("top"), an.bottom(value).alias("bottom"),
-            an.last_ranked(value).alias("last"), F.round(an.average(value), 6).alias("average"),
-            F.round(an.strict_average(value), 6).alias("strict_average"),
-            an.value_range(value).alias("_range"),
-        )
-
-    row = records.agg(F.array(*[facts(name) for name in names]).alias("f"))
-    return row.select(F.inline("f")).select(
+    rows = an.unpivoted(t.survey_columns(spark, sf), t.metrics().variables)
+    value = F.col("valor")
+    return rows.groupBy(F.col("id").alias("variable")).agg(
+        an.top(value).alias("top"), an.bottom(value).alias("bottom"), an.last_ranked(value).alias("last"),
+        F.round(an.average(value), 6).alias("average"), F.round(an.strict_average(value), 6).alias("strict_average"),
+        an.value_range(value).alias("_range"),
+    ).select(
         "variable", "top", "bottom", "last", "average", "strict_average",
         F.col("_range.lo").alias("lo"), F.col("_range.hi").alias("hi"),
     )
