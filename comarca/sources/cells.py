@@ -64,23 +64,23 @@ def labelled_values(
 ) -> DataFrame:
     """Per sheet, the value of the first row whose label matches each pattern.
 
-    Patterns are regular expressions, letters match in either case. All patterns are served
-    by one aggregation over numbers (row and value), which stays hash-based. A value that is
-    no number is null, and so is a pattern no row matches.
+    Patterns are regular expressions, letters match in either case. Labels are matched where
+    they are read: only flags and numbers are shuffled, never the texts, and both groupings
+    combine map-side. A value that is no number is null, and so is a pattern no row matches.
     """
-    rows = (
-        cells.where(F.col("col").isin(label_column, value_column))
-        .groupBy("sheet", "sheet_pos", "row")
-        .agg(
-            F.max(F.when(F.col("col") == label_column, F.col("value"))).alias("_label"),
-            F.max(F.when(F.col("col") == value_column, F.col("value"))).alias("_value"),
-        )
-        .withColumn("_value", F.coalesce(number_or_null(F.col("_value")), F.lit(float("nan"))))
+    is_label, is_value = F.col("col") == label_column, F.col("col") == value_column
+    matched = cells.where(is_label | is_value).select(
+        "sheet", "sheet_pos", "row",
+        F.when(is_value, number_or_null(F.col("value"))).alias("_value"),
+        *[F.when(is_label, F.col("value").rlike(f"(?iu){pattern}")).alias(f"_is_{name}") for name, pattern in labels],
+    )
+    rows = matched.groupBy("sheet", "sheet_pos", "row").agg(
+        F.max("_value").alias("_value"), *[F.max(f"_is_{name}").alias(f"_is_{name}") for name, _ in labels]
     )
     found = rows.groupBy("sheet", "sheet_pos").agg(
         *[
-            F.min_by("_value", F.when(F.col("_label").rlike(f"(?iu){pattern}"), F.col("row"))).alias(name)
-            for name, pattern in labels
+            F.min_by(F.coalesce("_value", F.lit(float("nan"))), F.when(F.col(f"_is_{name}"), F.col("row"))).alias(name)
+            for name, _ in labels
         ]
     )
     return found.select(

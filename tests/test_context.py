@@ -49,6 +49,13 @@ def test_labels_take_the_first_matching_row(spark):
     assert {r.sheet for r in cells.without_first_sheet(values).collect()} == {"Aguascalientes", "Estado de México", "Atlantis"}
 
 
+def test_labels_are_not_shuffled(spark):
+    plan = cells.labelled_values(poverty_cells(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    shuffled = plan.split("Exchange hashpartitioning(sheet", 1)[1].split("partial_max", 1)[0]
+    assert "rlike" not in shuffled.lower()
+
+
 def test_last_column_is_last_by_position(spark):
     got = {r.estado: r.pib_total for r in cells.last_column_range(gdp_cells(spark)).collect()}
     assert got == {"Aguascalientes": str(PRODUCT), "México": None, "N.L.": "3"}
