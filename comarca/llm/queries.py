@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from comarca.llm.tables import table
 
@@ -24,6 +25,21 @@ def byte_vocabulary():
     return Vocabulary(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def remainder(parts: int):
+    """crc32 of doc_id as text, modulo `parts`; null where doc_id is null."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from rows whose remainder is known and not 2; a null id is not held out."""
+    from comarca.llm.language import fit, identified
+
+    documents = table(spark, folder, "documents")
+    model = fit(documents.filter(remainder(4) != 2), piece_model())
+    found = identified(documents, model)
+    return found.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from comarca.llm.token_counts import token_counts
 
@@ -37,6 +53,7 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_language": op1_language,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
