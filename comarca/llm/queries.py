@@ -52,9 +52,16 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), byte_vocabulary(), CAPACITY)
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from comarca.llm.jaccard_join import linked
+
+    return linked(table(spark, folder, "documents"), words=3, percent=90)
+
+
 REGISTRY = {
     "op1_language": op1_language,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {}
