@@ -52,6 +52,22 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), byte_vocabulary(), CAPACITY)
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame):
+    """Learns from labelled rows whose remainder is known and not 0."""
+    from comarca.llm.toxicity import fit, training_rows
+
+    return fit(training_rows(documents, labels).filter(remainder(5) != 0))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A null id is not held out."""
+    from comarca.llm.toxicity import scored
+
+    documents = table(spark, folder, "documents")
+    model = toxicity_model(documents, table(spark, folder, "labels"))
+    return scored(documents, model).withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from comarca.llm.jaccard_join import linked
 
@@ -62,6 +78,7 @@ REGISTRY = {
     "op1_language": op1_language,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {}
