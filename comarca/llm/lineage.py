@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -18,3 +19,18 @@ def cut(df: DataFrame) -> DataFrame:
         conf = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="comarca-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared checkpoint folder.
+
+    Unlike a checkpoint its size is known to the planner, which then broadcasts it only where it
+    measures below Spark's threshold, and joins by shuffle where it does not.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        conf = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="comarca-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

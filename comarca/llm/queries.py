@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from comarca.llm import line_dedup, mixing
 from comarca.llm.tables import table
 
 CAPACITY = 2048
@@ -40,6 +41,13 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from comarca.llm.line_dedup import deduplicated
+
+    found = deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from comarca.llm.token_counts import token_counts
 
@@ -52,6 +60,14 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), byte_vocabulary(), CAPACITY)
 
 
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from comarca.llm.mixing import mixed
+
+    found = mixed(table(spark, folder, "documents"))
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return found.select("doc_id", "size", "source_size", "target", taken)
+
+
 def toxicity_model(documents: DataFrame, labels: DataFrame):
     """Learns from labelled rows whose remainder is known and not 0."""
     from comarca.llm.toxicity import fit, training_rows
@@ -76,9 +92,14 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY = {
     "op1_language": op1_language,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_source_mix": op6_source_mix,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.oracle(),
+    "op6_source_mix": mixing.oracle(),
+}
