@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import line_dedup, mixing
+from comarca.llm import chat, line_dedup, mixing
 from comarca.llm.tables import table
 
 CAPACITY = 2048
@@ -68,6 +68,21 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from comarca.llm.quality import judged
+
+    return judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation against itself with its last assistant turn replaced. Masks as text."""
+    from comarca.llm.chat import ablated, placed, preferences
+
+    turns = placed(table(spark, folder, "conversations").withColumnRenamed("conv_id", "pair_id"))
+    found = preferences(*ablated(turns))
+    return found.withColumns({k: F.to_json(k) for k in ("chosen_mask", "rejected_mask")})
+
+
 def toxicity_model(documents: DataFrame, labels: DataFrame):
     """Learns from labelled rows whose remainder is known and not 0."""
     from comarca.llm.toxicity import fit, training_rows
@@ -96,10 +111,13 @@ REGISTRY = {
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_source_mix": op6_source_mix,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_preference_format": op8_preference_format,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(),
     "op6_source_mix": mixing.oracle(),
+    "op8_preference_format": chat.oracle(),
 }
