@@ -5,32 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder; what follows reads it from there.
-
-    The folder is the session's `spark.checkpoint.dir`. Only where it is unset (tests on one
-    machine) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`. Only where that is unset (tests on one machine) a
+    temporary folder is made and set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        conf = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="comarca-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder as a checkpoint; what follows reads it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared checkpoint folder.
+    """`df` as a Parquet table in the shared folder.
 
     Unlike a checkpoint its size is known to the planner, which then broadcasts it only where it
     measures below Spark's threshold, and joins by shuffle where it does not.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="comarca-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

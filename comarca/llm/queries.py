@@ -60,6 +60,13 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), byte_vocabulary(), CAPACITY)
 
 
+def op5_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    from comarca.llm.permutation_index import neighbours
+
+    vectors = table(spark, folder, "embeddings")
+    return neighbours(vectors, vectors.filter("vec_id % 20 = 0"), nearest=20)
+
+
 def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     from comarca.llm.mixing import mixed
 
@@ -110,6 +117,7 @@ REGISTRY = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_permutation_index": op5_permutation_index,
     "op6_source_mix": op6_source_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_preference_format": op8_preference_format,
