@@ -250,25 +250,25 @@ def _dominated(counts: np.ndarray, chosen: tuple[int, ...], left: int) -> bool:
     return False
 
 
-def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = 20_000) -> Packing:
+def pack_lengths(counts: np.ndarray, capacity: int, work: int = 150_000) -> Packing:
     """Packs pieces, `counts[s]` of length s each, into few sequences of `capacity`.
 
     Branch and bound over completions of the largest piece left. A node takes the largest piece
     and an undominated filling of its room, as often as the counts allow at once. Nodes whose
     waste so far exceeds what the incumbent minus one sequence could have are pruned; the
     best-fit packing of what is left at a node is the bound from above and becomes the incumbent
-    where it is better. Ends at the lower bound or after `nodes` nodes, with the best found: the
-    number limits the search for a better packing, never what is packed.
+    where it is better. Ends at the lower bound, or with the best found after `work` distinct lengths
+    looked at over all nodes: that limits the search for a better packing, never what is packed.
     """
     counts = np.asarray(counts, np.int64).copy()
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     total = int((counts * np.arange(capacity + 1)).sum())
     stack: list[tuple[np.ndarray, list, int, int]] = [(counts, [], 0, 0)]
-    budget = nodes
+    budget = work
     while stack and best.sequences > bound and budget > 0:
         left, used, bins, waste = stack.pop()
-        budget -= 1
+        budget -= 1 + int(np.count_nonzero(left))
         if not left.any():
             if bins < best.sequences:
                 best = Packing(used)
