@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from comarca.llm import textbytes
 from comarca.llm.components import components
-from comarca.llm.lineage import cut
+from comarca.llm.lineage import cut, written
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -160,13 +160,18 @@ def _may_link(percent: int, p: str, q: str) -> Column:
     return long_enough & ((100 + percent) * still_possible >= percent * (a + b))
 
 
-def _verified(pairs: DataFrame, ranges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (lo, hi) that link: suffix filter on the counts by hash range, then the whole sets."""
+def _verified(pairs: DataFrame, ranges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (lo, hi) that link: suffix filter on the counts by hash range, then the whole sets.
+
+    Sets are made only of the texts that a pair is left for."""
     for side in ("lo", "hi"):
         named = ranges.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("ranges").alias(f"r_{side}"))
         pairs = pairs.join(named, side)
     most = reduce(lambda x, y: x + y, [F.least(F.col("r_lo")[k], F.col("r_hi")[k]) for k in range(RANGES)])
-    pairs = pairs.filter((100 + percent) * most >= percent * (F.col("n_lo") + F.col("n_hi"))).select("lo", "hi").distinct()
+    pairs = pairs.filter((100 + percent) * most >= percent * (F.col("n_lo") + F.col("n_hi")))
+    pairs = cut(pairs.select("lo", "hi").distinct())
+    asked = written(pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct(), "asked")
+    sets = _sets(texts.join(asked, "doc_id", "left_semi"), words)
     for side in ("lo", "hi"):
         named = sets.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}"))
         pairs = pairs.join(named, side)
@@ -204,13 +209,12 @@ def linked(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     entries = entries.withColumn("early", early)
     lists = entries.groupBy("token").agg(F.min("early").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
     posted = cut(entries.join(lists, "token"))
-    sets = cut(_sets(ids.join(posted.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
 
     hubs = posted.filter("early = hub").alias("h")
     met = posted.alias("x").join(hubs, F.col("x.token") == F.col("h.token"))
     met = met.filter((F.col("x.cls") != F.col("h.cls")) & _may_link(percent, "x", "h")).select(_pair("x", "h")).distinct()
     met = cut(met)
-    links = cut(_verified(met, prefixes, sets, percent))
+    links = cut(_verified(met, prefixes, ids, words, percent))
     found = components(links, "lo", "hi")
 
     labelled = posted.join(found.withColumnRenamed("node", "cls"), "cls", "left")
@@ -220,7 +224,7 @@ def linked(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     rest = open_.alias("x").join(open_.alias("y"), F.col("x.token") == F.col("y.token"))
     rest = rest.filter((F.col("x.component") < F.col("y.component")) & _may_link(percent, "x", "y"))
     rest = rest.select(_pair("x", "y")).distinct().join(met, ["lo", "hi"], "left_anti")
-    more = _verified(rest, prefixes, sets, percent)
+    more = _verified(rest, prefixes, ids, words, percent)
 
     # Rows that repeat a doc_id with different texts tie their classes together.
     twice = members.select("doc_id", "cls").distinct()
