@@ -204,13 +204,17 @@ def linked(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     ids = documents.filter("doc_id is not null")
     prefixes = cut(_prefixes(ids, words, percent, order).join(heads, "doc_id", "left_semi"))
 
+    # Entries travel as three numbers; what is posted once goes before anything is added to the rest.
+    at = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at")
     entries = prefixes.select(F.col("doc_id").alias("cls"), "n", F.posexplode("tokens").alias("pos", "token"))
-    early = F.shiftleft(F.col("pos").cast("long"), 40).bitwiseOR(F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1)))
-    entries = entries.withColumn("early", early)
-    lists = entries.groupBy("token").agg(F.min("early").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    posted = cut(entries.join(lists, "token"))
-
-    hubs = posted.filter("early = hub").alias("h")
+    entries = entries.select("token", "cls", at)
+    shared = entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    n, pos = F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
+    posted = cut(entries.join(shared, "token").select("token", "cls", n, pos))
+    early = F.shiftleft("pos", 40).bitwiseOR(F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1)))
+    lists = posted.groupBy("token").agg(F.min(early).alias("hub"))
+
+    hubs = posted.join(lists, "token").filter(F.col("hub") == early).drop("hub").alias("h")
     met = posted.alias("x").join(hubs, F.col("x.token") == F.col("h.token"))
     met = met.filter((F.col("x.cls") != F.col("h.cls")) & _may_link(percent, "x", "h")).select(_pair("x", "h")).distinct()
     met = cut(met)
