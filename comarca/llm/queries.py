@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.llm import chat, line_dedup, mixing
+from comarca.llm.lineage import cut
 from comarca.llm.tables import table
 
 CAPACITY = 2048
@@ -85,7 +86,7 @@ def op8_preference_format(spark: SparkSession, folder: str) -> DataFrame:
     """Each conversation against itself with its last assistant turn replaced. Masks as text."""
     from comarca.llm.chat import ablated, placed, preferences
 
-    turns = placed(table(spark, folder, "conversations").withColumnRenamed("conv_id", "pair_id"))
+    turns = cut(placed(table(spark, folder, "conversations").withColumnRenamed("conv_id", "pair_id")))
     found = preferences(*ablated(turns))
     return found.withColumns({k: F.to_json(k) for k in ("chosen_mask", "rejected_mask")})
 
