@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +12,15 @@ from comarca.functions.text import is_blank, strip
 
 #: 2**27 + 1 splits a double into two halves whose products are exact (Veltkamp, Dekker).
 _SPLITTER = 134217729.0
-#: Doubles this large have no digits left to round, and their scaled floor must fit a long.
-_ROUNDABLE = 1e12
+#: From 2**52 up a double is a whole number: there is nothing to round.
+_WHOLE = 2.0**52
 
 
 def number_or_zero(text: Column, dtype: str = "double") -> Column:
     """Blank or missing is 0; text that is no number is an error under ANSI mode."""
-    return F.when(is_blank(text), F.lit(0).cast(dtype)).otherwise(strip(text.cast("string")).cast(dtype))
+    number = strip(text.cast("string"))
+    number = exact_decimal(number, dtype) if dtype.startswith("decimal") else number.cast(dtype)
+    return F.when(is_blank(text), F.lit(0).cast(dtype)).otherwise(number)
 
 
 def number_or_null(value: Column) -> Column:
@@ -33,13 +37,18 @@ def percent(part: Column, whole: Column) -> Column:
     return ratio(part, whole) * F.lit(100.0)
 
 
-def _nearest_scaled(value: Column, digits: int, tie: Column) -> Column:
-    """The integer nearest to ``value * 10**digits``, judged on the exact binary value.
+def _nearest(size: Column, digits: int, tie: Column) -> Column:
+    """The decimal with ``digits`` decimals nearest to ``size`` (0 to 2**52), judged on its exact binary
+    value.
 
-    The product with 2 * 10**digits is formed without error as ``high + low``, so a tie is a
-    tie of the binary number, not of its shortest decimal text. ``tie`` is added to the lower
-    neighbour in that case.
+    Whole part and fraction of a double are doubles without error, so only the fraction is
+    scaled. Its product with 2 * 10**digits is formed without error as ``high + low``: a tie is a tie
+    of the binary number, not of its shortest decimal text. ``tie`` is added to the lower
+    neighbour in that case. Whole part and digits are put together as a decimal, which
+    cannot overflow.
     """
+    whole = F.floor(size)
+    value = size - whole
     scale = F.lit(float(2 * 10**digits))
     high = value * scale
     spread = value * F.lit(_SPLITTER)
@@ -51,23 +60,32 @@ def _nearest_scaled(value: Column, digits: int, tie: Column) -> Column:
     step = (
         F.when((fraction > 0.5) | ((fraction == 0.5) & (low > 0)), F.lit(1))
         .when((fraction < 0.5) | (low < 0), F.lit(0))
-        .otherwise(tie(lower))
+        .otherwise(tie(lower if digits else whole % 2 + lower))
     )
-    return lower + step
+    places = (lower + step).cast("decimal(10,0)") * F.lit(Decimal(1).scaleb(-digits)).cast(f"decimal({digits + 1},{digits})")
+    return (whole.cast("decimal(17,0)") + places).cast(f"decimal({18 + digits},{digits})")
 
 
 def round_half_even(value: Column, digits: int) -> Column:
     """Round as IEEE doubles are usually rounded: exact ties go to the even neighbour."""
-    nearest = _nearest_scaled(value, digits, lambda lower: F.pmod(lower, F.lit(2)))
-    return F.when(F.abs(value) < _ROUNDABLE, nearest / F.lit(float(10**digits))).otherwise(value)
+    size = F.abs(value)
+    nearest = _nearest(size, digits, lambda lower: F.pmod(lower, F.lit(2))).cast("double")
+    return F.when(size < _WHOLE, F.when(value < 0, F.lit(0.0) - nearest).otherwise(nearest)).otherwise(value)
 
 
 def fixed_decimals(value: Column, digits: int = 1) -> Column:
     """Text with a fixed number of decimals: exact ties go away from zero, the sign is kept."""
     size = F.abs(value)
-    nearest = _nearest_scaled(size, digits, lambda lower: F.lit(1)) / F.lit(float(10**digits))
-    rounded = F.when(size < _ROUNDABLE, nearest).otherwise(size)
-    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.format_string(f"%.{digits}f", rounded))
+    nearest = _nearest(size, digits, lambda lower: F.lit(1)).cast("string")
+    text = F.when(size < _WHOLE, nearest).otherwise(F.format_string(f"%.{digits}f", size))
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
+
+
+def exact_decimal(value: Column, dtype: str) -> Column:
+    """A number as a decimal; an error where digits would be lost."""
+    number = value.cast(dtype)
+    lost = F.raise_error(F.concat(F.lit(f"not exact as {dtype}: "), value.cast("string"))).cast(dtype)
+    return F.when(value.isNull() | (number.cast("double") == value.cast("double")), number).otherwise(lost)
 
 
 def with_unit(value: Column, unit: Column | str, digits: int = 1) -> Column:

@@ -85,8 +85,9 @@ def _map_characters(text: Column, rule: Callable[[str], str]) -> Column:
     table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
 
     def expanded(part: Column) -> Column:
-        left = F.array_distinct(F.regexp_extract_all(part, F.lit(f"({_NON_ASCII})"), F.lit(1)))
-        return F.aggregate(left, part, lambda done, char: F.replace(done, char, F.coalesce(F.try_element_at(table, char), char)))
+        # Only characters that the table has: a text in another script has many that map to themselves.
+        left = F.array_intersect(F.regexp_extract_all(part, F.lit(f"({_NON_ASCII})"), F.lit(1)), F.map_keys(table))
+        return F.aggregate(left, part, lambda done, char: F.replace(done, char, F.try_element_at(table, char)))
 
     # Mapped text is bound to a variable: what is left outside ASCII is usually nothing.
     mapped = F.transform(

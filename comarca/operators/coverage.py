@@ -13,8 +13,6 @@ from comarca.functions.numeric import technology
 from comarca.operators.spatial import intersects_box, within_join
 
 TECHNOLOGIES = [name for name, _ in fixed.TECHNOLOGY_LIMITS_MBPS] + [fixed.TECHNOLOGY_ABOVE]
-#: Rings of up to this many corners after the first are measured without array functions.
-FAN_CORNERS = 8
 BOX_COLUMNS = ("x_min", "y_min", "x_max", "y_max")
 
 
@@ -28,33 +26,10 @@ def tiles_in_box(
 
 
 def with_centroid(tiles: DataFrame, geometry: str = "geometria", x: str = "x", y: str = "y") -> DataFrame:
-    """Add the centroid as two columns.
-
-    Tiles are small outlines of one ring, so their area and moments are summed over a fan of
-    triangles from the first corner, as plain arithmetic that is compiled. Corners a ring does
-    not have fall on the first one and add nothing. Other shapes take the general function.
-    """
-    ring = f"get(get(`{geometry}`, 0), 0)"
-    inner = range(1, FAN_CORNERS)
-    corners = tiles.selectExpr(
-        "*",
-        f"get({ring}, 0) as _o",
-        *[f"coalesce(get({ring}, {i}).{axis} - get({ring}, 0).{axis}, 0D) as _{axis}{i}" for i in range(1, FAN_CORNERS + 1) for axis in "xy"],
-    )
-    turns = corners.selectExpr("*", *[f"_x{i} * _y{i + 1} - _x{i + 1} * _y{i} as _t{i}" for i in inner])
-    sums = turns.selectExpr(
-        *[f"`{name}`" for name in tiles.columns],
-        "_o",
-        " + ".join(f"_t{i}" for i in inner) + " as _a",
-        *[" + ".join(f"(_{axis}{i} + _{axis}{i + 1}) * _t{i}" for i in inner) + f" as _m{axis}" for axis in "xy"],
-    )
-    plain = F.expr(
-        f"size(`{geometry}`) = 1 and size(get(`{geometry}`, 0)) = 1 and size({ring}) <= {FAN_CORNERS + 1} and _a <> 0"
-    )
-    fan = F.expr("named_struct('x', _o.x + _mx / (3 * _a), 'y', _o.y + _my / (3 * _a))")
+    """Add the centroid as two columns, by one formula for all shapes."""
     # The generator keeps the optimizer from copying these expressions into later conditions.
-    centre = F.inline(F.array(F.when(plain, fan).otherwise(geo.centroid(F.col(geometry))))).alias(x, y)
-    return sums.select(*tiles.columns, centre)
+    centre = F.inline(F.array(geo.centroid(F.col(geometry)))).alias(x, y)
+    return tiles.select(*tiles.columns, centre)
 
 
 def located_tiles(

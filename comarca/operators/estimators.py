@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
-from comarca.functions.numeric import number_or_zero, round_half_even
+from comarca.functions.numeric import exact_decimal, number_or_zero, round_half_even
 from comarca.functions.text import is_blank, strip, zero_fill
 from comarca.operators.observations import observations
 from comarca.specs import DirectValue, Metric, Share
 
 #: Sums of decimals do not depend on the order of rows, unlike sums of doubles. Up to
-#: precision 8 Catalyst adds them as plain longs.
-WEIGHT_TYPE = "decimal(18,4)"
+#: precision 8 Catalyst adds them as plain longs. Weights with more decimals than the type has are an error.
+WEIGHT_TYPE = "decimal(28,9)"
 LOCALITY_WEIGHTS = ("poblacion", "hogares", "localidades")
 
 
@@ -44,6 +44,15 @@ def _stripped(df: DataFrame, name: str) -> Column:
     return strip(F.col(name)) if _is_text(df, name) else F.col(name)
 
 
+def _of_year(df: DataFrame, name: str, year: int | str, parse: bool = False) -> Column:
+    """Rows of a year. Whole-number columns are compared as they are, which the scan can use; texts
+    are stripped, and read as numbers where ``parse`` is set."""
+    if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(name) == int(year)
+    text = strip(F.col(name).cast("string"))
+    return text.cast("int") == int(year) if parse else text == str(year)
+
+
 def weighted_totals(
     persons: DataFrame, specs: Sequence[Share], key: str, weight: str, weight_type: str = WEIGHT_TYPE
 ) -> DataFrame:
@@ -54,7 +63,7 @@ def weighted_totals(
     """
     kept = persons.where(_present(persons, key) & _present(persons, weight)).select(
         _stripped(persons, key).alias("_key"),
-        _stripped(persons, weight).cast(weight_type).alias("_weight"),
+        exact_decimal(_stripped(persons, weight), weight_type).alias("_weight"),
         *_columns((spec.holds(persons), spec.variable) for spec in specs),
     )
     return kept.groupBy("_key").agg(
@@ -133,7 +142,7 @@ def locality_shares(
     locality first: a locality with a third of all facts becomes one row, both join sides
     have one row per key, and they are already partitioned by it.
     """
-    of_year = connectivity.where(strip(F.col(year_column).cast("string")) == str(year)).select(
+    of_year = connectivity.where(_of_year(connectivity, year_column, year)).select(
         F.coalesce(strip(F.col(key).cast("string")), F.lit("")).alias("cvegeo"),
         *_columns((spec.holds(connectivity), spec.variable) for spec in specs),
     )
@@ -173,7 +182,7 @@ def direct_observations(
 ) -> DataFrame:
     """Long rows of published values: parsed, not rounded, one row per source row of the year."""
     sequence = F.col(spec.sequence_column).cast("long") if spec.sequence_column in published.columns else F.lit(0).cast("long")
-    rows = published.where(strip(F.col(spec.year_column).cast("string")).cast("int") == year).select(
+    rows = published.where(_of_year(published, spec.year_column, year, parse=True)).select(
         zero_fill(strip(F.col(spec.entity_column).cast("string"))).alias("cve_ent"),
         strip(F.col(spec.value_column).cast("string")).cast("double").alias(spec.variable),
         sequence.alias("secuencia"),

@@ -40,11 +40,6 @@ def left_merge(first: DataFrame, others: Sequence[DataFrame], key: str = "cve_en
     return reduce(lambda left, right: left.join(right, key, "left"), others, first)
 
 
-def known_entities(rows: DataFrame, master: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Inner lookup of master columns by entity code."""
-    return rows.join(master.select("cve_ent", *columns), "cve_ent", "inner")
-
-
 def population_density(population: DataFrame, areas: DataFrame, people: Column, km2: Column) -> DataFrame:
     """Inhabitants per square kilometre of the entities both tables know."""
     joined = population.join(areas, "cve_ent", "inner")

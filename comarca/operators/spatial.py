@@ -65,6 +65,12 @@ def polygon_cells(polygons: DataFrame, step: Column, geometry: str = "geometria"
     return rows.where(F.size("_edges") > 0).drop("_step", "_box")
 
 
+def _bytes(cells: DataFrame) -> int:
+    """Size of the cells in memory: 32 bytes and a header for an edge, and the other columns."""
+    others = sum(16 for _ in cells.columns)
+    return cells.agg(F.coalesce(F.sum(F.size("_edges") * 48 + others + 64), F.lit(0))).first()[0]
+
+
 def within_join(
     points: DataFrame,
     polygons: DataFrame,
@@ -72,15 +78,18 @@ def within_join(
     y: str = "y",
     geometry: str = "geometria",
     step: float | None = None,
+    broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Inner join of points with the polygons they lie strictly inside of.
 
     The equi-join is on the grid cell, the exact test is its residual condition. Points are
-    never replicated. While the cells of the polygons stay under the broadcast threshold the
-    points are not shuffled either; beyond it AQE splits a hot cell of a shuffled join.
+    never replicated. The planner can't guess how many cells and edges polygons have, so their
+    size is measured, one number over the polygons. Up to ``broadcast_bytes`` the cells are broadcast
+    and points aren't shuffled; beyond it both are, and AQE splits a hot cell.
     """
     size = F.lit(float(step)) if step is not None else cell_size(polygons, geometry)
     cells = polygon_cells(polygons, size, geometry)
+    cells = cells.hint("broadcast" if _bytes(cells) <= broadcast_bytes else "merge")
     located = (
         points.withColumn("_step", size)
         .withColumn("_px", F.floor(F.col(x) / F.col("_step")))

@@ -28,7 +28,8 @@ def state_totals(census: DataFrame) -> DataFrame:
 
 def poverty(poverty_cells: DataFrame, master: DataFrame) -> DataFrame:
     """Poverty figures by entity: one sheet per entity, the national one left out."""
-    values = cells.without_first_sheet(cells.labelled_values(cells.sheets_but(poverty_cells)))
+    wanted = cells.sheets_but(poverty_cells)
+    values = cells.without_first_sheet(cells.labelled_values(wanted), wanted)
     return lookups.with_entity_code(values, master, "sheet").select("cve_ent", *[name for name, _ in fixed.POVERTY_LABELS])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: AQE re-plans joins from measured shuffle sizes, so no plan here hints a broadcast.
@@ -32,11 +30,3 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    folder = configured or tempfile.mkdtemp(prefix="comarca-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder

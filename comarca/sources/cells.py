@@ -88,7 +88,10 @@ def labelled_values(
     )
 
 
-def without_first_sheet(values: DataFrame) -> DataFrame:
-    """Leave out the sheet that comes first (the national one)."""
-    first = values.agg(F.min("sheet_pos").alias("p")).scalar()
+def without_first_sheet(values: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Leave out the sheet that comes first (the national one).
+
+    With ``cells``, from which the values were read, the first sheet is looked up by its position
+    alone, and no text is read a second time."""
+    first = (values if cells is None else cells).agg(F.min("sheet_pos").alias("p")).scalar()
     return values.where(F.col("sheet_pos") > first)

@@ -113,3 +113,40 @@ def test_min_max_and_clamp(spark):
 def test_technology_limits(spark):
     speeds = [9.999, 10.0, 39.999, 40.0, float("nan"), None]
     assert one(spark, speeds, "double", num.technology) == ["3G", "4G", "4G", "5G", "5G", "5G"]
+
+
+LARGE = [1e12, 1e13 + 0.125, 4e13 + 0.375, 1357420771768.533, 1234567890123.45, 2.0**52 - 0.5, 2.0**52, 2.0**53, 1e300,
+         -1e13 - 0.125, -2.5, -0.125, 2.675, 0.5, 1.5, 2.5, 562949953421311.875]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 4])
+def test_rounding_has_no_upper_limit(spark, digits):
+    assert one(spark, LARGE, "double", lambda v: num.round_half_even(v, digits)) == [round(v, digits) for v in LARGE]
+
+
+def test_fixed_decimals_of_large_values(spark):
+    assert one(spark, [1234567890123.45, -4503599627370495.5, 1e13 + 0.25], "double", num.fixed_decimals) == [
+        "1234567890123.4",
+        "-4503599627370495.5",
+        "10000000000000.3",
+    ]
+
+
+def test_decimals_never_lose_digits(spark):
+    kind = "decimal(28,9)"
+    assert one(spark, [0.00004, 0.00006, None, 123.123456789], "double", lambda v: num.exact_decimal(v, kind).cast("double")) == [
+        0.00004, 0.00006, None, 123.123456789,
+    ]
+    with pytest.raises(PySparkException):
+        one(spark, [0.0000000004], "double", lambda v: num.exact_decimal(v, kind))
+
+
+def test_fold_of_long_text_in_other_scripts(spark):
+    text = "".join(chr(0x4E00 + i % 6000) for i in range(30_000)) + " Été"
+    assert one(spark, [text], "string", txt.fold) == [" ete"]
+
+
+def test_counts_and_samples_of_fixed_values():
+    assert (len(fixed.POVERTY_LABELS), len(fixed.LONG_COLUMNS)) == (len(dict(fixed.POVERTY_LABELS)), 9)
+    assert fixed.SURVEY_YEAR == 2024 and fixed.COVERAGE_BOX == (-118.5, 14.5, -86.5, 32.7)
+    assert [limit for _, limit in fixed.TECHNOLOGY_LIMITS_MBPS] == [10, 40]

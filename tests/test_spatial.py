@@ -50,7 +50,7 @@ def test_area_centroid_bounds(spark):
     assert got[4][:3] == (0.0, 1.0, 0.0)
 
 
-def test_fan_equals_the_general_centroid(spark):
+def test_centroid_columns_equal_the_general_centroid(spark):
     rnd = random.Random(2)
     rings = []
     for n in (3, 4, 6, 8, 9, 14):
@@ -186,3 +186,16 @@ def test_stored_boxes_reach_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = cov.tiles_in_box(spark.read.parquet(path), fixed.COVERAGE_BOX)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x_max" in plan and "LessThanOrEqual(y_min" in plan
+
+
+def test_cells_are_measured_before_the_join(spark):
+    """Few polygons with many corners: the planner would guess small."""
+    corners = 4000
+    ring = [(math.cos(2 * math.pi * i / corners), math.sin(2 * math.pi * i / corners)) for i in range(corners)]
+    polygons = shapes(spark, [(k, [[ring + ring[:1]]]) for k in range(3)])
+    points = spark.range(2000).select("id", (F.rand(1) * 2 - 1).alias("x"), (F.rand(2) * 2 - 1).alias("y"))
+    large, small = within_join(points, polygons, broadcast_bytes=200_000), within_join(points, polygons)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (large, small)]
+    assert ["SortMergeJoin" in plan for plan in plans] == [True, False]
+    assert ["BroadcastHashJoin" in plan for plan in plans] == [False, True]
+    assert sorted(map(tuple, large.select("id", "k").collect())) == sorted(map(tuple, small.select("id", "k").collect()))

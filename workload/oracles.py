@@ -585,3 +585,24 @@ UNION ALL SELECT 'validation_checks', check_id, status FROM checks
 UNION ALL SELECT 'metrics_profile', metric_id, CAST("count" AS VARCHAR) FROM profile"""
 SQL["published_lines"] = f"""WITH {WIDE}
 SELECT 0 AS section, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS continued UNION ALL SELECT 1, count(*), count(*) - 1 FROM wide UNION ALL SELECT 2, 1, 0"""
+
+def _half_even(digits: int) -> str:
+    scaled = f"(a * {10**digits})"
+    rest = f"({scaled} - floor({scaled}))"
+    up = f"CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND floor({scaled})::HUGEINT % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(s * ((floor({scaled})::HUGEINT + {up})::DECIMAL(38,{digits}) * {10.0**-digits:.{digits}f}::DECIMAL(5,{digits})))::DOUBLE"
+
+
+SQL["rounded_amounts"] = f"""WITH amounts AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS s,
+    (floor(o_totalprice)::BIGINT * 10000000)::DECIMAL(24,6) + (o_orderkey % 64)::DECIMAL(24,6) * 0.015625::DECIMAL(7,6) AS a
+  FROM orders)
+SELECT o_orderkey, {_half_even(2)} AS two, {_half_even(4)} AS four,
+  CASE WHEN s < 0 THEN '-' ELSE '' END || (floor(a * 10 + 0.5)::HUGEINT // 10)::VARCHAR || '.' || (floor(a * 10 + 0.5)::HUGEINT % 10)::VARCHAR AS text
+FROM amounts"""
+
+SQL["weighted_share_fine"] = """WITH w AS (
+  SELECT l_returnflag, l_linestatus, ((l_orderkey % 1000 + 1) * 0.000001)::DECIMAL(18,6) AS w FROM lineitem)
+SELECT l_returnflag AS cve_ent,
+  coalesce(sum(CASE WHEN l_linestatus = 'O' THEN w END)::DOUBLE / sum(w)::DOUBLE, 0) * 100 AS open_pct
+FROM w GROUP BY l_returnflag"""

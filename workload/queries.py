@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from comarca.plans.dashboard import Dashboard
 from comarca.sinks import publish
 from comarca.sources import cells
 from comarca.sources.documents import category_label
+from comarca.specs import Share
 from workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +204,32 @@ def alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def rounded_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts up to about 1e13 with eighths, so that exact ties occur, rounded to 2 and 4 digits and as text."""
+    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    eighths = (F.col("o_orderkey") % 64) / F.lit(64.0)
+    sign = F.when(F.col("o_orderkey") % 3 == 0, -1.0).otherwise(1.0)
+    amount = sign * (F.floor("o_totalprice") * F.lit(1e7) + eighths)
+    rows = orders.select("o_orderkey", amount.alias("amount"))
+    return rows.select(
+        "o_orderkey",
+        num.round_half_even(F.col("amount"), 2).alias("two"),
+        num.round_half_even(F.col("amount"), 4).alias("four"),
+        num.fixed_decimals(F.col("amount"), 1).alias("text"),
+    )
+
+
+@query
+def weighted_share_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares by weights with six decimals."""
+    lines = t.table(spark, sf, "lineitem")
+    weight = (F.col("l_orderkey") % 1000 + 1).cast("decimal(10,0)") * F.lit(Decimal("0.000001"))
+    persons = lines.select("l_returnflag", "l_linestatus", weight.cast("string").alias("w"))
+    spec = Share("open_pct", "c", "open", "%", "lineitem", column="l_linestatus", positive_values=("O",))
+    return est.weighted_shares(persons, [spec], "l_returnflag", "w")
+
+
 # --- sheets and context -----------------------------------------------------------------
 
 
@@ -221,7 +249,7 @@ def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
     table = documents.select(sheet.alias("s"), F.inline(F.array(label, value))).select("s.*", "col", "value")
     patterns = [("licencia", "license"), ("acentos", "É[lt]"), ("euros", "der|die|das"), ("correo", r"[a-z]+@[a-z]+\.")]
     found = cells.labelled_values(cells.sheets_but(table, "src3", -1), patterns)
-    return cells.without_first_sheet(found)
+    return cells.without_first_sheet(found, cells.sheets_but(documents.select(sheet.alias("s")).select("s.*"), "src3", -1))
 
 
 @query

@@ -17,7 +17,6 @@ from comarca.functions.text import zero_fill
 from comarca.operators import observations
 from comarca.plans.survey import Microdata, SurveyInputs, SurveyMetrics, survey_observations
 from comarca.sources.documents import dashboard_metrics
-from comarca.sources.spread import spread
 from comarca.specs import Share, direct_values, locality_shares, survey_shares
 
 YEAR = 1997
@@ -133,9 +132,10 @@ def lines(spark: SparkSession, sf_dir: str) -> Microdata:
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per nation and month, as an authority would publish them."""
+    """Orders per nation and month of the year, as an authority would publish them. The range of dates
+    reaches the scan, before the aggregation."""
     counted = (
-        table(spark, sf_dir, "orders")
+        in_year(table(spark, sf_dir, "orders"))
         .groupBy("o_custkey", F.year("o_orderdate").alias("ANIO"), F.month("o_orderdate").alias("MES"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -196,7 +196,7 @@ def dashboard_catalog(spark: SparkSession) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Whole texts; long ones, so they are dealt out over all cores."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 # --- places -----------------------------------------------------------------------------
@@ -211,7 +211,7 @@ TILE_HALF = 1 / 512
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speed tests with a place; some lie west, south or north of the box."""
-    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value")).select(
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "value").select(
         "event_id", "user_id", "value",
         (F.lit(-119.0) + F.col("event_id") * 15 / F.lit(1024.0)).alias("x"),
         (F.lit(13.0) + F.pmod(F.col("event_id") * 7919 + F.col("user_id") * 131, F.lit(21504)) / F.lit(1024.0)).alias("y"),
