@@ -329,6 +329,20 @@ CHECK_DETAILS = [
     ("null_metric_values", "No se detectaron valores nulos en el dataset ancho."),
 ]
 CHECK_NO_OFFENDERS = "ninguna"
+CLEANING_ESTIMATORS = [
+    ("endutih_weighted_estimator", "porcentaje = (sumatoria de FAC_PER para respuestas positivas / sumatoria total de FAC_PER por entidad) * 100"),
+    (
+        "locality_weighted_estimator",
+        "porcentaje = (sumatoria ponderada por poblacion, hogares o localidades con condicion positiva / sumatoria total del denominador por entidad) * 100",
+    ),
+]
+CLEANING_STEPS = [
+    "se filtran registros sin CVE_ENT o sin FAC_PER en ENDUTIH",
+    "se normaliza la clave estatal con dos digitos para el cruce con el maestro de estados",
+    "se filtran los datos de brecha digital al anio 2024",
+    "se integran solo entidades con catalogo maestro valido",
+    "se redondean indicadores finales a dos decimales",
+]
 METRIC_DESCRIPTION = "{label} derivada de {source}."
 VARIABLE_DESCRIPTION = "{label} (año {year})."
 UNKNOWN_METRIC_ERROR = "La metrica {metric} no existe en el catalogo."

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
@@ -76,7 +76,7 @@ def metric_profile(wide: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _long_facts(long: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Named numbers of the long table; offenders come later, they need the entity count."""
+    """Numbers of the long table for each variable or metric of the catalog."""
     per_variable = pair_counts(long).groupBy("variable").agg(
         F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("surplus"), F.sum("out_of_range").alias("out_of_range")
     )
@@ -88,39 +88,27 @@ def _long_facts(long: DataFrame, catalog: DataFrame) -> DataFrame:
         F.coalesce("out_of_range", F.lit(0)).alias("out_of_range"),
         "_id",
         "_place",
-        F.lit(0).cast("long").alias("entities"),
-        F.lit(0).cast("long").alias("nulls"),
-    )
-
-
-def _wide_facts(wide: DataFrame) -> DataFrame:
-    nulls = F.size(F.filter(F.map_values("metrics"), lambda value: value.isNull()))
-    counted = wide.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(nulls), F.lit(0)).alias("nulls"))
-    return counted.select(
-        F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("surplus"),
-        F.lit(0).cast("long").alias("out_of_range"),
-        F.lit(None).cast("string").alias("_id"), F.lit(None).cast("int").alias("_place"), "entities", "nulls",
     )
 
 
 def validation_facts(long: DataFrame, wide: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row with everything the checks compare. Its lists are as long as the catalog."""
-    facts = _long_facts(long, catalog).unionByName(_wide_facts(wide)).agg(
-        F.sum("rows").alias("records"),
-        F.sum("surplus").alias("duplicates"),
-        F.sum("out_of_range").alias("out_of_range"),
-        F.sum("entities").alias("entities"),
-        F.sum("nulls").alias("nulls"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("_id").isNotNull(), F.struct("_place", F.col("_id").alias("id"), "rows")))
-        ).alias("_metrics"),
+    """One row with everything the checks compare. Only metrics that miss or repeat an entity are listed."""
+    nulls = F.size(F.filter(F.map_values("metrics"), lambda value: value.isNull()))
+    counted = wide.agg(F.struct(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(nulls), F.lit(0)).alias("nulls")).alias("c")).scalar()
+    entities = counted.getField("entities")
+    uneven = F.col("_id").isNotNull() & (F.col("rows") != F.col("entities"))
+    listed = _long_facts(long, catalog).withColumn("entities", entities)
+    facts = listed.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("records"),
+        F.coalesce(F.sum("surplus"), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum("out_of_range"), F.lit(0)).alias("out_of_range"),
+        F.count("_id").cast("int").alias("metrics"),
+        F.sort_array(F.collect_list(F.when(uneven, F.struct("_place", F.col("_id").alias("id"))))).alias("_uneven"),
     )
-    uneven = F.filter("_metrics", lambda m: m["rows"] != F.col("entities"))
     return facts.select(
-        "records", "duplicates", "out_of_range", "entities", "nulls",
-        F.size("_metrics").alias("metrics"),
-        (F.col("entities") * F.size("_metrics")).alias("expected"),
-        F.transform(uneven, lambda m: m["id"]).alias("offenders"),
+        "records", "duplicates", "out_of_range", entities.alias("entities"), counted.getField("nulls").alias("nulls"), "metrics",
+        (entities * F.col("metrics")).alias("expected"),
+        F.transform("_uneven", lambda m: m["id"]).alias("offenders"),
     )
 
 
@@ -128,7 +116,10 @@ def validation_checks(
     long: DataFrame, wide: DataFrame, catalog: DataFrame, expected_entities: int = fixed.EXPECTED_ENTITIES
 ) -> DataFrame:
     """The six checks as ``check_id, status, detail`` (and ``posicion`` for their order)."""
-    facts = validation_facts(long, wide, catalog)
+    return checks_of(validation_facts(long, wide, catalog), expected_entities)
+
+
+def checks_of(facts: DataFrame, expected_entities: int = fixed.EXPECTED_ENTITIES) -> DataFrame:
     listed = F.concat(
         F.lit("["), F.array_join(F.transform("offenders", lambda name: F.concat(F.lit("'"), name, F.lit("'"))), ", "), F.lit("]")
     )
@@ -156,7 +147,10 @@ def validation_checks(
 
 def report_summary(long: DataFrame, wide: DataFrame, catalog: DataFrame, sources: int) -> DataFrame:
     """Size of the datasets a report covers."""
-    facts = validation_facts(long, wide, catalog)
+    return summary_of(validation_facts(long, wide, catalog), sources)
+
+
+def summary_of(facts: DataFrame, sources: int) -> DataFrame:
     return facts.select(
         F.lit(sources).cast("long").alias("raw_files_profiled"),
         F.col("records").alias("records_long"),
@@ -165,8 +159,20 @@ def report_summary(long: DataFrame, wide: DataFrame, catalog: DataFrame, sources
     )
 
 
-def report_lines(summary: DataFrame, breakdown: DataFrame, checks: DataFrame, profile: DataFrame) -> DataFrame:
-    """The report in long form: ``section, key, value``."""
+def cleaning_logic(spark: SparkSession) -> DataFrame:
+    """How the published values come about: ``posicion, key, value``; the steps in their order."""
+    texts = [*fixed.CLEANING_ESTIMATORS, *[("key_steps", step) for step in fixed.CLEANING_STEPS]]
+    return spark.createDataFrame([(i, *text) for i, text in enumerate(texts)], "posicion int, key string, value string")
+
+
+def report_lines(
+    summary: DataFrame, breakdown: DataFrame, checks: DataFrame, profile: DataFrame, raw_files: DataFrame | None = None
+) -> DataFrame:
+    """The report in long form: ``section, key, value``.
+
+    A check has its status under its name and its text under ``<check>.detail``; a metric or raw file has
+    one line per figure, ``<metric>.<figure>`` (two decimals, the count whole).
+    """
     counts = summary.select(
         F.lit("summary").alias("section"),
         F.inline(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in summary.columns])),
@@ -174,8 +180,20 @@ def report_lines(summary: DataFrame, breakdown: DataFrame, checks: DataFrame, pr
     by_source = breakdown.select(
         F.lit("source_breakdown").alias("section"), F.col("source").alias("key"), F.col("records").cast("string").alias("value")
     )
-    by_check = checks.select(F.lit("validation_checks").alias("section"), F.col("check_id").alias("key"), F.col("status").alias("value"))
-    by_metric = profile.select(
-        F.lit("metrics_profile").alias("section"), F.col("metric_id").alias("key"), F.col("count").cast("string").alias("value")
-    )
-    return counts.unionByName(by_source).unionByName(by_check).unionByName(by_metric)
+    by_check = _figures(checks, "validation_checks", "check_id", {"": F.col("status"), ".detail": F.col("detail")})
+    statistics = {f".{name}": F.col(name).cast("decimal(38,2)").cast("string") for name in ("min", "max", "mean", "std_dev")}
+    by_metric = _figures(profile, "metrics_profile", "metric_id", {"": F.col("count").cast("string"), **statistics})
+    lines = counts.unionByName(by_source).unionByName(by_check).unionByName(by_metric)
+    if raw_files is None:
+        return lines
+    figures = {
+        ".file_name": F.col("file_name"), ".columns": F.array_join("columns", ","),
+        **{f".{name}": F.col(name).cast("string") for name in ("rows_read", "rows_with_missing_primary_keys")},
+    }
+    return lines.unionByName(_figures(raw_files, "raw_files", "source_id", figures))
+
+
+def _figures(rows: DataFrame, section: str, key: str, values: dict[str, Column]) -> DataFrame:
+    """One line per figure of each row, under the row's key and the figure's name."""
+    figures = [F.struct(F.concat(F.col(key), F.lit(name)).alias("key"), value.alias("value")) for name, value in values.items()]
+    return rows.select(F.lit(section).alias("section"), F.inline(F.array(*figures)))

@@ -66,13 +66,13 @@ def document_lines(records: DataFrame, head: DataFrame, catalog: DataFrame | Non
 
 
 def write_wide_document(
-    wide: DataFrame, catalog: DataFrame, head: DataFrame, paths: list[str], single_file: bool = True
+    wide: DataFrame, catalog: DataFrame, head: DataFrame, paths: list[str], single_file: bool = False
 ) -> None:
     """The enveloped wide document at every path, from one computation.
 
-    One record per entity and unique ``cve_ent``. ``single_file`` streams the sorted lines
-    through one writer, which needs no memory for them; without it the sorted part files
-    are to be read one after the other.
+    One record per entity and unique ``cve_ent``. The sorted part files are to be read one after
+    the other; ``single_file`` streams the lines through one writer instead, for datasets of
+    few entities.
     """
     lines = document_lines(wide, head, catalog)
     parts = 1 if single_file else int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))

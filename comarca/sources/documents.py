@@ -70,7 +70,11 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return unfold(catalog, "categories", "posicion"), unfold(catalog, "variables", "posicion")
 
 
-def read_long(spark: SparkSession, path: str) -> DataFrame:
+def read_long(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records of a long document; with ``lines`` those of a folder written by ``write_long_json``,
+    which is read split by split."""
+    if lines:
+        return spark.read.schema(LONG_FIELDS).json(f"{path}/records")
     return unfold(read_envelope(spark, path, {"records": LONG_FIELDS}), "records")
 
 

@@ -22,6 +22,15 @@ def read_shapes(spark: SparkSession, path: str, properties: dict[str, str], line
     else:
         collection = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
         features = collection.select(F.explode("features").alias("f")).select("f.*")
+    return shaped(features, properties)
+
+
+def parsed_features(lines: DataFrame, column: str, properties: dict[str, str]) -> DataFrame:
+    """Features held in a text column, one a row."""
+    return shaped(lines.select(F.from_json(column, _FEATURE).alias("f")).select("f.*"), properties)
+
+
+def shaped(features: DataFrame, properties: dict[str, str]) -> DataFrame:
     return features.where(F.col("geometry").isNotNull()).select(
         *[F.try_element_at("properties", F.lit(name)).cast(dtype).alias(name) for name, dtype in properties.items()],
         from_geojson(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geometria"),

@@ -213,4 +213,22 @@ def test_report(spark, tmp_path):
     publish_report(sections, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r" / "validation_checks")).count() == 6
     lines = quality.report_lines(sections["summary"], sections["source_breakdown"], sections["validation_checks"], sections["metrics_profile"])
-    assert lines.count() == 4 + 1 + 6 + 2
+    assert lines.count() == 4 + 1 + 2 * 6 + 5 * 2
+    head = spark.createDataFrame([("2026-04-19", "d")], "updated_at string, dataset_id string")
+    enveloped = quality_report([], long, wide, catalog, 1, head=head)
+    assert tuple(enveloped["envelope"].first()) == ("2026-04-19", "d")
+    logic = [r.key for r in enveloped["cleaning_logic"].collect()]
+    assert logic == ["endutih_weighted_estimator", "locality_weighted_estimator"] + ["key_steps"] * 5
+    raw_lines = quality.report_lines(
+        sections["summary"], sections["source_breakdown"], sections["validation_checks"], sections["metrics_profile"], sections["raw_files"]
+    )
+    found = {r.key: r.value for r in raw_lines.where("section = 'raw_files'").collect()}
+    assert found["personas.columns"] == "CVE_ENT,FAC_PER" and found["personas.rows_with_missing_primary_keys"] == "2"
+
+
+def test_facts_of_empty_tables_and_offenders(spark):
+    long, wide, catalog = stored(spark, [("01", "a", 1, "%"), ("02", "a", 3, "%"), ("01", "b", 900, "u")])
+    facts = quality.validation_facts(long, wide, catalog).first()
+    assert (facts.records, facts.entities, facts.metrics, facts.expected, facts.offenders) == (3, 2, 2, 4, ["b"])
+    none = quality.validation_facts(long.limit(0), wide.limit(0), catalog.limit(0)).first()
+    assert (none.records, none.entities, none.nulls, none.metrics, none.offenders) == (0, 0, 0, 0, [])

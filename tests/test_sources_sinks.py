@@ -86,6 +86,18 @@ def test_long_document(spark, tmp_path):
     assert documents.read_long(spark, path).first().asDict() == record
 
 
+def test_long_lines_read_back(spark, tmp_path):
+    record = dict(zip(fixed.LONG_COLUMNS, ["AGS", "01", "Aguascalientes", "c", "v", 1.25, 2024, "f", "%"]))
+    long = spark.createDataFrame([record], documents.LONG_FIELDS)
+    publish.write_long_json(long, str(tmp_path / "long"), publish.envelope(long, "u", "d", "s"))
+    assert documents.read_long(spark, str(tmp_path / "long"), lines=True).first().asDict() == record
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'a,b\n1,"two\nlines"\n')
+    assert [tuple(r) for r in tables.read_delimited(spark, path, multi_line=True).collect()] == [("1", "two\nlines")]
+
+
 def test_shapes(spark, tmp_path):
     square = [[[0, 0], [1, 0], [1, 1], [0, 0]]]
     features = [

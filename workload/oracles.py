@@ -582,7 +582,16 @@ SELECT 'summary' AS section, 'raw_files_profiled' AS key, '4' AS value UNION ALL
 UNION ALL SELECT 'summary', 'states_wide', CAST(entities AS VARCHAR) FROM f UNION ALL SELECT 'summary', 'metrics_in_catalog', CAST(metrics AS VARCHAR) FROM f
 UNION ALL SELECT 'source_breakdown', fuente, CAST(count(*) AS VARCHAR) FROM long GROUP BY fuente
 UNION ALL SELECT 'validation_checks', check_id, status FROM checks
-UNION ALL SELECT 'metrics_profile', metric_id, CAST("count" AS VARCHAR) FROM profile"""
+UNION ALL SELECT 'validation_checks', check_id || '.detail', detail FROM checks
+UNION ALL SELECT 'metrics_profile', metric_id, CAST("count" AS VARCHAR) FROM profile""" + "".join(
+    f"""
+UNION ALL SELECT 'metrics_profile', metric_id || '.{name}', CAST(CAST("{name}" AS DECIMAL(38,2)) AS VARCHAR) FROM profile"""
+    for name in ("min", "max", "mean", "std_dev")
+)
+SQL["published_records"] = f"""WITH {WIDE}
+SELECT l.cve_ent, m.estado, m.region, l.variable, l.valor FROM last_values l JOIN wide m USING (cve_ent)"""
+SQL["csv_records"] = """SELECT o_orderkey, '"a", ' || o_orderpriority AS note, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders"""
+SQL["feature_shapes"] = SQL["tile_features"].replace("AS tech_proxy FROM b", "AS tech_proxy, round(mbps, 6) AS avg_d_mbps FROM b")
 SQL["published_lines"] = f"""WITH {WIDE}
 SELECT 0 AS section, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS continued UNION ALL SELECT 1, count(*), count(*) - 1 FROM wide UNION ALL SELECT 2, 1, 0"""
 

@@ -24,8 +24,8 @@ from comarca.operators.spatial import within_join
 from comarca.plans import context, network, survey
 from comarca.plans.dashboard import Dashboard
 from comarca.sinks import publish
-from comarca.sources import cells
-from comarca.sources.documents import category_label
+from comarca.sources import cells, shapes, tables
+from comarca.sources.documents import WIDE_FIELDS, category_label
 from comarca.specs import Share
 from workload import tables as t
 
@@ -698,12 +698,42 @@ def raw_profile(spark: SparkSession, sf: str) -> DataFrame:
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The report in long form."""
     long, wide, catalog = _stored_forms(spark, sf)
+    facts = quality.validation_facts(long, wide, catalog)
     return quality.report_lines(
-        quality.report_summary(long, wide, catalog, 4), quality.source_breakdown(long),
-        quality.validation_checks(long, wide, catalog, 25), quality.metric_profile(wide, catalog),
+        quality.summary_of(facts, 4), quality.source_breakdown(long),
+        quality.checks_of(facts, 25), quality.metric_profile(wide, catalog),
     )
 
 
+@query
+def published_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Content of the record lines of the wide document, parsed back: one row per entity and metric."""
+    long, wide, catalog = _stored_forms(spark, sf)
+    head = publish.envelope(long, "2026-04-19", fixed.SURVEY_WIDE_ID, fixed.SURVEY_SOURCE)
+    lines = publish.document_lines(wide, head, catalog).where("_section = 1")
+    record = F.from_json(F.ltrim("value", F.lit(",")), WIDE_FIELDS)
+    return lines.select(record.alias("r")).select("r.cve_ent", "r.estado", "r.region", F.explode("r.metrics").alias("variable", "valor"))
+
+
+@query
+def csv_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as delimited lines with quotes in a field, parsed by the CSV source: some columns, some typed."""
+    orders = t.table(spark, sf, "orders").withColumn("note", F.concat(F.lit('"a", '), "o_orderpriority"))
+    names = ["o_orderkey", "o_orderstatus", "note", "o_custkey"]
+    lines = orders.select(F.to_csv(F.struct(*names), tables.QUOTES).alias("line"))
+    return tables.parsed_lines(lines, "line", names, ["o_orderkey", "note", "o_custkey"], {"o_orderkey": "bigint"})
+
+
+@query
+def feature_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles written as GeoJSON features and read back by the polygon source, properties included."""
+    tiles = cov.with_technology(cov.tiles_in_box(t.tiles(spark, sf), t.STRIP_BOX))
+    lines = publish.features(tiles, ["event_id", "tech_proxy", "avg_d_mbps"])
+    back = shapes.parsed_features(lines, "value", {"event_id": "bigint", "tech_proxy": "string", "avg_d_mbps": "double"})
+    speed = F.round("avg_d_mbps", 6).alias("avg_d_mbps")
+    return back.select("event_id", F.md5(geo.to_geojson(F.col("geometria"))).alias("shape"), "tech_proxy", speed)
+
+
 @query
 def published_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the enveloped wide document, counted by kind."""
