@@ -9,6 +9,7 @@ from comarca.functions import geometry as geo
 from comarca.operators import coverage as cov
 from comarca.operators.spatial import cell_size, intersects_box, polygon_cells, within_join
 from comarca.plans import network
+from comarca.sources.shapes import read_shapes
 
 SQUARE = [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]]
 HOLED = [[SQUARE[0][0], [(1.0, 1.0), (1.0, 3.0), (3.0, 3.0), (3.0, 1.0), (1.0, 1.0)]]]
@@ -170,6 +171,27 @@ def test_tiles_to_states(spark):
     assert got == [("M1", "3G", 0.75), ("M1", "4G", 3.65), ("M2", "5G", 3.8499999999999996)]
 
 
+def test_publish_coverage_writes_layers_and_roll_ups(spark, tmp_path):
+    west, south = -100.0, 20.0
+
+    def square(x, y, d):
+        return [[[(west + x + i * d, south + y + j * d) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]]]
+
+    towns = shapes(spark, [(1, square(1, 1, 1)), (2, square(3, 1, 1))], [("01", "M1", "uno"), ("01", "M2", "dos")])
+    tiles = spark.createDataFrame(
+        [([[[{"x": x, "y": y} for x, y in square(*at)[0][0]]]], kbps, n) for at, kbps, n in (
+            ((1, 1, 0.25), 5000.0, 1), ((1.5, 1, 0.25), 15000.0, 2), ((3, 1, 0.25), 45000.0, 4))],
+        f"geometria {geo.GEOMETRY}, avg_d_kbps double, tests long",
+    )
+    network.publish_coverage(tiles, towns, str(tmp_path))
+    towns_out = {r.id_cvegeo: (r.int_avg_speed, r.tests, r.int_pct_5g_coverage) for r in spark.read.json(str(tmp_path / "municipios")).collect()}
+    assert towns_out == {"M1": (10.0, 3, 0.0), "M2": (45.0, 4, 100.0)}
+    (state,) = spark.read.json(str(tmp_path / "estados")).collect()
+    assert state.int_pct_5g_coverage == 50.0
+    layer = read_shapes(spark, str(tmp_path / "geojson"), {"tech_proxy": "string", "avg_d_mbps": "double"}, lines=True)
+    assert sorted((r.tech_proxy, r.avg_d_mbps) for r in layer.collect()) == [("3G", 5.0), ("4G", 15.0), ("5G", 45.0)]
+
+
 def test_coverage_shares_add_up(spark):
     rnd = random.Random(1)
     tiles = speed_rows(spark, [(f"{rnd.randrange(3):02d}", f"M{rnd.randrange(12)}", "x", rnd.uniform(0, 80000), 1, "g") for _ in range(500)])
