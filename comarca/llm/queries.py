@@ -95,7 +95,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame):
     """Learns from labelled rows whose remainder is known and not 0."""
     from comarca.llm.toxicity import fit, training_rows
 
-    return fit(training_rows(documents, labels).filter(remainder(5) != 0))
+    return fit(training_rows(documents, labels.filter(remainder(5) != 0)))
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comarca.llm import textbytes
+from comarca.llm.lineage import written
 
 #: Lengths in bytes of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6)
@@ -114,9 +115,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` of the rows, drawn by a hash of doc_id (all where there are fewer)."""
-    n = rows.count()
+def _drawn(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """About `most` of `n` rows, drawn by a hash of doc_id (all where there are fewer)."""
     if n <= most:
         return rows
     return rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) < most / n * (1 << 20))
@@ -232,9 +232,13 @@ def fit(
     rows, or one class only, the model has no features and gives everywhere the share of toxic
     texts (0 without rows).
     """
-    sample = _sample(labelled.filter("text is not null and toxic in (0, 1)"), most_texts)
-    sample = sample.select("text", F.col("toxic").cast("int").alias("toxic"))
-    texts, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows = labelled.filter("text is not null and toxic in (0, 1)")
+    rows = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    size = [F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))]
+    texts, toxic = rows.agg(*size).first()
+    sample = _drawn(rows, texts, most_texts)
+    if texts > most_texts:
+        texts, toxic = sample.agg(*size).first()
     none = np.zeros(0, np.uint64)
     if not texts or toxic in (0, texts):
         return Model(none, np.zeros(0), 20.0 if texts and toxic else -20.0)
@@ -262,8 +266,19 @@ def scored(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the documents with one label; ids with contradicting labels have none."""
+def training_rows(documents: DataFrame, labels: DataFrame, most_texts: int = 20_000) -> DataFrame:
+    """doc_id, text, toxic of documents with one label; ids with contradicting labels have none.
+
+    Where more than `most_texts` documents have a label, about so many of the labelled ids are drawn
+    by the hash that `fit` draws with. The ids are drawn before they meet a text, counted, and sent
+    to the texts if there are at most twice as many as wanted; else (labels of ids that no document
+    has) both sides are shuffled.
+    """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
     known = known.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_other")).filter("toxic = _other").drop("_other")
-    return documents.select("doc_id", "text").join(known, "doc_id")
+    known = written(known, "labels")
+    n = documents.select("doc_id").join(known, "doc_id").count()
+    drawn = _drawn(known, n, most_texts)
+    if drawn.count() <= 2 * most_texts:
+        drawn = F.broadcast(drawn)
+    return documents.select("doc_id", "text").join(drawn, "doc_id")
