@@ -169,7 +169,7 @@ def locality_shares(
 
 
 def share_observations(
-    shares: DataFrame, specs: Sequence[Metric], master: DataFrame, anio: int, fuente: str, digits: int = 2
+    shares: DataFrame, specs: Sequence[Metric], master: DataFrame | None, anio: int, fuente: str, digits: int = 2
 ) -> DataFrame:
     """Long rows of a share table: known entities only, missing shares left out, rounded."""
     return observations(
@@ -178,7 +178,7 @@ def share_observations(
 
 
 def direct_observations(
-    published: DataFrame, spec: DirectValue, master: DataFrame, year: int = fixed.SURVEY_YEAR
+    published: DataFrame, spec: DirectValue, master: DataFrame | None, year: int = fixed.SURVEY_YEAR
 ) -> DataFrame:
     """Long rows of published values: parsed, not rounded, one row per source row of the year."""
     sequence = F.col(spec.sequence_column).cast("long") if spec.sequence_column in published.columns else F.lit(0).cast("long")

@@ -1,8 +1,11 @@
-"""Sentences, cards and menu figures. Each set needs one aggregation of the records."""
+"""Sentences, cards and menu figures.
+
+A section is a :class:`Part`; any number of parts over the same records takes one aggregation.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,106 +43,170 @@ def gap_focus(name: str = fixed.DEFAULT_GAP_METRIC) -> Focus:
 SCORE = Focus(*fixed.SCORE_METRIC[:3])
 
 
-def _sentences(facts: DataFrame, templates: Sequence[str], **values: Column | str) -> DataFrame:
-    """Fill the templates from one row of facts; no records, no sentences."""
-    filled = F.array(*[fill_in(template, **values) for template in templates])
-    return facts.where(F.col("_n") > 0).select(F.posexplode(filled).alias("posicion", "texto"))
+@dataclass(frozen=True)
+class Part:
+    """Aggregates of the records, by name, and the rows that are told from them.
+
+    ``rows`` gets a function that gives an aggregate by its name and returns an array of structs.
+    """
+
+    aggregates: dict[str, Column]
+    rows: Callable[[Callable[[str], Column]], Column]
+
+
+def told(records: DataFrame, parts: dict[str, Part]) -> DataFrame:
+    """Rows of all parts with their ``section``, from one aggregation; no records, no rows."""
+    structs = [
+        F.struct(*[column.alias(key) for key, column in part.aggregates.items()]).alias(f"_{name}") for name, part in parts.items()
+    ]
+    facts = records.agg(F.count(F.lit(1)).alias("_n"), *structs).where(F.col("_n") > 0)
+
+    def rows(name: str, part: Part) -> Column:
+        return F.transform(
+            part.rows(lambda key: F.col(f"_{name}.{key}")), lambda row: F.struct(row.alias("row"), F.lit(name).alias("section"))
+        )
+
+    every = F.concat(*[rows(name, part) for name, part in parts.items()])
+    return facts.select(F.inline(every)).select("row.*", "section")
+
+
+def _alone(records: DataFrame, part: Part) -> DataFrame:
+    return told(records, {"only": part}).drop("section")
+
+
+def _sentences(templates: Sequence[str], **values: Column | str) -> Column:
+    """The filled templates as structs of ``posicion`` and ``texto``."""
+    return F.array(
+        *[
+            F.struct(F.lit(i).alias("posicion"), fill_in(template, **values).alias("texto"))
+            for i, template in enumerate(templates)
+        ]
+    )
 
 
 def _facts(records: DataFrame, **aggregates: Column) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("_n"), *[column.alias(name) for name, column in aggregates.items()])
 
 
-def territorial_insights(records: DataFrame, focus: Focus) -> DataFrame:
+def territorial_part(records: DataFrame, focus: Focus) -> Part:
     value = an.metric(records, focus.id)
-    facts = _facts(
-        records,
-        leader=an.top(value),
-        teledensity_leader=an.top(an.metric(records, _TELEDENSITY)),
-        laggard=an.bottom(value),
-    )
-    return _sentences(
-        facts, fixed.TERRITORIAL_SENTENCES, label=focus.lowered,
-        **{name: F.col(name) for name in ("leader", "teledensity_leader", "laggard")},
+    aggregates = {
+        "leader": an.top(value),
+        "teledensity_leader": an.top(an.metric(records, _TELEDENSITY)),
+        "laggard": an.bottom(value),
+    }
+    return Part(
+        aggregates,
+        lambda fact: _sentences(fixed.TERRITORIAL_SENTENCES, label=focus.lowered, **{name: fact(name) for name in aggregates}),
     )
 
 
-def population_insights(records: DataFrame, focus: Focus) -> DataFrame:
+def population_part(records: DataFrame, focus: Focus) -> Part:
     value = an.metric(records, focus.id)
-    facts = _facts(
-        records,
-        leader=an.top(value),
-        average=an.average(value),
-        gap=an.average(an.metric(records, _4G_POPULATION)) - an.average(an.metric(records, _4G_LOCALITIES)),
-    )
-    return _sentences(
-        facts, fixed.POPULATION_SENTENCES, label=focus.lowered, unit=focus.unit, leader=F.col("leader"),
-        average=fixed_decimals(F.col("average")), gap=fixed_decimals(F.col("gap")),
+    aggregates = {
+        "leader": an.top(value),
+        "average": an.average(value),
+        "gap": an.average(an.metric(records, _4G_POPULATION)) - an.average(an.metric(records, _4G_LOCALITIES)),
+    }
+    return Part(
+        aggregates,
+        lambda fact: _sentences(
+            fixed.POPULATION_SENTENCES, label=focus.lowered, unit=focus.unit, leader=fact("leader"),
+            average=fixed_decimals(fact("average")), gap=fixed_decimals(fact("gap")),
+        ),
     )
 
 
-def gap_insights(records: DataFrame, focus: Focus) -> DataFrame:
+def gap_part(records: DataFrame, focus: Focus) -> Part:
     """``records`` come from :func:`comarca.operators.analytics.with_gaps`."""
     value = an.metric(records, focus.id)
-    facts = _facts(records, leader=an.top(value), lowest=an.bottom(value), average=an.average(value))
-    return _sentences(
-        facts, fixed.GAP_SENTENCES, label=focus.lowered, leader=F.col("leader"), lowest=F.col("lowest"),
-        base=F.lower(F.lit(an.gap_pair(focus.id)[2])), average=fixed_decimals(F.col("average")),
+    return Part(
+        {"leader": an.top(value), "lowest": an.bottom(value), "average": an.average(value)},
+        lambda fact: _sentences(
+            fixed.GAP_SENTENCES, label=focus.lowered, leader=fact("leader"), lowest=fact("lowest"),
+            base=F.lower(F.lit(an.gap_pair(focus.id)[2])), average=fixed_decimals(fact("average")),
+        ),
     )
 
 
-def adoption_insights(records: DataFrame, focus: Focus) -> DataFrame:
+def adoption_part(records: DataFrame, focus: Focus) -> Part:
     coverage, label = an.adoption_pair(focus.id)
     covered = an.metric(records, coverage)
-    facts = _facts(
-        records, leader=an.top(an.metric(records, focus.id)), coverage_leader=an.top(covered), average=an.average(covered)
-    )
-    return _sentences(
-        facts, fixed.ADOPTION_SENTENCES, label=focus.lowered, coverage=F.lower(F.lit(label)), leader=F.col("leader"),
-        coverage_leader=F.col("coverage_leader"), average=fixed_decimals(F.col("average")),
+    return Part(
+        {"leader": an.top(an.metric(records, focus.id)), "coverage_leader": an.top(covered), "average": an.average(covered)},
+        lambda fact: _sentences(
+            fixed.ADOPTION_SENTENCES, label=focus.lowered, coverage=F.lower(F.lit(label)), leader=fact("leader"),
+            coverage_leader=fact("coverage_leader"), average=fixed_decimals(fact("average")),
+        ),
     )
 
 
-def opportunity_insights(scored: DataFrame, focus: Focus) -> DataFrame:
+def opportunity_part(scored: DataFrame, focus: Focus) -> Part:
     """``scored`` comes from :func:`comarca.operators.analytics.opportunity`."""
-    facts = _facts(
-        scored,
-        leader=an.top(F.col("opportunityScore")),
-        market_leader=an.top(F.col("marketAttractiveness")),
-        whitespace_leader=an.top(F.col("whitespaceScore")),
-    )
-    return _sentences(
-        facts, fixed.OPPORTUNITY_SENTENCES, label=focus.label,
-        **{name: F.col(name) for name in ("leader", "market_leader", "whitespace_leader")},
+    aggregates = {
+        "leader": an.top(F.col("opportunityScore")),
+        "market_leader": an.top(F.col("marketAttractiveness")),
+        "whitespace_leader": an.top(F.col("whitespaceScore")),
+    }
+    return Part(
+        aggregates,
+        lambda fact: _sentences(fixed.OPPORTUNITY_SENTENCES, label=focus.label, **{name: fact(name) for name in aggregates}),
     )
 
 
+def territorial_insights(records: DataFrame, focus: Focus) -> DataFrame:
+    return _alone(records, territorial_part(records, focus))
+
+
+def population_insights(records: DataFrame, focus: Focus) -> DataFrame:
+    return _alone(records, population_part(records, focus))
+
+
+def gap_insights(records: DataFrame, focus: Focus) -> DataFrame:
+    return _alone(records, gap_part(records, focus))
+
+
+def adoption_insights(records: DataFrame, focus: Focus) -> DataFrame:
+    return _alone(records, adoption_part(records, focus))
+
+
+def opportunity_insights(scored: DataFrame, focus: Focus) -> DataFrame:
+    return _alone(scored, opportunity_part(scored, focus))
+
+
 def executive_insights(scored: DataFrame) -> DataFrame:
-    facts = _facts(
+    aggregates = {
+        "internet_leader": an.top(an.metric(scored, "personas_usuarias_internet_pct")),
+        "teledensity_leader": an.top(an.metric(scored, _TELEDENSITY)),
+        "coverage_leader": an.top(an.metric(scored, _4G_POPULATION)),
+        "opportunity_leader": an.top(F.col("opportunityScore")),
+    }
+    return _alone(
         scored,
-        internet_leader=an.top(an.metric(scored, "personas_usuarias_internet_pct")),
-        teledensity_leader=an.top(an.metric(scored, _TELEDENSITY)),
-        coverage_leader=an.top(an.metric(scored, _4G_POPULATION)),
-        opportunity_leader=an.top(F.col("opportunityScore")),
+        Part(aggregates, lambda fact: _sentences(fixed.EXECUTIVE_SENTENCES, **{name: fact(name) for name in aggregates})),
     )
-    names = ("internet_leader", "teledensity_leader", "coverage_leader", "opportunity_leader")
-    return _sentences(facts, fixed.EXECUTIVE_SENTENCES, **{name: F.col(name) for name in names})
 
 
 def metric_insights(records: DataFrame, focus: Focus) -> DataFrame:
     """A missing value makes the average unknown here, and shows as ``NaN``."""
     value = an.metric(records, focus.id)
-    facts = _facts(
-        records, leader=an.top(value), laggard=an.last_ranked(value), top=an.top(value, value), average=an.strict_average(value)
-    )
-
-    def shown(name: str) -> Column:
-        return F.coalesce(fixed_decimals(F.col(name)), F.lit("NaN"))
 
-    return _sentences(
-        facts, fixed.METRIC_SENTENCES, label=focus.lowered, unit=focus.unit, leader=F.col("leader"),
-        laggard=F.col("laggard"), top=shown("top"), average=shown("average"),
+    def shown(fact: Column) -> Column:
+        return F.coalesce(fixed_decimals(fact), F.lit("NaN"))
+
+    part = Part(
+        {
+            "leader": an.top(value),
+            "laggard": an.last_ranked(value),
+            "top": an.top(value, value),
+            "average": an.strict_average(value),
+        },
+        lambda fact: _sentences(
+            fixed.METRIC_SENTENCES, label=focus.lowered, unit=focus.unit, leader=fact("leader"),
+            laggard=fact("laggard"), top=shown(fact("top")), average=shown(fact("average")),
+        ),
     )
+    return _alone(records, part)
 
 
 def menu_figures(scored_with_gaps: DataFrame) -> DataFrame:
@@ -173,24 +240,24 @@ def _card(position: int, label: str, value: Column, helper: Column) -> Column:
     )
 
 
-def _leader_card(label: str, focus: Focus) -> Column:
+def _leader_card(label: str, focus: Focus, top: Column, leader: Column) -> Column:
     return _card(
         0,
         label,
-        F.coalesce(with_unit(F.col("_top"), focus.unit), F.lit(fixed.NOT_AVAILABLE)),
-        F.when(F.col("_leader").isNull(), F.lit(fixed.NO_DATA)).otherwise(
-            fill_in(fixed.CARD_LEADER_HELPER, state=F.col("_leader"), label=focus.lowered)
+        F.coalesce(with_unit(top, focus.unit), F.lit(fixed.NOT_AVAILABLE)),
+        F.when(leader.isNull(), F.lit(fixed.NO_DATA)).otherwise(
+            fill_in(fixed.CARD_LEADER_HELPER, state=leader, label=focus.lowered)
         ),
     )
 
 
-def _average_card(focus: Focus) -> Column:
+def _average_card(focus: Focus, average: Column) -> Column:
     return _card(
-        1, fixed.CARD_AVERAGE, with_unit(F.col("_average"), focus.unit), fill_in(fixed.CARD_AVERAGE_HELPER, label=focus.lowered)
+        1, fixed.CARD_AVERAGE, with_unit(average, focus.unit), fill_in(fixed.CARD_AVERAGE_HELPER, label=focus.lowered)
     )
 
 
-def section_cards(records: DataFrame, section: str, focus: Focus) -> DataFrame:
+def cards_part(records: DataFrame, section: str, focus: Focus) -> Part:
     """Leader, average and the average of the associated metric of one dashboard section.
 
     ``section`` is ``territorial``, ``population``, ``gap`` or ``adoption``.
@@ -209,24 +276,38 @@ def section_cards(records: DataFrame, section: str, focus: Focus) -> DataFrame:
     else:
         raise ValueError(f"unknown section: {section}")
     value = an.metric(records, focus.id)
-    facts = _facts(
-        records,
-        _leader=an.top(value),
-        _top=an.top(value, value),
-        _average=an.average(value),
-        _other=an.average(an.metric(records, other)),
+    aggregates = {
+        "leader": an.top(value),
+        "top": an.top(value, value),
+        "average": an.average(value),
+        "other": an.average(an.metric(records, other)),
+    }
+    return Part(
+        aggregates,
+        lambda fact: F.array(
+            _leader_card(leader, focus, fact("top"), fact("leader")),
+            _average_card(focus, fact("average")),
+            _card(2, third, with_unit(fact("other"), "%"), F.lit(helper)),
+        ),
     )
-    cards = [_leader_card(leader, focus), _average_card(focus), _card(2, third, with_unit(F.col("_other"), "%"), F.lit(helper))]
-    return facts.where(F.col("_n") > 0).select(F.inline(F.array(*cards)))
 
 
-def opportunity_cards(scored: DataFrame, focus: Focus) -> DataFrame:
+def opportunity_cards_part(scored: DataFrame, focus: Focus) -> Part:
     """Priority territory, mean score and the metric in focus."""
     score = F.col("opportunityScore")
-    facts = _facts(scored, leader=an.top(score), best=an.top(score, score), mean=F.avg(score))
-    cards = [
-        _card(0, fixed.CARD_PRIORITY[0], F.col("leader"), fill_in(fixed.CARD_PRIORITY[1], value=fixed_decimals(F.col("best")))),
-        _card(1, fixed.CARD_SCORE_AVERAGE[0], with_unit(F.col("mean"), SCORE.unit), F.lit(fixed.CARD_SCORE_AVERAGE[1])),
-        _card(2, fixed.CARD_FOCUS[0], F.lit(focus.label), F.lit(fixed.CARD_FOCUS[1])),
-    ]
-    return facts.where(F.col("_n") > 0).select(F.inline(F.array(*cards)))
+    return Part(
+        {"leader": an.top(score), "best": an.top(score, score), "mean": F.avg(score)},
+        lambda fact: F.array(
+            _card(0, fixed.CARD_PRIORITY[0], fact("leader"), fill_in(fixed.CARD_PRIORITY[1], value=fixed_decimals(fact("best")))),
+            _card(1, fixed.CARD_SCORE_AVERAGE[0], with_unit(fact("mean"), SCORE.unit), F.lit(fixed.CARD_SCORE_AVERAGE[1])),
+            _card(2, fixed.CARD_FOCUS[0], F.lit(focus.label), F.lit(fixed.CARD_FOCUS[1])),
+        ),
+    )
+
+
+def section_cards(records: DataFrame, section: str, focus: Focus) -> DataFrame:
+    return _alone(records, cards_part(records, section, focus))
+
+
+def opportunity_cards(scored: DataFrame, focus: Focus) -> DataFrame:
+    return _alone(scored, opportunity_cards_part(scored, focus))

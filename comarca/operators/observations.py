@@ -18,12 +18,15 @@ CATALOG_SCHEMA = "variable_id string, categoria_id string, label string, unidad
 def observations(
     values: DataFrame,
     specs: Sequence[tuple[Metric, int]],
-    master: DataFrame,
+    master: DataFrame | None,
     fuente: str,
     rounded: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Unpivot one value column per metric into long rows of the entities the master knows.
 
+    Without ``master`` the rows still lack the entity's names; :func:`of_entities` adds them to
+    families that were appended to each other.
+
     The labels travel as literals of the unpivot, so no metadata join is needed. The column
     ``secuencia`` (0 unless the input has it) orders rows of the same entity and variable;
     it is not part of the published table.
@@ -38,12 +41,14 @@ def observations(
     rows = unpivoted.where(F.col("valor").isNotNull() & ~F.isnan("valor"))
     if rounded is not None:
         rows = rows.withColumn("valor", rounded(F.col("valor")))
+    rows = rows.withColumn("fuente", F.lit(fuente))
+    return rows if master is None else of_entities(rows, master)
+
+
+def of_entities(rows: DataFrame, master: DataFrame) -> DataFrame:
+    """Rows of the entities the master knows, with their names."""
     entities = master.select("cve_ent", "state_code", "estado")
-    return (
-        rows.withColumn("fuente", F.lit(fuente))
-        .join(entities, "cve_ent", "inner")
-        .select(*fixed.LONG_COLUMNS, "secuencia")
-    )
+    return rows.join(entities, "cve_ent", "inner").select(*fixed.LONG_COLUMNS, "secuencia")
 
 
 def append(families: Sequence[DataFrame]) -> DataFrame:

@@ -39,6 +39,11 @@ class Dashboard:
     def scored(self) -> DataFrame:
         return an.opportunity(self.records)
 
+    @cached_property
+    def complete(self) -> DataFrame:
+        """Records with gaps and scores."""
+        return an.with_gaps(self.scored)
+
     def entity_names(self) -> DataFrame:
         return self.everything.select("cve_ent", "estado")
 
@@ -55,7 +60,7 @@ class Dashboard:
         return cat.metric_options(self.metrics, ids[section])
 
     def menu(self) -> DataFrame:
-        return ins.menu_figures(an.with_gaps(self.scored))
+        return ins.menu_figures(self.complete)
 
     def cards(self, section: str, focus: Focus) -> DataFrame:
         if section == "opportunity":
@@ -73,6 +78,26 @@ class Dashboard:
             "metric": lambda: ins.metric_insights(self.records, focus),
         }[section]()
 
+    def all_cards(self, focus: dict[str, Focus]) -> DataFrame:
+        """Cards of the named sections with their ``section``, from one aggregation."""
+        records = self.complete
+        parts = {
+            name: ins.opportunity_cards_part(records, f) if name == "opportunity" else ins.cards_part(records, name, f)
+            for name, f in focus.items()
+        }
+        return ins.told(records, parts)
+
+    def all_insights(self, focus: dict[str, Focus]) -> DataFrame:
+        """Sentences of the named sections with their ``section``, from one aggregation."""
+        made = {
+            "territorial": ins.territorial_part,
+            "population": ins.population_part,
+            "gap": ins.gap_part,
+            "adoption": ins.adoption_part,
+            "opportunity": ins.opportunity_part,
+        }
+        return ins.told(self.complete, {name: made[name](self.complete, f) for name, f in focus.items()})
+
     def ranking(self, section: str, name: str) -> DataFrame:
         if section == "opportunity":
             return self.scored.select("cve_ent", "estado", F.col("opportunityScore").alias("valor")).orderBy(F.desc("valor"), "cve_ent")

@@ -56,7 +56,7 @@ class SurveyMetrics:
 def survey_families(
     inputs: SurveyInputs, year: int = fixed.SURVEY_YEAR, metrics: SurveyMetrics | None = None
 ) -> list[DataFrame]:
-    """Long rows of each family. Every raw table is scanned once."""
+    """Long rows of each family, without the entities' names. Every raw table is scanned once."""
     metrics = metrics or SurveyMetrics()
     families = []
     for table, specs in by_source_table(metrics.shares).items():
@@ -64,14 +64,14 @@ def survey_families(
         shares = estimators.weighted_shares(
             source.persons, specs, source.entity, source.weight, source.weight_type, source.entity_of
         )
-        families.append(estimators.share_observations(shares, specs, inputs.master, year, fixed.SURVEY_SOURCE))
+        families.append(estimators.share_observations(shares, specs, None, year, fixed.SURVEY_SOURCE))
     for spec in metrics.direct:
-        families.append(estimators.direct_observations(inputs.published[spec.source_table], spec, inputs.master, year))
+        families.append(estimators.direct_observations(inputs.published[spec.source_table], spec, None, year))
     if metrics.localities:
         last = estimators.latest_localities(inputs.localities, inputs.locality_order)
         shares = estimators.locality_shares(inputs.connectivity, last, metrics.localities, year)
         families.append(
-            estimators.share_observations(shares, metrics.localities, inputs.master, year, fixed.LOCALITY_SOURCE)
+            estimators.share_observations(shares, metrics.localities, None, year, fixed.LOCALITY_SOURCE)
         )
     return families
 
@@ -79,8 +79,8 @@ def survey_families(
 def survey_observations(
     inputs: SurveyInputs, year: int = fixed.SURVEY_YEAR, metrics: SurveyMetrics | None = None
 ) -> DataFrame:
-    """The long table of all families."""
-    return observations.append(survey_families(inputs, year, metrics))
+    """The long table of all families; the master is joined once, to all of them."""
+    return observations.of_entities(observations.append(survey_families(inputs, year, metrics)), inputs.master)
 
 
 def survey_wide(

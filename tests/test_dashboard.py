@@ -232,3 +232,25 @@ def test_facts_of_empty_tables_and_offenders(spark):
     assert (facts.records, facts.entities, facts.metrics, facts.expected, facts.offenders) == (3, 2, 2, 4, ["b"])
     none = quality.validation_facts(long.limit(0), wide.limit(0), catalog.limit(0)).first()
     assert (none.records, none.entities, none.nulls, none.metrics, none.offenders) == (0, 0, 0, 0, [])
+
+
+def test_all_sections_take_one_aggregation(spark, wide):
+    gaps = [name for row in fixed.GAP_METRICS for name in row[5:7]]
+    names = dict.fromkeys([*SCORE, *gaps, *fixed.ADOPTION_METRICS])
+    records = wide({name: [10 + i, 40 - i, 20] for i, name in enumerate(names)}, True)
+    board = Dashboard(records, None, ["Uno", "Dos", "Tres"])
+    focus = {
+        "territorial": Focus(gaps[0], "Base", "%"),
+        "population": Focus(gaps[1], "Cubierta", "%"),
+        "gap": ins.gap_focus(),
+        "adoption": Focus(fixed.ADOPTION_METRICS[0], "Adopcion", "%"),
+        "opportunity": Focus(SCORE[0], "Potencial", "%"),
+    }
+    for every, one in ((board.all_insights(focus), board.insights), (board.all_cards(focus), board.cards)):
+        alone = {(name, *row) for name, f in focus.items() for row in one(name, f).collect()}
+        assert {(row["section"], *row[:-1]) for row in every.collect()} == alone
+        plan = every._jdf.queryExecution().optimizedPlan().toString()
+        # One aggregation for the facts of all sections, one for the ranges of the score.
+        assert plan.count("Aggregate [") == 2
+    nothing = Dashboard(records, None, [])
+    assert nothing.all_insights(focus).count() == nothing.all_cards(focus).count() == 0

@@ -612,7 +612,7 @@ def section_insights(spark: SparkSession, sf: str) -> DataFrame:
         "adoption": _focus("personas_usuarias_internet_pct"),
         "opportunity": _focus("personas_compras_internet_pct"),
     }
-    return _union([board.insights(name, f).withColumn("section", F.lit(name)) for name, f in focus.items()])
+    return board.all_insights(focus)
 
 
 @query
@@ -642,7 +642,7 @@ def section_cards(spark: SparkSession, sf: str) -> DataFrame:
         "adoption": _focus("personas_usuarias_internet_pct"),
         "opportunity": _focus("personas_compras_internet_pct"),
     }
-    return _union([board.cards(name, f).withColumn("section", F.lit(name)) for name, f in focus.items()])
+    return board.all_cards(focus)
 
 
 # --- quality ----------------------------------------------------------------------------
