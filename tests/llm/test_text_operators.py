@@ -273,3 +273,20 @@ def test_toxicity_held_out_and_swaps(spark, odd):
     none = toxicity.fit(labelled.limit(0))
     scored = toxicity.scored(odd, none).collect()
     assert len(scored) == odd.count() and {r.predicted for r in scored} == {0}
+
+
+def test_training_rows_are_drawn_by_id(spark):
+    documents = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text", "1 AS toxic")
+    labels = spark.range(400).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    strangers = spark.range(1000, 6000).selectExpr("id AS doc_id", "0 AS toxic")
+    odd = spark.createDataFrame([(0, 1), (None, 1), (2, None), (4, 7)], "doc_id bigint, toxic int")
+    every = toxicity.training_rows(documents, labels.union(odd)).collect()
+    assert sorted(r.doc_id for r in every) == list(range(1, 400))
+    assert all(r.toxic == r.doc_id % 2 and r.text == f"text {r.doc_id}" for r in every)
+    few = toxicity.training_rows(documents, labels, 100)
+    shuffled = toxicity.training_rows(documents, labels.union(strangers), 100)
+    drawn = sorted(r.doc_id for r in few.collect())
+    assert 50 <= len(drawn) <= 150 and drawn == sorted(r.doc_id for r in shuffled.collect())
+    hinted = [df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") for df in (few, shuffled)]
+    assert hinted == [1, 0]
+    assert toxicity.training_rows(documents.limit(0), labels).count() == toxicity.training_rows(documents, labels.limit(0)).count() == 0
