@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.llm import jaccard_join, line_dedup, mixing, packing, queries, toxicity
-from comarca.llm.lineage import shared_folder
+from comarca.llm.lineage import shared_folder, written
 from comarca.llm.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,11 +38,31 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the document
-    with the smallest id stays. Of rows that repeat an id and text one stays; rows without an id
-    take no part and stay."""
-    found = jaccard_join.linked(docs, words=5, percent=80)
+    with the smallest id stays. Of rows that repeat an id and text one stays (the smallest by its
+    other columns); texts that share an id are documents of their own, ordered by hash. Rows without
+    an id take no part and stay."""
+    rows, once = _one_per_text(docs.select(*COLUMNS))
+    text = F.xxhash64("text")
+    # Only where an id has several texts do nodes need the text too: wider nodes cost disk.
+    node = F.col("doc_id") if once else F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text.alias("row")))
+    found = jaccard_join.linked(rows.select(node.alias("doc_id"), "text"), words=5, percent=80)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if once:
+        return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = gone.select(F.col("doc_id.doc_id").alias("_doc"), F.col("doc_id.row").alias("_row"))
+    return rows.join(gone, (F.col("doc_id") == F.col("_doc")) & (text == F.col("_row")), "left_anti").select(*COLUMNS)
+
+
+def _one_per_text(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """`rows` with one row per doc_id and text, and whether no doc_id is left twice. Texts are shuffled
+    only of ids that repeat."""
+    twice = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = written(twice, "repeated-ids")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    kept = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("rest"))
+    kept = written(kept.select(*[F.col(f"rest.{c}") if c in others else F.col(c) for c in COLUMNS]), "one-per-text")
+    once = kept.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return rows.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(kept), once
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

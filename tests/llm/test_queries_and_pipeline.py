@@ -68,3 +68,33 @@ def test_pipeline_stages_take_effect(spark):
     pieces = kept["packing"](spark, mix, FOLDER)
     assert pieces.select("doc_id").distinct().count() == mix.select("doc_id").distinct().count()
     assert pieces.filter("piece = 0").count() == mix.count()
+
+
+def _passage(start, changed=()):
+    return " ".join(f"w{i}x" if i in changed else f"w{i}" for i in range(start, start + 120))
+
+
+def test_pipeline_join_keeps_one_row_per_id_and_text(spark):
+    near = _passage(0, {119})
+    rows = [
+        (1, _passage(0), "en", "a", 9), (1, _passage(0), "en", "a", 9), (1, _passage(0), "de", "b", 9),  # the smallest id, repeated
+        (2, near, "en", "a", 9), (2, near, "en", "a", 9),
+        (3, _passage(500), "en", "a", 9), (3, _passage(500), "en", "a", 9),
+        (4, None, "en", "a", None), (4, None, "en", "a", None),
+        (None, _passage(0), "en", "a", 9), (None, _passage(0), "en", "a", 9),
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+    def kept(rows):
+        left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), FOLDER)
+        return sorted(((r.doc_id or 0, r.text or "", r.lang) for r in left.collect()))
+
+    expected = [(0, _passage(0), "en")] * 2 + [(1, _passage(0), "de"), (3, _passage(500), "en"), (4, "", "en")]
+    assert kept(rows) == expected
+    # An id with two texts: only the near copy goes.
+    more = [(5, near, "en", "a", 9), (5, _passage(900), "en", "a", 9), (5, _passage(900), "en", "a", 9), (6, _passage(900, {900}), "en", "a", 9)]
+    assert kept(rows + more) == [*expected, (5, _passage(900), "en")]
+    # Two near copies under one id: one of them stays.
+    both = kept([(7, _passage(0), "en", "a", 9), (7, near, "en", "a", 9), (8, _passage(0), "en", "a", 9)])
+    assert len(both) == 1 and both[0][0] == 7
+    assert kept([]) == []
