@@ -9,6 +9,10 @@ A document is repeated whole as often as its source is, and the fraction left is
 documents too: in a seeded order of the source, those up to the point where the fraction's words
 are reached, and one more, the largest document that still fits. What decides is one row per
 source, so texts are neither shuffled nor sorted.
+
+`further` fills instead of closing with one document: all later documents are looked at in the
+seeded order, and each that still fits is taken. A round takes those up to the first one too large
+for what is left; the next goes on behind with documents no larger than that, until none fits.
 """
 
 from __future__ import annotations
@@ -61,18 +65,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return rows.select(*_present(F.col("source")), "source_size", target.alias("target"))
 
 
-def decisions(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """One row per source: source_size, target, whole (times every document is taken), upto (the last
-    place in the seeded order that is taken once more) and closing (a further such place).
-
-    `sizes` has source, size and place, a row per document."""
-    keyed = sizes.select(*_present(F.col("source")), "size", "place")
+def _prefix(keyed: DataFrame, goal: DataFrame) -> DataFrame:
+    """`goal` (need) with upto and have: the last place in the seeded order up to which the rows of
+    `keyed` (size, place) stay within the need, -1 if none, and their words."""
     key = ["_source", "_none"]
-    goal = targets(sizes, weights, most)
-    goal = goal.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
-    goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = written(goal, "mix-goal")
-
+    names = goal.columns
     part = F.shiftright("place", 48)
     parts = keyed.groupBy(*key, part.alias("part")).agg(F.sum("size").alias("size"), F.max("place").alias("last"))
     along = Window.partitionBy(*key).orderBy("part")
@@ -89,38 +86,93 @@ def decisions(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     inner = inner.withColumn("reached", reached).filter("reached <= need")
     inner = inner.groupBy(*key).agg(F.max("place").alias("inner"), F.max("reached").alias("inner_have"))
     goal = goal.join(inner, key, "left").select(
-        *key, "source_size", "target", "whole", "need",
+        *names,
         F.coalesce("inner", "last", F.lit(-1)).alias("upto"),
         F.coalesce("inner_have", "have", F.lit(0)).alias("have"),
     )
-    goal = written(goal, "mix-upto")
+    return written(goal, "mix-upto")
+
+
+def _rounds(keyed: DataFrame, goal: DataFrame) -> DataFrame:
+    """`goal` with rounds: (after, upto, most), the places in the seeded order in which documents of
+    at most `most` words are taken once more."""
+    key = ["_source", "_none"]
+    names = [*key, "source_size", "target", "whole", "upto"]
+    none = F.array().cast("array<struct<after:bigint,upto:bigint,most:double>>")
+    goal = goal.select(*names, (F.col("need") - F.col("have")).alias("need"), F.col("upto").alias("after"), none.alias("rounds"))
+    goal = goal.withColumnRenamed("upto", "first_upto")
+    while True:
+        left = keyed.join(goal.select(*key, "need", "after"), key)
+        left = left.filter((F.col("place") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
+        left = left.select(*keyed.columns)
+        found = _prefix(left, goal).join(left.groupBy(*key).agg(F.min("place").alias("next")), key, "left")
+        taken = F.struct("after", "upto", F.col("need").alias("most"))
+        # Rows that share a place may be too large only together; then the next round passes them over.
+        goal = written(
+            found.select(
+                *[c for c in goal.columns if c not in ("need", "after", "rounds")],
+                (F.col("need") - F.col("have")).alias("need"),
+                F.when(F.col("have") > 0, F.col("upto")).otherwise(F.coalesce("next", "after")).alias("after"),
+                F.when(F.col("have") > 0, F.concat("rounds", F.array(taken))).otherwise(F.col("rounds")).alias("rounds"),
+                F.col("next").isNotNull().alias("open"),
+            ),
+            "mix-round",
+        )
+        if goal.filter("open").isEmpty():
+            break
+        goal = goal.drop("open")
+    return goal.withColumnRenamed("first_upto", "upto").select(*names, "rounds")
+
+
+def decisions(sizes: DataFrame, weights: tuple[int, ...], most: int, further: bool = False) -> DataFrame:
+    """One row per source: source_size, target, whole (times every document is taken), upto (the last
+    place in the seeded order that is taken once more) and closing (a further such place), or with
+    `further` instead of closing the rounds that fill what is left.
+
+    `sizes` has source, size and place, a row per document."""
+    keyed = sizes.select(*_present(F.col("source")), "size", "place")
+    key = ["_source", "_none"]
+    goal = targets(sizes, weights, most)
+    goal = goal.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
+    goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = _prefix(keyed, written(goal, "mix-goal"))
+    if further:
+        return _rounds(keyed, goal)
     left = keyed.join(goal, key).filter((F.col("place") > F.col("upto")) & (F.col("size") > 0) & (F.col("have") + F.col("size") <= F.col("need")))
     closing = left.groupBy(*key).agg(F.max(F.struct("size", (-F.col("place")).alias("place"))).alias("best"))
     closing = closing.select(*key, (-F.col("best.place")).alias("closing"))
     return written(goal.join(closing, key, "left").select(*key, "source_size", "target", "whole", "upto", "closing"), "mix")
 
 
-def mixed(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
+def mixed(
+    documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, further: bool = False
+) -> DataFrame:
     """`documents` (doc_id, source, text and any others) with size, source_size, target and copies.
 
     `copies` says how often the mix takes the document, 0 to `most`. A null text has size 0; null is
     a source like others, ordered last. Rows that repeat a doc_id share a place in the order and are
-    taken alike. A source without words has target 0. Empty tables give no rows. Columns of these
+    taken alike; with `further`, rows of one doc_id may differ if their sizes do. A source without words has target 0. Empty tables give no rows. Columns of these
     names in the input are replaced, others are carried along.
     """
     own = ("size", "source_size", "target", "copies")
     names = [c for c in documents.columns if c not in own]
     sizes = cut(documents.select(F.col("source").cast("string").alias("source"), words().alias("size"), order(seed).alias("place")))
-    goal = decisions(sizes, weights, most).withColumnsRenamed({"_source": "_s", "_none": "_n"})
+    goal = decisions(sizes, weights, most, further).withColumnsRenamed({"_source": "_s", "_none": "_n"})
     rows = documents.select(*names)
     source = F.col("source").cast("string")
     same = (F.coalesce(source, F.lit("")) == F.col("_s")) & (source.isNull() == F.col("_n"))
-    place = order(seed)
-    extra = (place <= F.col("upto")) | F.coalesce(place == F.col("closing"), F.lit(False))
     found = rows.join(goal.withColumnsRenamed({"source_size": "_size", "target": "_target"}), same)
+    found = found.withColumn("_words", words()).withColumn("_place", order(seed))
+    place = F.col("_place")
+    if further:
+        fits = lambda x: (place > x["after"]) & (place <= x["upto"]) & (F.col("_words") <= x["most"])
+        closing = (F.col("_words") > 0) & F.exists("rounds", fits)
+    else:
+        closing = F.coalesce(place == F.col("closing"), F.lit(False))
+    extra = (place <= F.col("upto")) | closing
     return found.select(
         *names,
-        words().alias("size"),
+        F.col("_words").alias("size"),
         F.col("_size").alias("source_size"),
         F.col("_target").alias("target"),
         F.least(F.col("whole") + extra.cast("long"), F.lit(most)).cast("int").alias("copies"),

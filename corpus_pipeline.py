@@ -66,8 +66,8 @@ def _one_per_text(rows: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
-    return mixing.repeated(mixing.mixed(docs.select(*COLUMNS)), COLUMNS)
+    """Documents as often as the mix of their sources takes them, filled until no document fits."""
+    return mixing.repeated(mixing.mixed(docs.select(*COLUMNS), further=True), COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,6 +188,35 @@ def test_mixing_fills_to_the_caps(spark):
     assert mixing.mixed(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_mixing_takes_every_later_document_that_fits(spark):
+    """Sources with one document of a tenth to a half of their words, against taking one by one."""
+    import hashlib
+
+    rows, sizes = [], {}
+    for source, share in (("a", 0.5), ("b", 0.1), ("c", 0.3), ("d", 0.4), ("e", 0.2)):
+        for k in range(60):
+            doc = 1000 * "abcde".index(source) + k
+            sizes[doc] = round(60 * 8 * share / (1 - share)) if k == 0 else 3 + (k * 7) % 11
+            rows.append((doc, "w " * sizes[doc], source))
+    rows += [(None, "x y z", "a"), (None, "x y z u v", "a"), (7, "x " * sizes[7], "a"), (9000, None, "f"), (9001, "", "a")]
+    found = mixing.mixed(documents(spark, rows), further=True).collect()
+    assert len(found) == len(rows)
+    for source in "abcdef":
+        of = [r for r in found if r.source == source]
+        left = of[0].target - sum(r.size * r.copies for r in of)
+        whole = of[0].target // of[0].source_size if of[0].source_size else 0
+        assert left > -1e-6 and all(whole <= r.copies <= whole + 1 for r in of)
+        if source in "bcde":
+            need, once = of[0].target - whole * of[0].source_size, set()
+            for doc in sorted((r.doc_id for r in of), key=lambda i: hashlib.md5(f"17:{i}".encode()).hexdigest()[:15]):
+                if sizes[doc] <= need:
+                    need -= sizes[doc]
+                    once.add(doc)
+            assert {r.doc_id for r in of if r.copies > whole} == once
+            assert not [r for r in of if r.copies == whole and 0 < r.size <= left]
+    assert mixing.mixed(documents(spark, rows).limit(0), further=True).count() == 0
+
+
 def _statistics(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
