@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+from collections import Counter, defaultdict
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from comarca.llm import permutation_index, queries, toxicity
+from comarca.llm.lineage import shared_folder
 from tests.compare import difference, duck
 
 FOLDER = "/root/testdata/sf0.01"
@@ -98,3 +104,128 @@ def test_pipeline_join_keeps_one_row_per_id_and_text(spark):
     both = kept([(7, _passage(0), "en", "a", 9), (7, near, "en", "a", 9), (8, _passage(0), "en", "a", 9)])
     assert len(both) == 1 and both[0][0] == 7
     assert kept([]) == []
+
+
+def _plain_lines(rows, min_lines=3, min_words=25):
+    """Texts without later occurrences of repeated windows, by (id, text); None where no line is left."""
+    texts = sorted({r[:2] for r in rows if r[0] is not None and r[1] is not None})
+    worded = {t: [(k, x.strip(" \t\x0b\x0c\r")) for k, x in enumerate(t[1].split("\n")) if x.split()] for t in texts}
+    first, gone = {}, defaultdict(set)
+    for t in texts:
+        lines = [x for _, x in worded[t]]
+        for i in range(len(lines)):
+            size = next((n for n in range(1, min_lines + 1) if n == min_lines or sum(len(x.split()) for x in lines[i : i + n]) >= min_words))
+            if i + size > len(lines):
+                continue
+            key = tuple(lines[i : i + size])
+            if key not in first:
+                first[key] = (lines, i)
+                continue
+            other, j = first[key]
+            back, on = 0, 0
+            while back < min_lines - 1 and min(i, j) - back > 0 and lines[i - back - 1] == other[j - back - 1]:
+                back += 1
+            while on < min_lines - 1 and max(i + size + on - len(lines), j + size + on - len(other)) < 0 and lines[i + size + on] == other[j + size + on]:
+                on += 1
+            gone[t] |= {worded[t][k][0] for k in range(i - back, i + size + on)}
+    left = {}
+    for t in texts:
+        whole = gone[t] and len(gone[t]) == len(worded[t])
+        left[t] = None if whole else "\n".join(x for k, x in enumerate(t[1].split("\n")) if k not in gone[t])
+    return [(r[0], left.get(r[:2], r[1]), *r[2:]) for r in rows if r[:2] not in left or left[r[:2]] is not None]
+
+
+def _plain_join(rows):
+    """One row per id and text; of texts linked at 0.8 over five-word shingles the smallest id."""
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    nodes = sorted({r[:2] for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    sets, root = {n: shingles(n[1]) for n in nodes}, {n: n for n in nodes}
+    for a in nodes:
+        for b in nodes:
+            both = len(sets[a] & sets[b])
+            if a != b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if r == high else r for n, r in root.items()}
+    kept = [min(r for r in rows if r[:2] == n) for n in nodes if root[n] == n]
+    return kept + [r for r in rows if r[0] is None]
+
+
+def _plain_mix(rows, weights=(5, 2, 1), most=3):
+    """How often each row is taken: water-filling to the caps, whole copies, then whatever fits in seeded order."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").split())
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    open_, total, target = set(sizes), sum(sizes.values()), {}
+    while open_:
+        level = total / sum(weight[s] for s in open_)
+        full = {s for s in open_ if most * sizes[s] < level * weight[s]}
+        for s in full or open_:
+            target[s] = most * sizes[s] if full else level * weight[s]
+        total -= sum(target[s] for s in full)
+        open_ -= full or open_
+    taken = Counter()
+    for s, size in sizes.items():
+        whole = int(target[s] // size) if size else 0
+        need = target[s] - whole * size
+        place = lambda r: hashlib.md5(f"17:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:15]
+        passed = False  # texts without words come along up to the first document that doesn't fit
+        for r in sorted((r for r in rows if r[3] == s), key=place):
+            n = len((r[1] or "").split())
+            fits = n <= need and (n > 0 or not passed)
+            taken[r] += whole + fits
+            passed |= n > need
+            need -= n * fits
+    return +taken
+
+
+def test_pipeline_runs_like_plain_python(spark, tmp_path):
+    draw = random.Random(3)
+    text = lambda n: " ".join(f"v{draw.randrange(5000)}" for _ in range(n))
+    rows = [(i, "\n".join(text(9 + i % 13) for _ in range(1 + i % 6)), "en", f"s{i % 4}", 1) for i in range(120)]
+    rows += [(200 + i, f"{text(4)} vile1 vile2 vile3 {text(4)} vile1 vile2 vile3", "en", "s1", 1) for i in range(40)]
+    long, a, b, c, copy = text(30), text(4), text(5), text(3), text(90)
+    near = copy.replace(copy.split()[-1], "other")
+    rows += [
+        (300, f"{long}\n{text(12)}", "en", "s0", 1), (301, f"{text(12)}\n {long} \n{text(8)}", "en", "s0", 1),  # a long line
+        (302, f"{a}\n{b}\n\n{c}\n{text(9)}", "en", "s1", 1), (303, f"{text(9)}\n{a}\n{b}\n{c}", "en", "s2", 1),  # a passage
+        (304, f"{a}\n{b}\n{c}", "en", "s2", 1), (305, f"{a}\n{b}\n{text(9)}", "en", "s2", 1),  # nothing left; too short
+        (310, copy, "en", "s3", 1), (310, copy, "en", "s3", 1), (311, near, "en", "s3", 1), (311, near, "en", "s3", 1), (312, copy, "en", "s0", 1),
+        (313, text(60), "en", "s2", 1), (314, text(400), "en", "s2", 1),
+        (None, copy, "en", "s1", 1), (None, text(6), "en", None, 1), (320, None, "en", "s0", None), (321, "", "en", "s0", 0),
+    ]
+    rows.append(next(r for r in rows if r[0] == 313))  # a repeated row
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r[0], 1, int(r[0] >= 200)) for r in rows[:160]]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("pipeline-*"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    (made,) = set(folder.glob("pipeline-*")) - before
+
+    def stage(name):
+        (path,) = made.glob(f"?-{name}.parquet")
+        return [tuple(r) for r in spark.read.parquet(str(path)).collect()]
+
+    def measured(rows):
+        return [(*r[:4], None if r[1] is None else len(r[1])) for r in rows]
+
+    calm = [r for r in rows if "vile3" not in (r[1] or "")]
+    assert Counter(stage("toxicity")) == Counter(calm)
+    lines = measured(_plain_lines(calm))
+    assert Counter(stage("line_dedup")) == Counter(lines) and len(lines) < len(calm)
+    single = _plain_join(lines)
+    assert Counter(stage("jaccard_join")) == Counter(single) and len(single) < len(lines)
+    mix = _plain_mix(single)
+    assert Counter(stage("source_mix")) == mix and len(mix) < mix.total()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == sum((Counter({r[0]: n}) for r, n in mix.items()), Counter())
+    sequences = defaultdict(list)
+    for r in pieces:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for of in sequences.values():
+        ends = [at + n for at, n in sorted(of)]
+        assert [at for at, _ in sorted(of)] == [0, *ends[:-1]] and ends[-1] <= queries.CAPACITY
