@@ -42,7 +42,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.nda
         if not len(starts):
             yield first, end, np.zeros(0, np.int64), np.zeros(0, np.uint64)
             continue
-        word = textbytes.Hasher(data).of(starts, ends)
+        word = textbytes.Hasher(data).strong(starts, ends)
         number = np.bincount(rows, minlength=end - first)
         after = np.cumsum(number)[rows]  # index behind the row's last word
         place = np.arange(len(word))

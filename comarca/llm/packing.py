@@ -29,7 +29,7 @@ from comarca.llm.lineage import cut
 REMEMBERED = 600_000
 #: White space beyond ASCII, which the tokenizer's pattern joins with white space around it.
 OTHER_WHITE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_known: dict[str, dict[int, bytes]] = {}
+_known: dict[str, dict[bytes, bytes]] = {}
 _models: dict[str, tuple] = {}
 
 
@@ -82,20 +82,17 @@ def token_ids(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[np.ndarray]:
             yield from (np.zeros(0, "<u4") for _ in range(rows_here))
             continue
         starts, ends, rows = textbytes.chunks(data, offsets)
-        keys = textbytes.Hasher(data).of(starts, ends)
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        names = distinct.tolist()
+        where, back = textbytes.Hasher(data).groups(starts, ends)
+        raw = data.tobytes()
+        names = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         ids = list(map(known.get, names))
         missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            raw = data.tobytes()
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-            for i, j in zip(missing, where[missing].tolist(), strict=True):
-                chunk = raw[starts[j] : ends[j]].decode("utf-8", "replace")
-                ids[i] = x = array("I", encode(chunk)).tobytes()
-                if len(x) <= 256:
-                    known[names[i]] = x
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+        for i in missing:
+            ids[i] = x = array("I", encode(names[i].decode("utf-8", "replace"))).tobytes()
+            if len(x) <= 256:
+                known[names[i]] = x
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         begin = np.cumsum(sizes) - sizes

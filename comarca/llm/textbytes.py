@@ -6,6 +6,7 @@ A text is never cut: batches are split between rows only. A slice of rows holds
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +19,6 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_random = np.random.default_rng(20240229)
-_OF_BYTE = _random.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = {"base": np.ones(1, np.uint64), "back": np.ones(1, np.uint64)}
-
-
-def _grown(kind: str, base: np.uint64, size: int) -> np.ndarray:
-    """Powers 0 to size-1 of `base` modulo 2**64, doubled as needed."""
-    have = _powers[kind]
-    while len(have) < size:
-        have = np.concatenate([have, have * (have[-1:] * base)])
-        _powers[kind] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -41,17 +26,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer spans are hashed by the library's blake2b, shorter ones word by word with numpy.
+LONG = 64
+#: A span of up to 8 bytes is one word; its size goes into a byte that UTF-8 never has.
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_SIZE = np.array([(0xF8 + n) << 56 for n in range(8)] + [0], np.uint64)
+_KEYS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(LONG // 8)], np.uint64)
+
+
 class Hasher:
     """64-bit hashes of any spans of one byte array, equal for equal bytes in any array."""
 
     def __init__(self, data: np.ndarray) -> None:
-        terms = _OF_BYTE[data] * _grown("base", _BASE, len(data) + 1)[: len(data)]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        self.back = _grown("back", _BACK, len(data) + 1)
+        self.data = data
+        padded = np.append(data, np.zeros(8, np.uint8))
+        two = padded[:-1] | padded[1:].astype(np.uint16) << np.uint16(8)
+        four = two[:-2] | two[2:].astype(np.uint32) << np.uint32(16)
+        #: The eight bytes from each position on, as one number.
+        self.words = four[:-4] | four[4:].astype(np.uint64) << np.uint64(32)
+
+    def _word(self, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+        left = np.minimum(sizes - 8 * k, 8)
+        return (self.words[starts + 8 * k] & _TAIL[left]) ^ _SIZE[left]
+
+    def _bytes(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        found = b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in self._bytes(starts, ends))
+        return np.frombuffer(found, np.uint64)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(value ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+        """Fast hashes. Spans of up to 8 bytes never collide with each other; for longer ones see `strong`."""
+        sizes = ends - starts
+        value = mix(self._word(starts, sizes, 0))
+        k, left = 1, np.flatnonzero(sizes > 8)
+        long = left[sizes[left] > LONG]
+        left = left[sizes[left] <= LONG]
+        while len(left):
+            value[left] = mix((value[left] + _KEYS[k]) ^ self._word(starts[left], sizes[left], k))
+            k += 1
+            left = left[sizes[left] > 8 * k]
+        if len(long):
+            value[long] = self._digests(starts[long], ends[long])
+        return value
+
+    def groups(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where, back): the first span of each group of spans with equal bytes, and each span's group.
+
+        Spans are grouped by hash and then compared with the first of their group, so spans that
+        differ are never taken for one, whatever their hashes."""
+        _, where, back = np.unique(self.of(starts, ends), return_index=True, return_inverse=True)
+        sizes, first = ends - starts, where[back]
+        same = (sizes == sizes[first]).all()
+        k, left = 0, np.flatnonzero((sizes <= LONG) & (first != np.arange(len(first))))
+        while same and len(left):
+            at = first[left]
+            same = (self._word(starts[left], sizes[left], k) == self._word(starts[at], sizes[at], k)).all()
+            k += 1
+            left = left[sizes[left] > 8 * k]
+        long = np.flatnonzero(sizes > LONG)
+        if same and len(long):
+            at = first[long]
+            same = self._bytes(starts[long], ends[long]) == self._bytes(starts[at], ends[at])
+        if same:
+            return where, back
+        seen: dict[bytes, int] = {}
+        back = np.array([seen.setdefault(x, len(seen)) for x in self._bytes(starts, ends)], np.int64)
+        return np.unique(back, return_index=True)[1], back
+
+    def strong(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes for which no two spans are known to collide: one to one up to 8 bytes, beyond it
+        blake2b, once for each distinct span."""
+        sizes = ends - starts
+        value = mix(self._word(starts, sizes, 0))
+        wide = np.flatnonzero(sizes > 8)
+        if len(wide):
+            where, back = self.groups(starts[wide], ends[wide])
+            value[wide] = self._digests(starts[wide][where], ends[wide][where])[back]
+        return value
 
 
 def span_hash(data: bytes) -> int:

@@ -23,7 +23,7 @@ from comarca.llm import textbytes
 #: Distinct pre-tokens whose counts a worker remembers; it starts anew beyond (bounds memory only).
 REMEMBERED = 400_000
 SPACE_MARK = "▁".encode()
-_known: dict[str, dict[int, int]] = {}
+_known: dict[str, dict[bytes, int]] = {}
 _models: dict[str, object] = {}
 
 
@@ -50,22 +50,17 @@ def count_texts(texts: pa.Array, path: str) -> np.ndarray:
         # The model itself puts a space before a text: a run inside the text goes without its own.
         inside = starts != offsets[rows]
         starts = starts + inside
-        keys = textbytes.Hasher(data).of(starts, ends)
-        keys = np.where(inside & (starts == ends), np.uint64(1), keys)
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        names = distinct.tolist()
+        where, back = textbytes.Hasher(data).groups(starts, ends)
+        raw = data.tobytes()
+        names = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         counts = list(map(known.get, names))
         missing = [i for i, c in enumerate(counts) if c is None]
-        if missing:
-            raw = data.tobytes()
-            new = [raw[starts[j] : ends[j]] for j in where[missing]]
-            found = _counts(model, [x.decode("utf-8", "replace") for x in new])
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+        found = _counts(model, [names[i].decode("utf-8", "replace") for i in missing])
+        for i, n in zip(missing, found, strict=True):
             # A single space inside a text, with no word after it, is one piece.
-            found = [n if x else 1 for n, x in zip(found, new, strict=True)]
-            if len(known) + len(found) > REMEMBERED:
-                known.clear()
-            for i, n in zip(missing, found, strict=True):
-                counts[i] = known[names[i]] = n
+            counts[i] = known[names[i]] = n if names[i] else 1
         sums = np.bincount(rows, np.array(counts, np.int64)[back], end - first)
         total[first:end] = sums.astype(np.int64)
     # The mark that stands for a space in the vocabulary may join with spaces around it.

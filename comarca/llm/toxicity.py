@@ -53,13 +53,15 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.n
 
 
 def _trimmed_words(data, offsets):
-    """Words without punctuation at their ends (at most four characters a side)."""
+    """Words without punctuation at their ends; of a word of nothing but punctuation its last character."""
     starts, ends, rows = textbytes.words(data, offsets)
-    for _ in range(4):
-        if not len(starts):
-            break
-        starts = starts + (_OUTER[data[starts]] & (starts < ends - 1))
-        ends = ends - (_OUTER[data[ends - 1]] & (starts < ends - 1))
+    if len(starts):
+        inner, place = ~_OUTER[data], np.arange(len(data))
+        # The next and the last position of a character that is no punctuation.
+        on = np.minimum.accumulate(np.where(inner, place, len(data))[::-1])[::-1]
+        back = np.maximum.accumulate(np.where(inner, place, -1))
+        starts = np.minimum(on[starts], ends - 1)
+        ends = np.maximum(back[ends - 1], starts) + 1
     return starts, ends, rows
 
 

@@ -319,3 +319,51 @@ def test_training_rows_are_drawn_by_id(spark):
     hinted = [df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") for df in (few, shuffled)]
     assert hinted == [1, 0]
     assert toxicity.training_rows(documents.limit(0), labels).count() == toxicity.training_rows(documents, labels.limit(0)).count() == 0
+
+
+def _thue_morse(size, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(size))
+
+
+def _colliding():
+    """Strings that a polynomial hash modulo a power of two cannot tell apart."""
+    return [_thue_morse(n, x) for n in (1024, 2048, 4096) for pair in ("ab", "xy", "éü") for x in (pair, pair[::-1])]
+
+
+def test_hashes_tell_constructed_strings_apart():
+    texts = [*_colliding(), "abc", "abc\0\0\0\0\x03", "a", "a\0", "abcdefgh", "abcdefghi", "y" * 64, "y" * 65]
+    data, offsets = textbytes.text_column(pa.array(texts * 2))
+    hasher = textbytes.Hasher(data)
+    for hashes in (hasher.of(offsets[:-1], offsets[1:]), hasher.strong(offsets[:-1], offsets[1:])):
+        assert len(set(hashes.tolist())) == len(texts) and (hashes[: len(texts)] == hashes[len(texts) :]).all()
+    where, back = hasher.groups(offsets[:-1], offsets[1:])
+    assert len(where) == len(texts) and (where[back] == np.tile(np.arange(len(texts)), 2)).all()
+
+
+def test_groups_do_not_trust_the_hash(monkeypatch):
+    texts = ["ab", "cd", "ab", "z" * 70, "w" * 70, "z" * 70, "abcdefghij", "abcdefghik"]
+    monkeypatch.setattr(textbytes.Hasher, "of", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    data, offsets = textbytes.text_column(pa.array(texts))
+    where, back = textbytes.Hasher(data).groups(offsets[:-1], offsets[1:])
+    assert [texts[i] for i in where[back]] == texts and len(where) == 6
+
+
+def test_constructed_strings_keep_their_own_results(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = _colliding()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    assert token_counts.count_texts(pa.array(texts), queries.piece_model()).tolist() == [len(pieces.encode(t)) for t in texts]
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.token_ids(pa.array(texts), queries.byte_vocabulary())] == expected
+    rows = jaccard_join.linked(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), words=3, percent=90).collect()
+    assert all(r.doc_id == r.component_id and r.n_shingles == 1 for r in rows) and len(rows) == len(texts)
+
+
+def test_words_lose_all_punctuation_at_their_ends():
+    texts = ["......bad!!!!!!!", "((((((a-b))))))", "?????", "x", "", "a.... ....b"]
+    data, offsets = textbytes.text_column(pa.array(texts))
+    starts, ends, _ = toxicity._trimmed_words(data, offsets)
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == ["bad", "a-b", "?", "x", "a", "b"]
