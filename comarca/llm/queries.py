@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.llm import chat, line_dedup, mixing
-from comarca.llm.lineage import cut
+from comarca.llm.lineage import cut, shared_folder
 from comarca.llm.tables import table
 
 CAPACITY = 2048
@@ -113,6 +115,16 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked(table(spark, folder, "documents"), words=3, percent=90)
 
 
+def op11_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of all documents written to files of the shared folder and read back."""
+    from comarca.llm.id_files import read_ids, with_starts, write_ids
+
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    write_ids(table(spark, folder, "documents"), byte_vocabulary(), path)
+    found = read_ids(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return with_starts(cut(found)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 REGISTRY = {
     "op1_language": op1_language,
     "op2_line_dedup": op2_line_dedup,
@@ -124,6 +136,7 @@ REGISTRY = {
     "op8_preference_format": op8_preference_format,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_id_files": op11_id_files,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(),
