@@ -125,6 +125,12 @@ def op11_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_starts(cut(found)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from comarca.llm.alignment import alignments
+
+    return alignments(table(spark, folder, "documents"), byte_vocabulary(), piece_model())[0]
+
+
 REGISTRY = {
     "op1_language": op1_language,
     "op2_line_dedup": op2_line_dedup,
@@ -137,6 +143,7 @@ REGISTRY = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_id_files": op11_id_files,
+    "op13_alignment": op13_alignment,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(),
