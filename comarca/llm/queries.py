@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import chat, line_dedup, mixing
+from comarca.llm import chat, hard_negatives, line_dedup, mixing
 from comarca.llm.lineage import cut, shared_folder
 from comarca.llm.tables import table
 
@@ -125,6 +125,11 @@ def op11_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_starts(cut(found)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from comarca.llm.alignment import alignments
 
@@ -143,10 +148,12 @@ REGISTRY = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_id_files": op11_id_files,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_alignment": op13_alignment,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(),
     "op6_source_mix": mixing.oracle(),
     "op8_preference_format": chat.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
 }
