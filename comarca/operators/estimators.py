@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from comarca import fixed_values as fixed
 from comarca.functions.numeric import exact_decimal, number_or_zero, round_half_even
 from comarca.functions.text import is_blank, strip, zero_fill
+from comarca.operators import exact_sums
 from comarca.operators.observations import observations
 from comarca.specs import DirectValue, Metric, Share
 
-#: Sums of decimals do not depend on the order of rows, unlike sums of doubles. Up to
-#: precision 8 Catalyst adds them as plain longs. Weights with more decimals than the type has are an error.
-WEIGHT_TYPE = "decimal(28,9)"
+#: Weights are doubles, whose sums are exact (`operators.exact_sums`) and so don't depend on the order of rows.
+#: A decimal type may be declared where weights are known to fit it: up to precision 8 Catalyst adds them as plain
+#: longs; a weight with more decimals than the type has is an error.
+WEIGHT_TYPE = "double"
 LOCALITY_WEIGHTS = ("poblacion", "hogares", "localidades")
 
 
@@ -53,22 +55,65 @@ def _of_year(df: DataFrame, name: str, year: int | str, parse: bool = False) ->
     return text.cast("int") == int(year) if parse else text == str(year)
 
 
-def weighted_totals(
+def weighed_answers(
     persons: DataFrame, specs: Sequence[Share], key: str, weight: str, weight_type: str = WEIGHT_TYPE
 ) -> DataFrame:
-    """Total weight and the weight of every positive answer per key: one scan, one shuffle.
+    """_key, _weight and one true-or-false column per metric, of persons with key and weight.
 
-    Rows without key or weight are left out. The weight is parsed strictly: text that is no
-    number is an error under ANSI mode.
+    The weight is parsed strictly: text that is no number is an error under ANSI mode.
     """
-    kept = persons.where(_present(persons, key) & _present(persons, weight)).select(
+    value = _stripped(persons, weight)
+    number = value.cast("double") if weight_type == "double" else exact_decimal(value, weight_type)
+    return persons.where(_present(persons, key) & _present(persons, weight)).select(
         _stripped(persons, key).alias("_key"),
-        exact_decimal(_stripped(persons, weight), weight_type).alias("_weight"),
+        number.alias("_weight"),
         *_columns((spec.holds(persons), spec.variable) for spec in specs),
     )
-    return kept.groupBy("_key").agg(
-        F.sum("_weight").alias("_total"),
-        *_columns((f"sum(case when `{spec.variable}` then _weight end)", spec.variable) for spec in specs),
+
+
+def answer_parts(specs: Sequence[Share]) -> dict[str, str]:
+    """What is added up for shares: everybody's weight, and that of each metric's positive answers."""
+    return {"_total": "true", **{spec.variable: f"`{spec.variable}`" for spec in specs}}
+
+
+def weighted_totals(
+    persons: DataFrame,
+    specs: Sequence[Share],
+    key: str,
+    weight: str,
+    weight_type: str = WEIGHT_TYPE,
+    entity_of: DataFrame | None = None,
+) -> DataFrame:
+    """cve_ent, the total weight and the weight of every positive answer: one scan, one shuffle.
+
+    Everything is summed per key first; with ``entity_of`` (``unit, cve_ent``) the sums of units then
+    become those of their entities, on the same partitioning.
+    """
+    kept = weighed_answers(persons, specs, key, weight, weight_type)
+    parts = answer_parts(specs)
+    if weight_type == "double":
+        sums = exact_sums.partial_sums(kept, ["_key"], "_weight", parts)
+    else:
+        sums = kept.groupBy("_key").agg(
+            *_columns((f"sum(case when {condition} then _weight end)", name) for name, condition in parts.items())
+        )
+    if entity_of is None:
+        units = sums.withColumn("cve_ent", F.col("_key").cast("string"))
+    else:
+        units = sums.join(entity_of, F.col("_key") == F.col("unit"), "inner")
+    if weight_type == "double":
+        # Sums of a key are one row a bucket already; those of an entity's units are added up first.
+        units = units if entity_of is None else exact_sums.merged(units, ["cve_ent"], list(parts))
+        return exact_sums.totals(units, ["cve_ent"], list(parts))
+    if entity_of is None:
+        return units
+    return units.groupBy("cve_ent").agg(*[F.sum(name).alias(name) for name in parts])
+
+
+def shares_of_totals(totals: DataFrame, specs: Sequence[Share]) -> DataFrame:
+    """Shares in percent; an entity whose weights add up to 0 is left out."""
+    return totals.where(F.col("_total") != 0).select(
+        "cve_ent", *_columns((_share(spec.variable, "_total"), spec.variable) for spec in specs)
     )
 
 
@@ -87,16 +132,7 @@ def weighted_shares(
     place of the entity, ``entity_of`` (``unit, cve_ent``, one row per unit) leads from one to
     the other: totals are summed per unit first and only then joined, on the same partitioning.
     """
-    totals = weighted_totals(persons, specs, entity, weight, weight_type)
-    if entity_of is None:
-        totals = totals.withColumn("cve_ent", F.col("_key").cast("string"))
-    else:
-        sums = [name for name in totals.columns if name != "_key"]
-        units = totals.join(entity_of, F.col("_key") == F.col("unit"), "inner")
-        totals = units.groupBy("cve_ent").agg(*[F.sum(name).alias(name) for name in sums])
-    return totals.where(F.col("_total") != 0).select(
-        "cve_ent", *_columns((_share(spec.variable, "_total"), spec.variable) for spec in specs)
-    )
+    return shares_of_totals(weighted_totals(persons, specs, entity, weight, weight_type, entity_of), specs)
 
 
 def latest_localities(
@@ -106,7 +142,6 @@ def latest_localities(
     entity: str = "ENT",
     population: str = "POBLACION",
     households: str = "TOTHOG",
-    weight_type: str = WEIGHT_TYPE,
 ) -> DataFrame:
     """One row per locality: the last one in ``order_by`` order wins.
 
@@ -118,13 +153,13 @@ def latest_localities(
         F.struct(
             F.col(order_by).alias("_order"),
             zero_fill(strip(F.col(entity).cast("string"))).alias("cve_ent"),
-            number_or_zero(F.col(population), weight_type).alias("poblacion"),
-            number_or_zero(F.col(households), weight_type).alias("hogares"),
+            number_or_zero(F.col(population)).alias("poblacion"),
+            number_or_zero(F.col(households)).alias("hogares"),
         ).alias("_row"),
     )
     last = rows.groupBy("cvegeo").agg(F.max("_row").alias("_row"))
     return last.select(
-        "cvegeo", "_row.cve_ent", "_row.poblacion", "_row.hogares", F.lit(1).cast(weight_type).alias("localidades")
+        "cvegeo", "_row.cve_ent", "_row.poblacion", "_row.hogares", F.lit(1.0).alias("localidades")
     )
 
 
@@ -151,13 +186,19 @@ def locality_shares(
         *_columns((f"count_if(`{spec.variable}`)", spec.variable) for spec in specs),
     )
     joined = counted.join(localities, "cvegeo", "inner")
-
-    def weighed(weight: str, count: str) -> str:
-        return f"sum(`{weight}` * cast(`{count}` as decimal(18,0)))"
-
-    totals = joined.groupBy("cve_ent").agg(
-        *_columns((weighed(weight, "_rows"), f"_{weight}") for weight in LOCALITY_WEIGHTS),
-        *_columns((weighed(spec.weight, spec.variable), spec.variable) for spec in specs),
+    # A row per locality and weight: partial sums go by the bucket of the weight.
+    weights = F.array(*[F.struct(F.lit(name).alias("_of"), F.col(name).cast("double").alias("_weight")) for name in LOCALITY_WEIGHTS])
+    counts = ["_rows", *(spec.variable for spec in specs)]
+    stacked = joined.select("cve_ent", *counts, F.inline(weights))
+    sums = exact_sums.partial_sums(stacked, ["cve_ent", "_of"], "_weight", {name: f"`{name}`" for name in counts}, times=True)
+    exact = exact_sums.totals(sums, ["cve_ent", "_of"], counts)
+
+    def of(weight: str, name: str) -> str:
+        return f"max(case when `_of` = '{weight}' then `{name}` end)"
+
+    totals = exact.groupBy("cve_ent").agg(
+        *_columns((of(weight, "_rows"), f"_{weight}") for weight in LOCALITY_WEIGHTS),
+        *_columns((of(spec.weight, spec.variable), spec.variable) for spec in specs),
     )
     return totals.select(
         "cve_ent",

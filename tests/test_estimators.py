@@ -1,6 +1,11 @@
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
+from comarca.functions import exact
 from comarca.operators import estimators as est
 from comarca.operators import observations as obs
 from comarca.specs import by_source_table, direct_values, locality_shares, survey_shares
@@ -143,3 +148,54 @@ def test_plan_aggregates_before_it_joins(spark):
     plan = shares._jdf.queryExecution().optimizedPlan().toString()
     join, below = plan.split("Join Inner", 1)
     assert below.count("Aggregate") == 2 and "CartesianProduct" not in plan
+
+
+def _share_spec():
+    from comarca.specs import Share
+
+    return [Share("v", "c", "l", "%", "t", column="P7_1", positive_values=("1",))]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e12, 1e-200, 1e200])
+def test_sums_of_any_doubles_are_exact(spark, scale):
+    """Weights of any size give what exactly rounded sums give, however the rows are dealt out."""
+    draw = random.Random(5)
+    rows = [(f"{i % 3}", draw.choice([0.1, 0.2, 0.3, draw.random(), draw.random() * 10 ** draw.randint(-12, 12)]) * scale, draw.choice("12")) for i in range(600)]
+    rows += [("0", -0.25 * scale, "1"), ("1", 0.0, "1")]
+    expected = {}
+    for key in "012":
+        whole = math.fsum(w for k, w, _ in rows if k == key)
+        expected[key] = math.fsum(w for k, w, a in rows if k == key and a == "1") / whole * 100
+    persons = spark.createDataFrame([(k, repr(w), a) for k, w, a in rows], "CVE_ENT string, FAC_PER string, P7_1 string")
+    for parts in (1, 3, 16):
+        found = est.weighted_shares(persons.repartition(parts), _share_spec())
+        assert {r.cve_ent: r.v for r in found.collect()} == expected
+
+
+def test_ordinary_doubles_are_weights(spark):
+    rows = [("01", repr(0.1 + 0.2), "1"), ("01", "0.5", "2"), ("02", "0.00000004", "1"), ("02", "0.00000006", "2"), ("03", "4.0000004", "1"), ("03", "6", "2")]
+    found = est.weighted_shares(persons(spark, rows), _share_spec())
+    assert {r.cve_ent: r.v for r in found.collect()} == {
+        "01": (0.1 + 0.2) / math.fsum([0.1 + 0.2, 0.5]) * 100, "02": 0.00000004 / math.fsum([0.00000004, 0.00000006]) * 100, "03": 4.0000004 / math.fsum([4.0000004, 6.0]) * 100,
+    }
+    with pytest.raises(Exception, match="not a finite number"):
+        est.weighted_shares(persons(spark, [("01", "Infinity", "1")]), _share_spec()).collect()
+
+
+def test_locality_weights_keep_all_digits(spark):
+    specs = [s for s in locality_shares() if s.column == "MOVIL"]
+    facts = spark.createDataFrame([("a", "2024", "Sí"), ("b", "2024", "No"), ("c", "2024", "Sí"), ("d", "2024", "No")], "CVEGEO string, ANIO string, MOVIL string")
+    for weights, expected in [(("0.00000004", "0.00000006"), 40.0), (("4.0000004", "6"), 4.0000004 / 10.0000004 * 100), ((repr(0.1 + 0.2), "0.5"), (0.1 + 0.2) / 0.8 * 100)]:
+        rows = [(k, "1", w, "0", i) for i, (k, w) in enumerate(zip("ab", weights, strict=True))]
+        places = spark.createDataFrame(rows, "CVEGEO string, ENT string, POBLACION string, TOTHOG string, ID int")
+        (row,) = est.locality_shares(facts, est.latest_localities(places), specs).collect()
+        assert row.poblacion_en_localidades_con_cobertura_movil_pct == pytest.approx(expected, rel=1e-15)
+
+
+def test_exact_total_rounds_like_fsum(spark):
+    draw = random.Random(1)
+    tiny = [1.0, 2**-53, -(2**-53), 2**-54, 2**-106, -(2**-106), 1 + 2**-52, 1e16, -1e16, 5e-324, 1e308]
+    rows = [(k, [draw.choice(tiny) if k % 2 else draw.uniform(-1, 1) * 10 ** draw.randint(-30, 30) for _ in range(draw.randint(0, 12))]) for k in range(300)]
+    rows = [(k, v) for k, v in rows if sum(1 for x in v if x == 1e308) < 2]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    assert {r.k: r.s for r in df.select("k", exact.exact_total(F.col("v")).alias("s")).collect()} == {k: math.fsum(v) for k, v in rows}

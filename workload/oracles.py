@@ -615,3 +615,19 @@ SQL["weighted_share_fine"] = """WITH w AS (
 SELECT l_returnflag AS cve_ent,
   coalesce(sum(CASE WHEN l_linestatus = 'O' THEN w END)::DOUBLE / sum(w)::DOUBLE, 0) * 100 AS open_pct
 FROM w GROUP BY l_returnflag"""
+
+SQL["weighted_share_doubles"] = """
+SELECT l_returnflag AS cve_ent, round_even(fsum(CASE WHEN l_linestatus = 'O' THEN w ELSE 0 END) / fsum(w) * 100.0, 6) AS open_pct
+FROM (SELECT *, l_extendedprice / CAST(3 AS DOUBLE) * CASE WHEN l_linenumber = 1 THEN CAST(1e-6 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END
+             + CAST(0.1 AS DOUBLE) AS w FROM lineitem)
+GROUP BY 1"""
+
+_FINE = {"poblacion": "abs(c_acctbal) / CAST(7e8 AS DOUBLE)", "hogares": "abs(c_acctbal) / CAST(3 AS DOUBLE)", "localidades": "CAST(1 AS DOUBLE)"}
+SQL["locality_share_fine"] = f"""
+WITH facts AS (
+  SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS cve_ent, o_orderstatus, o_orderpriority,
+         {', '.join(f'{sql} AS {name}' for name, sql in _FINE.items())}
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) = {t.YEAR})
+{' UNION ALL '.join(
+    f"SELECT cve_ent, {_text(s.variable)} AS variable, round_even(fsum(CASE WHEN {_in(s)} THEN {s.weight} ELSE 0 END) / fsum({s.weight}) * 100.0, 6) AS valor "
+    f"FROM facts GROUP BY 1 HAVING fsum({s.weight}) <> 0" for s in SURVEY.localities)}"""

@@ -99,6 +99,30 @@ def last_row_wins(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def weighted_share_doubles(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares by weights with all 17 digits of a double, from thousandths to tens of thousands."""
+    lines = t.table(spark, sf, "lineitem")
+    weight = F.col("l_extendedprice") / F.lit(3.0) * F.when(F.col("l_linenumber") == 1, 1e-6).otherwise(1.0) + F.lit(0.1)
+    spec = Share("open_pct", "c", "open", "%", "lineitem", column="l_linestatus", positive_values=("O",))
+    shares = est.weighted_shares(lines.withColumn("w", weight), [spec], "l_returnflag", "w")
+    return shares.select("cve_ent", num.round_half_even(F.col("open_pct"), 6).alias("open_pct"))
+
+
+@query
+def locality_share_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of localities by weights down to hundred-millionths."""
+    rows = t.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("CVEGEO"), F.col("c_nationkey").cast("string").alias("ENT"),
+        (F.abs("c_acctbal") / F.lit(7e8)).alias("POBLACION"), (F.abs("c_acctbal") / F.lit(3.0)).cast("string").alias("TOTHOG"),
+        F.col("c_custkey").alias("ID"),
+    )
+    specs = t.metrics().localities
+    shares = est.locality_shares(t.connectivity(spark, sf), est.latest_localities(rows), specs, t.YEAR)
+    long = est.share_observations(shares, specs, t.master(spark, sf), t.YEAR, fixed.LOCALITY_SOURCE, digits=6)
+    return long.select("cve_ent", "variable", "valor")
+
+
 # --- observations -----------------------------------------------------------------------
 
 
