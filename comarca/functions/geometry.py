@@ -72,10 +72,11 @@ def edges(geometry: Column) -> Column:
     return F.flatten(F.transform(F.flatten(geometry), ring_edges))
 
 
-def inside(edge_list: Column, x: Column, y: Column) -> Column:
+def inside(edge_list: Column, x: Column, y: Column, odd: Column | None = None) -> Column:
     """Strictly inside: an odd number of edges to the right, and on none of them.
 
-    One pass with an integer state: 0 outside so far, 1 inside so far, 2 on the boundary.
+    One pass with an integer state: 0 outside so far, 1 inside so far, 2 on the boundary. ``odd`` is the state
+    to begin with, for edges to the right that aren't in the list.
     """
 
     def step(state: Column, e: Column) -> Column:
@@ -92,7 +93,7 @@ def inside(edge_list: Column, x: Column, y: Column) -> Column:
             .otherwise(state)
         )
 
-    return F.aggregate(edge_list, F.lit(0), step) == 1
+    return F.aggregate(edge_list, F.lit(0) if odd is None else odd, step) == 1
 
 
 def _bind(value: Column, use) -> Column:

@@ -1,4 +1,4 @@
-"""Bounding-box filter and the point-in-polygon join on grid cells."""
+"""Bounding-box filter and the point-in-polygon join: on cells of several sizes, or on one grid."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comarca.functions import geometry as geo
+from comarca.operators import quadtree
 
 #: How many grid cells an average polygon spans along each axis.
 CELLS_PER_EXTENT = 4
@@ -72,6 +73,16 @@ def _bytes(cells: DataFrame) -> int:
 
 
 def within_join(
+    points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geometry: str = "geometria", step: float | None = None
+) -> DataFrame:
+    """Inner join of points with the polygons they lie strictly inside of: on a grid of ``step`` where one
+    is given, else on cells of the polygons' own sizes (`operators.quadtree`)."""
+    if step is None:
+        return quadtree.within(points, polygons, x, y, geometry)
+    return grid_join(points, polygons, x, y, geometry, step)
+
+
+def grid_join(
     points: DataFrame,
     polygons: DataFrame,
     x: str = "x",

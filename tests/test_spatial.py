@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from comarca import fixed_values as fixed
 from comarca.functions import geometry as geo
 from comarca.operators import coverage as cov
-from comarca.operators.spatial import cell_size, intersects_box, polygon_cells, within_join
+from comarca.operators import quadtree
+from comarca.operators.spatial import cell_size, grid_join, intersects_box, polygon_cells, within_join
 from comarca.plans import network
 from comarca.sources.shapes import read_shapes
 
@@ -216,8 +217,49 @@ def test_cells_are_measured_before_the_join(spark):
     ring = [(math.cos(2 * math.pi * i / corners), math.sin(2 * math.pi * i / corners)) for i in range(corners)]
     polygons = shapes(spark, [(k, [[ring + ring[:1]]]) for k in range(3)])
     points = spark.range(2000).select("id", (F.rand(1) * 2 - 1).alias("x"), (F.rand(2) * 2 - 1).alias("y"))
-    large, small = within_join(points, polygons, broadcast_bytes=200_000), within_join(points, polygons)
+    large, small = grid_join(points, polygons, broadcast_bytes=200_000), grid_join(points, polygons)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (large, small)]
     assert ["SortMergeJoin" in plan for plan in plans] == [True, False]
     assert ["BroadcastHashJoin" in plan for plan in plans] == [False, True]
     assert sorted(map(tuple, large.select("id", "k").collect())) == sorted(map(tuple, small.select("id", "k").collect()))
+
+
+def _star(rnd, x, y, r, n):
+    ring = [(x + r * rnd.uniform(0.4, 1) * math.cos(2 * math.pi * i / n), y + r * rnd.uniform(0.4, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return [[ring + ring[:1]]]
+
+
+def test_cells_of_many_sizes_equal_testing_every_pair(spark):
+    rnd = random.Random(11)
+    polygons = [(k, _star(rnd, rnd.uniform(-50, 50), rnd.uniform(-50, 50), rnd.choice([0.01, 0.3, 2.0]), rnd.randrange(3, 30))) for k in range(40)]
+    polygons += [(100, _star(rnd, 0.5, 0.25, 300.0, 900)), (101, _star(rnd, 3, 3, 40.0, 200)), (102, HOLED), (103, TWO_PARTS), (104, FLAT)]
+    points = [(i, rnd.uniform(-60, 60), rnd.uniform(-60, 60)) for i in range(500)] + [(1000 + i, x / 2, y / 2) for i, (x, y) in enumerate((x, y) for x in range(-1, 26) for y in range(-1, 10))]
+    for k, shape in polygons[:40]:
+        points += [(2000 + k, *shape[0][0][0]), (3000 + k, sum(x for x, _ in shape[0][0][:-1]) / (len(shape[0][0]) - 1), sum(y for _, y in shape[0][0][:-1]) / (len(shape[0][0]) - 1))]
+    joined = within_join(spark.createDataFrame(points, "i int, x double, y double"), shapes(spark, polygons))
+    got = sorted((r.i, r.k) for r in joined.select("i", "k").collect())
+    assert got == sorted((i, k) for i, x, y in points for k, shape in polygons if brute_inside(shape, x, y))
+    assert joined.columns == ["i", "x", "y", "k"]
+
+
+def test_a_large_polygon_costs_its_border(spark):
+    """A thousand times the size of the others and ten thousand edges: few rows, few edges in each."""
+    rnd = random.Random(3)
+    small = [(k, _star(rnd, 3.0 * k, 1.0, 0.5, 6)) for k in range(100)]
+    large = [(999, [[[(500 + 500 * math.cos(2 * math.pi * i / 10000), 500 * math.sin(2 * math.pi * i / 10000)) for i in range(10000)] + [(1000.0, 0.0)]]])]
+    cells = {k: quadtree.cover(shapes(spark, p)).agg(F.count("*"), F.max(F.size("_edges")), F.sum(F.size("_edges"))).first() for k, p in (("small", small), ("large", large))}
+    assert cells["small"][0] <= 25 * len(small)
+    assert cells["large"][0] <= 10000 and cells["large"][1] <= 100 and cells["large"][2] <= 12 * 10000
+    plain = quadtree.cover(shapes(spark, [(1, [[[(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0), (0.0, 0.0)]]])])).collect()
+    assert len(plain) <= 25 and any(not r["_edges"] for r in plain)
+
+
+def test_no_job_runs_while_the_join_is_planned(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "")
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "i int, x double, y double")
+    joined = within_join(points, shapes(spark, [(1, SQUARE)]))
+    joined._jdf.queryExecution().optimizedPlan()
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+    assert [r.k for r in joined.collect()] == [1]
+    assert within_join(points, shapes(spark, [(1, SQUARE)]).limit(0)).count() == 0
