@@ -21,7 +21,7 @@ DOWN = 2
 #: Edges up to which a cell isn't split.
 EDGES = 12
 #: Rounds of splitting at most; a cell that still has more edges keeps them.
-ROUNDS = 5
+ROUNDS = 3
 #: Levels of the largest and smallest cells.
 LOWEST, HIGHEST = -30, 44
 
@@ -45,77 +45,58 @@ def _levels(polygons: DataFrame, geometry: str) -> DataFrame:
     )
 
 
-def _unpaired(values: Column) -> Column:
-    """The numbers that occur an odd number of times."""
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``value`` evaluated once and called ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def step(state: Column, y: Column) -> Column:
-        again = state["last"] == y
-        done = F.when(state["odd"] & ~again, F.concat(state["out"], F.array(state["last"]))).otherwise(state["out"])
-        return F.struct(y.alias("last"), F.when(again, ~state["odd"]).otherwise(True).alias("odd"), done.alias("out"))
 
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.lit(False).alias("odd"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(
-        F.array_sort(values), start, step, lambda s: F.when(s["odd"], F.concat(s["out"], F.array(s["last"]))).otherwise(s["out"])
-    )
+#: The numbers of an array that occur an odd number of times (SQL, with the array to be put in).
+_UNPAIRED = """aggregate(array_sort({}),
+    named_struct('last', cast('-Infinity' as double), 'odd', false, 'out', cast(array() as array<double>)),
+    (s, y) -> named_struct('last', y, 'odd', if(s.last = y, not s.odd, true),
+                           'out', if(s.odd and s.last != y, concat(s.out, array(s.last)), s.out)),
+    s -> if(s.odd, concat(s.out, array(s.last)), s.out))"""
 
 
-def _clipped(rows: DataFrame, where: Column | None = None) -> DataFrame:
-    """Keep of ``_edges`` those whose box touches the row's cell, and drop cells outside.
+def _clipped(cells: str) -> str:
+    """SQL of the rows that an array of cells (``_level``, ``_cx``, ``_cy``) becomes: of the row's ``_edges`` each cell
+    keeps those whose box touches it; cells outside are dropped.
 
     A ray from a point of the cell to the right crosses an edge wholly right of the cell if exactly one of its ends
     lies above the point. So of those edges only the heights of their ends count, and a height that two
     of them share counts for nothing: of a border that runs on to the right only the ends of its run are left.
     Heights above the cell turn ``_odd``, heights below do nothing, heights within stay in ``_heights``."""
-    level, cx, cy = (F.col(k) for k in ("_level", "_cx", "_cy"))
-    scale = F.pow(F.lit(2.0), level)
-
-    def near(e: Column) -> Column:
-        low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-        return (F.floor(low * scale) <= cy) & (F.floor(high * scale) >= cy) & (F.floor(F.greatest(e["x1"], e["x2"]) * scale) >= cx)
-
-    def right(e: Column) -> Column:
-        return F.floor(F.least(e["x1"], e["x2"]) * scale) > cx
-
-    passed = F.filter("_near", right)
-    ends = F.concat("_heights", F.transform(passed, lambda e: e["y1"]), F.transform(passed, lambda e: e["y2"]))
-    above = (F.col("_odd") + F.size(F.filter("_ends", lambda y: y * scale >= cy + 1))) % 2
-    within_cell = F.filter("_ends", lambda y: (y * scale > cy) & (y * scale < cy + 1))
-    left = F.filter("_near", lambda e: ~right(e))
-
-    def only(new: Column, old: str) -> Column:
-        return new if where is None else F.when(where, new).otherwise(F.col(old))
-
-    rows = rows.withColumn("_near", only(F.filter("_edges", near), "_edges"))
-    rows = rows.withColumn("_ends", only(ends, "_heights"))
-    rows = rows.withColumn("_odd", only(above, "_odd")).withColumn("_heights", only(_unpaired(within_cell), "_heights"))
-    rows = rows.withColumn("_edges", only(left, "_near")).drop("_near", "_ends")
-    return rows.where((F.size("_edges") > 0) | (F.col("_odd") == 1))
+    near = """filter(_edges, e -> floor(least(e.y1, e.y2) * c.s) <= c.cell._cy and floor(greatest(e.y1, e.y2) * c.s) >= c.cell._cy
+              and floor(greatest(e.x1, e.x2) * c.s) >= c.cell._cx)"""
+    right = "floor(least(e.x1, e.x2) * c.s) > c.cell._cx"
+    ends = "concat(_heights, transform(passed, e -> e.y1), transform(passed, e -> e.y2))"
+    inner = "filter(ends, y -> y * c.s > c.cell._cy and y * c.s < c.cell._cy + 1)"
+    kept = f"""named_struct('_level', c.cell._level, '_cx', c.cell._cx, '_cy', c.cell._cy,
+        '_edges', filter(near, e -> not ({right})),
+        '_odd', cast((_odd + size(filter(ends, y -> y * c.s >= c.cell._cy + 1))) % 2 as int),
+        '_heights', {_UNPAIRED.format(inner)})"""
+    kept = _bound(near, "near", _bound(f"filter(near, e -> {right})", "passed", _bound(ends, "ends", kept)))
+    scaled = f"transform({cells}, k -> named_struct('cell', k, 's', pow(2D, k._level)))"
+    return f"filter(transform({scaled}, c -> {kept}), c -> size(c._edges) > 0 or c._odd = 1)"
 
 
 def cover(polygons: DataFrame, geometry: str = "geometria") -> DataFrame:
     """One row per polygon and cell: the polygon's other columns, ``_level``, ``_cx``, ``_cy``, the edges that touch
     the cell, and what lies to the right of it: ``_odd`` (whether every ray crosses an odd number of edges there) and
     ``_heights`` (at each of which that turns)."""
-    rows = _levels(polygons, geometry).drop(geometry).withColumn("_odd", F.lit(0)).withColumn("_heights", F.array().cast("array<double>"))
-    for axis in ("x", "y"):
-        ends = (_cell(F.col(f"_box.{axis}_{end}"), F.col("_level")) for end in ("min", "max"))
-        rows = rows.withColumn(f"_c{axis}", F.explode(F.sequence(*ends)))
-    rows = _clipped(rows.drop("_box"))
+    others = [f"`{c}`" for c in polygons.columns if c != geometry]
+    ends = [f"cast(floor(_box.{axis}_{end} * pow(2D, _level)) as bigint)" for axis in "xy" for end in ("min", "max")]
+    first = f"""flatten(transform(sequence({ends[0]}, {ends[1]}), x -> transform(sequence({ends[2]}, {ends[3]}), y ->
+        named_struct('_level', _level, '_cx', x, '_cy', y))))"""
+    rows = _levels(polygons, geometry).selectExpr("*", "0 as _odd", "cast(array() as array<double>) as _heights")
+    rows = rows.selectExpr(*others, "_rounds", f"inline({_clipped(first)})")
     side = 1 << DOWN
+    parts = f"""transform(sequence(0, {side * side - 1}), k ->
+        named_struct('_level', _level + {DOWN}, '_cx', _cx * {side} + k % {side}, '_cy', _cy * {side} + k div {side}))"""
+    whole = "array(named_struct('_level', _level, '_cx', _cx, '_cy', _cy, '_edges', _edges, '_odd', _odd, '_heights', _heights))"
     for round_ in range(ROUNDS):
-        split = (F.size("_edges") > EDGES) & (F.col("_rounds") > round_)
-        parts = F.transform(
-            F.sequence(F.lit(0), F.lit(side * side - 1)),
-            lambda k: F.struct(
-                (F.col("_level") + DOWN).alias("_level"),
-                (F.col("_cx") * side + k % side).alias("_cx"),
-                (F.col("_cy") * side + F.floor(k / side)).alias("_cy"),
-                F.lit(True).alias("_split"),
-            ),
-        )
-        whole = F.array(F.struct("_level", "_cx", "_cy", F.lit(False).alias("_split")))
-        others = [c for c in rows.columns if c not in ("_level", "_cx", "_cy")]
-        rows = _clipped(rows.select(*others, F.inline(F.when(split, parts).otherwise(whole))), F.col("_split")).drop("_split")
+        split = f"size(_edges) > {EDGES} and _rounds > {round_}"
+        rows = rows.selectExpr(*others, "_rounds", f"inline(case when {split} then {_clipped(parts)} else {whole} end)")
         if round_ == 0:
             # A polygon of very many edges is split further by all tasks.
             rows = rows.repartition("_level", "_cx", "_cy")
