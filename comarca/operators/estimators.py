@@ -56,9 +56,14 @@ def _of_year(df: DataFrame, name: str, year: int | str, parse: bool = False) ->
 
 
 def weighed_answers(
-    persons: DataFrame, specs: Sequence[Share], key: str, weight: str, weight_type: str = WEIGHT_TYPE
+    persons: DataFrame,
+    specs: Sequence[Share],
+    key: str,
+    weight: str,
+    weight_type: str = WEIGHT_TYPE,
+    carried: Sequence[Column] = (),
 ) -> DataFrame:
-    """_key, _weight and one true-or-false column per metric, of persons with key and weight.
+    """_key, _weight, ``carried`` and one true-or-false column per metric, of persons with key and weight.
 
     The weight is parsed strictly: text that is no number is an error under ANSI mode.
     """
@@ -67,6 +72,7 @@ def weighed_answers(
     return persons.where(_present(persons, key) & _present(persons, weight)).select(
         _stripped(persons, key).alias("_key"),
         number.alias("_weight"),
+        *carried,
         *_columns((spec.holds(persons), spec.variable) for spec in specs),
     )
 
@@ -170,16 +176,18 @@ def locality_shares(
     year: int | str = fixed.SURVEY_YEAR,
     key: str = "CVEGEO",
     year_column: str = "ANIO",
+    clean: bool = False,
 ) -> DataFrame:
     """Shares of localities, people or households by entity of the locality.
 
     ``localities`` comes from :func:`latest_localities`. The fact table is counted per
     locality first: a locality with a third of all facts becomes one row, both join sides
-    have one row per key, and they are already partitioned by it.
+    have one row per key, and they are already partitioned by it. ``clean`` says that keys are stored
+    stripped (`sinks.layouts`): tables bucketed by them then meet without a shuffle.
     """
+    code = F.col(key) if clean else F.coalesce(strip(F.col(key).cast("string")), F.lit(""))
     of_year = connectivity.where(_of_year(connectivity, year_column, year)).select(
-        F.coalesce(strip(F.col(key).cast("string")), F.lit("")).alias("cvegeo"),
-        *_columns((spec.holds(connectivity), spec.variable) for spec in specs),
+        code.alias("cvegeo"), *_columns((spec.holds(connectivity), spec.variable) for spec in specs)
     )
     counted = of_year.groupBy("cvegeo").agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -631,3 +631,21 @@ WITH facts AS (
 {' UNION ALL '.join(
     f"SELECT cve_ent, {_text(s.variable)} AS variable, round_even(fsum(CASE WHEN {_in(s)} THEN {s.weight} ELSE 0 END) / fsum({s.weight}) * 100.0, 6) AS valor "
     f"FROM facts GROUP BY 1 HAVING fsum({s.weight}) <> 0" for s in SURVEY.localities)}"""
+
+SQL["running_share"] = SQL["weighted_share_long"]
+SQL["stored_locality_share"] = SQL["locality_share"]
+SQL["published_together"] = SQL["survey_long"]
+SQL["clustered_tiles"] = """
+WITH placed AS (
+  SELECT event_id, user_id AS tests, CAST(-119 AS DOUBLE) + event_id * 15 / CAST(1024 AS DOUBLE) AS x,
+         CAST(13 AS DOUBLE) + ((event_id * 7919 + user_id * 131) % 21504) / CAST(1024 AS DOUBLE) AS y FROM events)
+SELECT event_id, tests, x - 1 / CAST(512 AS DOUBLE) AS x_min, y + 1 / CAST(512 AS DOUBLE) AS y_max FROM placed
+WHERE x + 1 / CAST(512 AS DOUBLE) >= -110 AND x - 1 / CAST(512 AS DOUBLE) <= -104
+  AND y + 1 / CAST(512 AS DOUBLE) >= 18 AND y - 1 / CAST(512 AS DOUBLE) <= 24"""
+SQL["catalog_log_variables"] = """
+SELECT variable AS variable_id, first(categoria ORDER BY turn, p_partkey) AS categoria_id, first(unidad ORDER BY turn, p_partkey) AS unidad_base,
+       '2026-04-20' AS updated_at
+FROM (SELECT p_partkey, p_partkey % 2 AS turn, 'cat_5' || lower(p_type) AS categoria,
+             replace(p_name, ' ', '_') || '_' || lower(p_type) || CASE WHEN p_type = 'PROMO' THEN '_pct' ELSE '' END AS variable,
+             CASE p_type WHEN 'SMALL' THEN ' % ' WHEN 'LARGE' THEN 'USD millones' ELSE 'piezas' END AS unidad FROM part)
+GROUP BY 1"""

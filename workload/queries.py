@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
@@ -20,12 +21,13 @@ from comarca.operators import estimators as est
 from comarca.operators import insights as ins
 from comarca.operators import lookups, observations, quality
 from comarca.operators.insights import Focus
+from comarca.operators.running_totals import RunningTotals
 from comarca.operators.spatial import within_join
 from comarca.plans import context, network, survey
 from comarca.plans.dashboard import Dashboard
-from comarca.sinks import publish
+from comarca.sinks import catalog_log, layouts, publish, versions
 from comarca.sources import cells, shapes, tables
-from comarca.sources.documents import WIDE_FIELDS, category_label
+from comarca.sources.documents import WIDE_FIELDS, category_label, read_long
 from comarca.specs import Share
 from workload import tables as t
 
@@ -767,3 +769,91 @@ def published_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy(F.col("_section").alias("section")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").startswith(",")).alias("continued")
     )
+
+
+# --- stored and versioned ---------------------------------------------------------------
+
+
+@query
+def running_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of order lines that came in three batches, one of them twice, with a merge in between."""
+    lines = t.table(spark, sf, "lineitem").withColumn("_of", F.lit(t.YEAR))
+    specs = [spec for spec in t.metrics().shares if spec.source_table == "usuarios"]
+    totals = RunningTotals(spark, t.scratch(spark, "running"), specs)
+    for batch in (0, 1, 0, 2):
+        totals.add(f"part-{batch}", lines.where(F.col("l_orderkey") % 3 == batch), "l_suppkey", "l_quantity", "_of")
+        if batch == 1:
+            totals.compact()
+    shares = totals.shares(t.YEAR, t.suppliers_of(spark, sf))
+    return est.share_observations(shares, specs, t.master(spark, sf), t.YEAR, fixed.SURVEY_SOURCE).drop("secuencia")
+
+
+@query
+def stored_locality_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Locality shares from tables stored by year and bucket, which meet without a shuffle."""
+    folder, name = t.scratch(spark, "survey"), f"survey_{uuid.uuid4().hex}"
+    orders = t.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("CVEGEO"), F.year("o_orderdate").alias("ANIO"), "o_orderstatus", "o_orderpriority"
+    )
+    facts = layouts.store_connectivity(orders, f"{name}_facts", f"{folder}/facts", 8)
+    places = layouts.store_localities(est.latest_localities(t.localities(spark, sf)), f"{name}_places", f"{folder}/places", 8)
+    specs = t.metrics().localities
+    shares = est.locality_shares(facts, places, specs, t.YEAR, "cvegeo", "anio", clean=True)
+    return est.share_observations(shares, specs, t.master(spark, sf), t.YEAR, fixed.LOCALITY_SOURCE).drop("secuencia")
+
+
+#: A part of the strip, a few degrees wide.
+SMALL_BOX = (-110.0, 18.0, -104.0, 24.0)
+
+
+@query
+def clustered_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of a small box, from a layer stored along a space-filling curve."""
+    path = t.scratch(spark, "tiles")
+    layouts.write_clustered_tiles(t.tiles(spark, sf), path)
+    return cov.tiles_in_box(spark.read.parquet(path), SMALL_BOX).select("event_id", "tests", "x_min", "y_max")
+
+
+@query
+def published_together(spark: SparkSession, sf: str) -> DataFrame:
+    """The long table as JSON and CSV, read from the current version after a later publication failed half way."""
+    folder, stored = t.scratch(spark, "published"), t.scratch(spark, "long")
+    t.survey_long(spark, sf).select(*fixed.LONG_COLUMNS).write.parquet(stored)
+    long = spark.read.parquet(stored)
+    head = publish.envelope(long, "2026-04-19", fixed.SURVEY_LONG_ID, fixed.SURVEY_SOURCE)
+
+    def failing(path: str) -> None:
+        raise OSError("disk full")
+
+    writers = {"long": lambda path: publish.write_long_json(long, path, head), "csv": lambda path: publish.write_long_csv(long, path)}
+    versions.publish_together(spark, folder, writers)
+    try:
+        versions.publish_together(spark, folder, {"long": lambda path: publish.write_long_json(long.limit(1), path, head), "csv": failing})
+    except OSError:
+        pass
+    stored = read_long(spark, versions.published(spark, folder, "long"), lines=True)
+    lines = tables.read_delimited(spark, versions.published(spark, folder, "csv"), types={"anio": "int", "valor": "double"})
+    return stored.select(*fixed.LONG_COLUMNS).intersectAll(lines.select(*fixed.LONG_COLUMNS))
+
+
+@query
+def catalog_log_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog after two synchronisations, the second of which was overtaken by the first."""
+    folder, specs = t.scratch(spark, "catalog"), _declared(spark, sf)
+    none = spark.createDataFrame([], "variable string, fuente_sugerida string, sinonimos array<string>")
+    blank = spark.createDataFrame([], "categoria_id string, nombre string, descripcion string")
+
+    def additions(of: DataFrame):
+        return lambda categories, variables: (cat.new_categories(categories, of, blank), cat.new_variables(variables, of, none))
+
+    first = additions(specs.where(F.col("posicion") % 2 == 0))
+    overtaken = []
+
+    def second(categories: DataFrame, variables: DataFrame):
+        if not overtaken:
+            overtaken.append(catalog_log.append_catalog(spark, folder, first, "2026-04-19"))
+        return additions(specs)(categories, variables)
+
+    catalog_log.append_catalog(spark, folder, second, "2026-04-20")
+    _, variables, updated_at = catalog_log.read_catalog_log(spark, folder)
+    return variables.select("variable_id", "categoria_id", "unidad_base", F.lit(updated_at).alias("updated_at"))

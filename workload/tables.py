@@ -6,6 +6,8 @@ orders of a year are the connectivity facts, events are speed tests, parts are c
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,17 @@ SCHEMAS = {
 }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query stores: in the shared folder the session names, or, on one
+    machine only, in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="comarca-tables-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -195,7 +208,7 @@ def dashboard_catalog(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Whole texts; long ones, so they are dealt out over all cores."""
+    """Whole texts."""
     return table(spark, sf_dir, "documents").select(*columns)
 
 
