@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comarca.llm.lineage import cut
+from comarca.llm.tables import apart
 
 WHITE = " \t\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,8 +91,7 @@ def deduplicated(documents: DataFrame, min_lines: int = 3, min_words: int = 25)
     are treated alike, none as the other's copy. Empty texts have no lines. Columns of other names
     are carried along; columns named n_lines or n_removed are replaced.
     """
-    names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    rows = documents.select(*names)
+    rows, carried = apart(documents, ("doc_id", "text"), ("n_lines", "n_removed"))
     known = rows.filter("doc_id is not null and text is not null")
     lines = known.select("doc_id", F.xxhash64("text").alias("row"), _lines("text").alias("lines"))
     lines = lines.filter(F.size("lines") > 0)
@@ -111,7 +111,6 @@ def deduplicated(documents: DataFrame, min_lines: int = 3, min_words: int = 25)
     gone = later.select("doc_id", "row", F.explode(F.sequence(start, end)).alias("line")).distinct()
     gone = gone.groupBy("doc_id", "row").agg(F.collect_list("line").alias("gone"))
 
-    # The joined side has names of its own, so that columns of the input may be called anything.
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     at = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row"))
     found = rows.join(gone, at, "left").drop("_doc", "_row")
@@ -131,7 +130,7 @@ def deduplicated(documents: DataFrame, min_lines: int = 3, min_words: int = 25)
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
     }
     new["n_removed"] = F.when(touched, F.size("_gone")).otherwise(0).cast("long")
-    return found.select(*[new["text"].alias("text") if c == "text" else F.col(c) for c in names], *[new[k].alias(k) for k in ("n_lines", "n_removed")])
+    return found.select(*[new["text"].alias("text") if c == "text" else column for c, column in carried.items()], *[new[k].alias(k) for k in ("n_lines", "n_removed")])
 
 
 def oracle(min_lines: int = 3, min_words: int = 25) -> str:

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`. Only where that is unset (tests on one machine) a
-    temporary folder is made and set."""
+    """The session's `spark.checkpoint.dir`. Only where that is unset on a local master (tests) a temporary
+    folder is made and set; elsewhere executors couldn't read it, which is an error.
+
+    What is written there belongs to results that are still to be read, so it stays; the folder is the
+    cluster's to clear once they are."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         conf = spark.conf.get("spark.checkpoint.dir", None)
+        if conf is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="comarca-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comarca.llm.lineage import cut, written
+from comarca.llm.tables import apart
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts of a source's seeded order. The part in which a fraction ends is looked at row by row.
@@ -155,10 +156,9 @@ def mixed(
     names in the input are replaced, others are carried along.
     """
     own = ("size", "source_size", "target", "copies")
-    names = [c for c in documents.columns if c not in own]
+    rows, at = apart(documents, ("doc_id", "source", "text"), own)
     sizes = cut(documents.select(F.col("source").cast("string").alias("source"), words().alias("size"), order(seed).alias("place")))
     goal = decisions(sizes, weights, most, further).withColumnsRenamed({"_source": "_s", "_none": "_n"})
-    rows = documents.select(*names)
     source = F.col("source").cast("string")
     same = (F.coalesce(source, F.lit("")) == F.col("_s")) & (source.isNull() == F.col("_n"))
     found = rows.join(goal.withColumnsRenamed({"source_size": "_size", "target": "_target"}), same)
@@ -171,7 +171,7 @@ def mixed(
         closing = F.coalesce(place == F.col("closing"), F.lit(False))
     extra = (place <= F.col("upto")) | closing
     return found.select(
-        *names,
+        *at.values(),
         F.col("_words").alias("size"),
         F.col("_size").alias("source_size"),
         F.col("_target").alias("target"),

@@ -367,3 +367,18 @@ def test_words_lose_all_punctuation_at_their_ends():
     data, offsets = textbytes.text_column(pa.array(texts))
     starts, ends, _ = toxicity._trimmed_words(data, offsets)
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == ["bad", "a-b", "?", "x", "a", "b"]
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["whole", "upto", "closing", "_s", "_n", "_row", "_doc", "_gone", "_texts", "_keep", "place", "rounds", "copies", "_others", "a.b", "n_lines", "size"]
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{line}\nown {i}" if i < 3 else "short", f"s{i % 2}") for i in range(6)]
+    df = spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in names)) for r in rows], ["doc_id", "text", "source", *names])
+    for further in (False, True):
+        mix = mixing.mixed(df, further=further).collect()
+        assert len(mix) == 6 and all(r["_s"] == f"_s-{r.doc_id}" and r["a.b"] == f"a.b-{r.doc_id}" and r["upto"] == f"upto-{r.doc_id}" for r in mix)
+        assert all(isinstance(r["copies"], int) and isinstance(r["size"], int) for r in mix)
+    lines = line_dedup.deduplicated(df).collect()
+    assert {r.doc_id: r.n_removed for r in lines} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    assert all(r["_row"] == f"_row-{r.doc_id}" and r["_gone"] == f"_gone-{r.doc_id}" and r["_others"] == f"_others-{r.doc_id}" for r in lines)
+    assert [f for f in lines[0].asDict() if f in ("n_lines", "n_removed")] == ["n_lines", "n_removed"]
