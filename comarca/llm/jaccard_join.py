@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -66,7 +67,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _signatures(documents: DataFrame, words: int) -> DataFrame:
     """A row per text (doc_id, n and two checksums of its shingle set) and, per task, the rows of its
-    part of the sketch (part, counts)."""
+    part of the sketch (part, deflated counts: most are small)."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def _signatures(documents: DataFrame, words: int) -> DataFrame:
         if id_type is not None:
             parts = sketch.reshape(SKETCH_PARTS, -1)
             nothing = [pa.nulls(SKETCH_PARTS, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
-            filled = [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array([p.astype("<i8").tobytes() for p in parts])]
+            filled = [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts])]
             yield pa.RecordBatch.from_arrays([*nothing, *filled], names)
 
     return documents.select("doc_id", "text").mapInArrow(
@@ -99,7 +100,7 @@ def _order(signatures: DataFrame) -> np.ndarray:
     """For each counter of the sketch a byte that grows with the logarithm of its count."""
 
     def summed(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in table.column("counts"))
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()])})
 
     parts = signatures.filter("part is not null").select("part", "counts")
