@@ -266,14 +266,61 @@ def test_language_marginalises_all_segmentations():
     probability = np.array([[0.2], [0.1], [0.3], [0.1], [0.2], [0.1], [0.0]])
     model = language.Model(["x"], pieces, probability)
     data, offsets = textbytes.text_column(pa.array(["ab"]))
-    spaced, starts, sizes, _ = language.stretches(data, offsets)
+    spaced, starts, sizes, _ = language.words_of(data, offsets)
     # " ab" = " ab" | " a"+"b" | " "+"ab" | " "+"a"+"b"
     expected = 0.1 + 0.2 * 0.1 + 0.1 * 0.2 + 0.1 * 0.3 * 0.1
-    assert language.stretch_scores(model, spaced, starts, sizes)[0, 0] == pytest.approx(np.log(expected))
-    counts = language.expected_counts(model, spaced, starts, sizes, np.ones((1, 1)))[:, 0]
+    assert language.word_scores(model, spaced, starts, sizes)[0, 0] == pytest.approx(np.log(expected))
+    counts = language.expected_counts(model, spaced, starts, sizes, np.zeros(1, int), np.ones(1))[:, 0]
     assert counts @ [2, 1, 1, 1, 2, 3, 0] == pytest.approx(3)  # bytes that the pieces cover
 
 
+def _segmentations(word, pieces):
+    """Every way to write `word` as pieces, one after the other."""
+    if not word:
+        yield []
+    for i, p in enumerate(pieces):
+        if word.startswith(p):
+            yield from ([i, *rest] for rest in _segmentations(word[len(p):], pieces))
+
+
+def test_language_equals_every_segmentation_written_out(monkeypatch):
+    rng = np.random.default_rng(4)
+    pieces = [b" ", b"a", b"b", b"c", b"ab", b"ba", b"abc", b" a", b"bab", b"cab", b"\xc3", b"\xa9", b"\xc3\xa9", b"\xa9a"]
+    probability = rng.random((len(pieces) + 1, 3))
+    probability[-1] = 0
+    model = language.Model(["x", "y", "z"], pieces, probability / probability.sum(axis=0))
+    texts = ["".join(rng.choice(list("abcé"), n)) for n in (1, 2, 3, 5, 8, 9, 10)] + ["c c", "ccccc"]
+    for held in (1 << 16, 7):
+        monkeypatch.setattr(language, "HELD_BYTES", held)
+        data, offsets = textbytes.text_column(pa.array(texts))
+        spaced, starts, sizes, rows = language.words_of(data, offsets)
+        scores = language.word_scores(model, spaced, starts, sizes)
+        of, times = np.arange(len(starts)) % 3, np.arange(len(starts)) + 0.5
+        counts = np.zeros_like(model.probability)
+        for k, (a, n) in enumerate(zip(starts, sizes)):
+            ways = list(_segmentations(spaced[a : a + n].tobytes(), pieces))
+            likely = np.array([model.probability[w].prod(axis=0) for w in ways])
+            assert scores[k] == pytest.approx(np.log(likely.sum(axis=0)))
+            for way, p in zip(ways, likely[:, of[k]] / likely[:, of[k]].sum()):
+                np.add.at(counts[:, of[k]], way, p * times[k])
+        assert language.expected_counts(model, spaced, starts, sizes, of, times) == pytest.approx(counts)
+
+
+def test_language_words_of_any_length():
+    """A run of 20,000 letters underflows as a product; its score is that of the recursion on logarithms."""
+    pieces = [b" ", b"a", b"aa", b"aaa" * 16]
+    model = language.Model(["x"], pieces, np.array([[0.5], [1e-4], [0.4], [1e-6], [0.0]]))
+    data, offsets = textbytes.text_column(pa.array(["a" * 20_000]))
+    spaced, starts, sizes, _ = language.words_of(data, offsets)
+    assert sizes.tolist() == [20_001]
+    best = [0.0, np.log(1e-4)]
+    for n in range(2, 20_001):
+        best.append(np.logaddexp(best[-1] + np.log(1e-4), best[-2] + np.log(0.4)))
+        if n >= 48:
+            best[-1] = np.logaddexp(best[-1], best[-49] + np.log(1e-6))
+    assert language.word_scores(model, spaced, starts, sizes)[0, 0] == pytest.approx(np.log(0.5) + best[20_000])
+
+
 def test_language_held_out_and_edges(spark, odd):
     path = "/root/testdata/sf0.01"
     found = queries.op1_language(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id")
