@@ -1,21 +1,23 @@
 """Deletion of repeated runs of lines, found by winnowing over line hashes.
 
 A window begins at a line and ends as soon as it has `min_lines` lines or `min_words` words. The
-smallest line hash of each window is a fingerprint. Two equal windows have the same fingerprint,
-so every repeated run of `min_lines` lines or `min_words` words is found in both places. Windows
-whose fingerprint occurs at one place only are dropped; the others are joined by content with
-their first occurrence, and each match is extended both ways while the lines agree, through the
-lines that are too few or too short to make a window themselves. What a later occurrence covers
-is deleted.
-
-All of it is DataFrame expressions. A group of equal windows meets its first occurrence only, so
-its rows are never paired with each other.
+place of the smallest line hash in it is its fingerprint; windows one after the other mostly share
+theirs, and only places selected by some window are stored, with the line hashes around them.
+Equal windows have equal fingerprints at the same place, so every repeated run is found where its
+fingerprints meet. Places whose fingerprint occurs once go.
+
+Around the others matches grow both ways: back to the beginnings of the windows that selected the
+place, forward over their ends and on through lines that are too few or too short for a window of
+their own. Each such stretch is looked up among the earlier ones, so a line is deleted exactly if it
+lies in a run of `min_lines` lines or `min_words` words that some earlier place has too, whichever it
+is: the longest earlier match counts, not the first occurrence of its beginning.
+
+All of it is DataFrame expressions. Lines are compared by 128-bit hashes. Places are never paired with
+each other: a group keeps its first place, found by parts (`SALTS`), and each part meets that one row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,60 +26,92 @@ from comarca.llm.tables import apart
 
 WHITE = " \t\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Parts into which the rows of one fingerprint or one stretch are split.
+SALTS = 16
 
 
 def _lines(text: str) -> Column:
-    """The lines of a text that have a word: number, hash without outer white space, words."""
+    """The lines of a text that have a word: hash without outer white space, words."""
     each = F.transform(
         F.split(text, "\n", -1),
-        lambda line, at: F.struct(
-            at.alias("at"),
-            F.xxhash64(F.btrim(line, F.lit(WHITE))).alias("h"),
+        lambda line: F.struct(
+            F.unhex(F.md5(F.btrim(line, F.lit(WHITE)))).alias("h"),
             F.regexp_count(line, F.lit(WORD)).alias("w"),
         ),
     )
     return F.filter(each, lambda x: x["w"] > 0)
 
 
-def _hashes(lines: Column, start: Column, size: Column) -> Column:
-    return F.transform(F.slice(lines, start, size), lambda x: x["h"])
+def _end(i: Column, min_lines: int, min_words: int) -> Column:
+    """Where the window that begins at line i ends (exclusive)."""
+    words, chain = F.lit(0), F
+    for k in range(min_lines - 1):
+        words = words + F.get(F.col("lines"), i + k)["w"]
+        chain = chain.when(words >= min_words, i + k + 1)
+    return chain.otherwise(i + min_lines) if min_lines > 1 else i + 1
+
+
+def _fingerprints(documents: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """One row per selected place: the line at which the first of its windows begins (`i`), for that window and
+    the next ones the shortest and longest stretch to look up (`sizes`, `reaches`), and the line hashes from `i` on.
+
+    Both the ends of windows and their selected places never decrease from window to window. A window's stretch
+    reaches on to the line before the next window's end: from there on the next window covers the match."""
+    rows = documents.select("doc_id", F.xxhash64("text").alias("row"), _lines("text").alias("lines"))
+    every = F.transform(F.col("lines"), lambda x, i: _end(i, min_lines, min_words))
+    rows = rows.select("doc_id", "row", F.col("lines.h").alias("hs"), F.filter(every, lambda e: e <= F.size("lines")).alias("ends"))
+
+    def place(e: Column, i: Column) -> Column:
+        own = F.slice("hs", i + 1, e - i)
+        return i + F.array_position(own, F.array_min(own)).cast("int") - 1
 
+    rows = rows.select("*", F.transform("ends", place).alias("places"))
 
-def _window(min_lines: int, min_words: int):
-    """From a line's index to its window: size, content key, fingerprint, and the lines around."""
+    def of_windows(k: Column, p: Column, value) -> Column:
+        ahead = F.array(*[F.lit(d) for d in range(min_lines)])
+        return F.transform(F.filter(ahead, lambda d: F.get("places", k + d) == p), lambda d: value(k + d))
 
-    def of(i: Column) -> Column:
-        lines = F.col("lines")
-        size, words = F.lit(None).cast("int"), F.lit(0)
-        chain = None
-        for k in range(min_lines - 1):
-            words = words + F.get(lines, i + k)["w"]
-            chain = F.when(words >= min_words, k + 1) if chain is None else chain.when(words >= min_words, k + 1)
-        size = F.lit(min_lines) if chain is None else chain.otherwise(min_lines)
-        around = min_lines - 1
-        own = _hashes(lines, i + 1, size)
-        return F.struct(
-            i.alias("i"),
-            size.alias("size"),
-            F.xxhash64(own).alias("key"),
-            F.array_min(own).alias("fingerprint"),
-            (i + F.array_position(own, F.array_min(own)).cast("int") - 1).alias("place"),
-            _hashes(lines, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around))).alias("before"),
-            _hashes(lines, i + size + 1, F.lit(around)).alias("after"),
-        )
+    def size(j: Column) -> Column:
+        return F.get("ends", j) - j
 
-    return of
+    def reach(j: Column) -> Column:
+        return F.greatest(F.coalesce(F.get("ends", j + 1) - 1, F.size("hs")) - j, size(j))
 
+    def selected(p: Column, k: Column) -> Column:
+        new = (k == 0) | (F.get("places", k - 1) != p)
+        return F.when(new, F.struct(k.alias("i"), p.alias("place"), of_windows(k, p, size).alias("sizes"), of_windows(k, p, reach).alias("reaches")))
 
-def _agreeing(mine: str, other: str, most: int, from_end: bool) -> Column:
-    """How many elements agree, one after the other, from the start or the end of two arrays."""
-    so_far, total = F.lit(True), F.lit(0)
-    for k in range(most):
-        at = F.lit(-k - 1 if from_end else k + 1)
-        same = F.try_element_at(mine, at) == F.try_element_at(other, at)
-        so_far = so_far & F.coalesce(same, F.lit(False))
-        total = total + so_far.cast("int")
-    return total
+    chosen = F.filter(F.transform("places", selected), lambda x: x.isNotNull())
+    found = rows.select("doc_id", "row", "hs", F.explode(chosen).alias("at")).select("doc_id", "row", "hs", "at.*")
+    longest = F.array_max(F.transform("reaches", lambda n, d: n + d))
+    return found.select(
+        "doc_id", "row", "i", "place", "sizes", "reaches",
+        F.get("hs", F.col("place")).alias("fingerprint"), F.slice("hs", F.col("i") + 1, longest).alias("around"),
+    )
+
+
+def _with_group(rows: DataFrame, key: str, least, most) -> DataFrame:
+    """`rows` with `least` and `most`, the smallest and greatest of two expressions among rows of the same `key`, where
+    these differ. Groups are aggregated, and joined, in `SALTS` parts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.min(least).alias("least"), F.max(most).alias("most"))
+    whole = parts.groupBy(key).agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least != most")
+    return salted.join(parts.select(key, "salt").join(whole, key), [key, "salt"])
+
+
+def _repeated(fingerprints: DataFrame) -> DataFrame:
+    """Stretches (doc_id, row, start, size) that an earlier place has too."""
+    where = F.xxhash64("doc_id", "row", "place")
+    met = _with_group(fingerprints, "fingerprint", where, where)
+
+    def stretch(d: Column, size: Column) -> Column:
+        joined = F.aggregate(F.slice("around", d + 1, size), F.lit(b""), lambda s, h: F.concat(s, h))
+        return F.struct((F.col("i") + d).alias("start"), size.alias("size"), F.unhex(F.md5(joined)).alias("stretch"))
+
+    each = F.transform("sizes", lambda s, d: F.transform(F.sequence(s, F.get("reaches", d)), lambda n: stretch(d, n)))
+    stretches = met.select("doc_id", "row", F.inline(F.flatten(each)))
+    order = F.struct("doc_id", "row", "start")
+    return _with_group(stretches, "stretch", order, order).filter(order > F.col("least")).select("doc_id", "row", "start", "size")
 
 
 def deduplicated(documents: DataFrame, min_lines: int = 3, min_words: int = 25) -> DataFrame:
@@ -93,23 +127,10 @@ def deduplicated(documents: DataFrame, min_lines: int = 3, min_words: int = 25)
     """
     rows, carried = apart(documents, ("doc_id", "text"), ("n_lines", "n_removed"))
     known = rows.filter("doc_id is not null and text is not null")
-    lines = known.select("doc_id", F.xxhash64("text").alias("row"), _lines("text").alias("lines"))
-    lines = lines.filter(F.size("lines") > 0)
-    every = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), _window(min_lines, min_words))
-    inside = F.filter(every, lambda x: x["i"] + x["size"] <= F.size("lines"))
-    windows = cut(lines.select("doc_id", "row", F.inline(inside)))
-
-    where = F.xxhash64("doc_id", "row", "place")
-    shared = windows.groupBy("fingerprint").agg(F.min(where).alias("x"), F.max(where).alias("y")).filter("x != y")
-    joined = windows.join(shared.select("fingerprint"), "fingerprint").drop("fingerprint", "place")
-    first = joined.groupBy("key", "size").agg(F.min(F.struct("doc_id", "row", "i", "before", "after")).alias("first"))
-    later = joined.join(first, ["key", "size"]).filter(
-        F.struct("doc_id", "row", "i") > F.struct("first.doc_id", "first.row", "first.i")
-    )
-    start = F.col("i") - _agreeing("before", "first.before", min_lines - 1, from_end=True)
-    end = F.col("i") + F.col("size") - 1 + _agreeing("after", "first.after", min_lines - 1, from_end=False)
-    gone = later.select("doc_id", "row", F.explode(F.sequence(start, end)).alias("line")).distinct()
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_list("line").alias("gone"))
+    repeated = _repeated(cut(_fingerprints(known, min_lines, min_words)))
+    ranges = repeated.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
+    covered = F.transform("ranges", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1))
+    gone = ranges.select("doc_id", "row", F.array_distinct(F.flatten(covered)).alias("gone"))
 
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     at = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row"))
@@ -127,30 +148,17 @@ def deduplicated(documents: DataFrame, min_lines: int = 3, min_words: int = 25)
     new = {
         "text": F.when(touched, left).otherwise(F.col("text")),
         "n_lines": F.when(touched, F.size("_worded")).otherwise(F.coalesce(lines_of, F.lit(0))).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "n_removed": F.when(touched, F.size("_gone")).otherwise(0).cast("long"),
     }
-    new["n_removed"] = F.when(touched, F.size("_gone")).otherwise(0).cast("long")
     return found.select(*[new["text"].alias("text") if c == "text" else column for c, column in carried.items()], *[new[k].alias(k) for k in ("n_lines", "n_removed")])
 
 
 def oracle(min_lines: int = 3, min_words: int = 25) -> str:
     """The same in DuckDB's SQL, for documents with distinct ids and without nulls."""
-    ahead = ", ".join(f"lead(w, {k}) OVER p AS w{k}, lead(s, {k}) OVER p AS s{k}" for k in range(1, 2 * min_lines))
-    behind = ", ".join(f"lag(s, {k}) OVER p AS b{k}" for k in range(1, min_lines))
-    sizes = " ".join(
-        f"WHEN {' + '.join(['w', *[f'w{j}' for j in range(1, k)]])} >= {min_words} THEN {k}" for k in range(1, min_lines)
-    )
-    key = " || chr(10) || ".join(["s", *[f"CASE WHEN size > {k} THEN s{k} ELSE '' END" for k in range(1, min_lines)]])
-    befores = ", ".join(f"b{k}" for k in range(1, min_lines))
-    afters = ", ".join(f"CASE size {' '.join(f'WHEN {n} THEN s{n + k}' for n in range(1, min_lines + 1))} END" for k in range(min_lines - 1))
-
-    def agreeing(side: str) -> str:
-        terms = []
-        for k in range(1, min_lines):
-            same = " AND ".join(f"coalesce(m.{side}[{j}] = f.{side}[{j}], false)" for j in range(1, k + 1))
-            terms.append(f"CASE WHEN {same} THEN 1 ELSE 0 END")
-        return " + ".join(terms) or "0"
-
+    ahead = "".join(f", lead(w, {k}) OVER p AS w{k}" for k in range(1, min_lines - 1))
+    words = ["w", *[f"w{k}" for k in range(1, min_lines - 1)]][: min_lines - 1]
+    sizes = " ".join(f"WHEN {' + '.join(words[:k])} >= {min_words} THEN {k}" for k in range(1, min_lines))
+    size = f"CASE {sizes} ELSE {min_lines} END" if sizes else "1"
     return rf"""
     WITH raw AS (
       SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
@@ -162,19 +170,18 @@ def oracle(min_lines: int = 3, min_words: int = 25) -> str:
         row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i
       FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
     ), near AS (
-      SELECT doc_id, i, s, w, count(*) OVER (PARTITION BY doc_id) AS n, {ahead}{", " + behind if behind else ""}
-      FROM worded WINDOW p AS (PARTITION BY doc_id ORDER BY i)
-    ), sized AS (
-      SELECT *, CASE {sizes} ELSE {min_lines} END AS size FROM near
-    ), windows AS (
-      SELECT doc_id, i, size, {key} AS key, [{befores}] AS before, [{afters}] AS after FROM sized WHERE i + size <= n
+      SELECT doc_id, i, w{ahead} FROM worded WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+    ), whole AS (
+      SELECT doc_id, list(s ORDER BY i) AS ss FROM worded GROUP BY doc_id
+    ), runs AS (
+      SELECT n.doc_id, n.i, {size} + t AS size, ss
+      FROM near n JOIN whole USING (doc_id) CROSS JOIN (SELECT unnest(range({min_lines})) AS t)
     ), ordered AS (
-      SELECT *, row_number() OVER (PARTITION BY key, size ORDER BY doc_id, i) AS nth FROM windows
-    ), matched AS (
-      SELECT m.doc_id, m.i - ({agreeing("before")}) AS start, m.i + m.size - 1 + ({agreeing("after")}) AS stop
-      FROM ordered m JOIN ordered f ON m.key = f.key AND m.size = f.size AND f.nth = 1 WHERE m.nth > 1
+      SELECT doc_id, i, size,
+        row_number() OVER (PARTITION BY array_to_string(ss[i + 1 : i + size], chr(10)) ORDER BY doc_id, i) AS nth
+      FROM runs WHERE i + size <= len(ss)
     ), gone AS (
-      SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM matched
+      SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM ordered WHERE nth > 1
     ), marked AS (
       SELECT w.doc_id, w.pos, g.i IS NOT NULL AS gone FROM worded w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i
     ), counted AS (

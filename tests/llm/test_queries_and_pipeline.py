@@ -107,27 +107,18 @@ def test_pipeline_join_keeps_one_row_per_id_and_text(spark):
 
 
 def _plain_lines(rows, min_lines=3, min_words=25):
-    """Texts without later occurrences of repeated windows, by (id, text); None where no line is left."""
+    """Texts without lines in a run that an earlier place has, by (id, text); None where no line is left."""
     texts = sorted({r[:2] for r in rows if r[0] is not None and r[1] is not None})
     worded = {t: [(k, x.strip(" \t\x0b\x0c\r")) for k, x in enumerate(t[1].split("\n")) if x.split()] for t in texts}
-    first, gone = {}, defaultdict(set)
+    seen, gone = set(), defaultdict(set)
     for t in texts:
-        lines = [x for _, x in worded[t]]
-        for i in range(len(lines)):
-            size = next((n for n in range(1, min_lines + 1) if n == min_lines or sum(len(x.split()) for x in lines[i : i + n]) >= min_words))
-            if i + size > len(lines):
-                continue
-            key = tuple(lines[i : i + size])
-            if key not in first:
-                first[key] = (lines, i)
-                continue
-            other, j = first[key]
-            back, on = 0, 0
-            while back < min_lines - 1 and min(i, j) - back > 0 and lines[i - back - 1] == other[j - back - 1]:
-                back += 1
-            while on < min_lines - 1 and max(i + size + on - len(lines), j + size + on - len(other)) < 0 and lines[i + size + on] == other[j + size + on]:
-                on += 1
-            gone[t] |= {worded[t][k][0] for k in range(i - back, i + size + on)}
+        for i in range(len(worded[t])):
+            for j in range(i + 1, len(worded[t]) + 1):
+                run = tuple(x for _, x in worded[t][i:j])
+                if j - i >= min_lines or sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone[t] |= {k for k, _ in worded[t][i:j]}
+                    seen.add(run)
     left = {}
     for t in texts:
         whole = gone[t] and len(gone[t]) == len(worded[t])

@@ -168,6 +168,49 @@ def test_line_dedup_finds_runs_and_extends_them(spark):
     assert [r.n_removed for r in line_dedup.deduplicated(twice).collect()] == [0, 0]
 
 
+def _without_repeats(texts, min_lines, min_words):
+    """Lines left of each text, from every run of every length written out."""
+    lines = [[x.strip(" \t\x0b\x0c\r") for x in t.split("\n") if WORD.search(x)] for t in texts]
+    seen, gone = set(), [set() for _ in lines]
+    for of, own in enumerate(lines):
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                if b - a >= min_lines or sum(len(WORD.findall(x)) for x in own[a:b]) >= min_words:
+                    if tuple(own[a:b]) in seen:
+                        gone[of].update(range(a, b))
+                    seen.add(tuple(own[a:b]))
+    return [[x for k, x in enumerate(own) if k not in gone[of]] for of, own in enumerate(lines)]
+
+
+@pytest.mark.parametrize(("min_lines", "min_words"), [(3, 25), (3, 5), (2, 4), (1, 9), (4, 6)])
+def test_line_dedup_equals_all_runs_written_out(spark, min_lines, min_words):
+    rng = np.random.default_rng(min_lines + min_words)
+    kinds = ["a", "b b", "c c c", " ".join("d" * 5), " ".join("e" * 26), "f f", ""]
+    texts = ["\n".join(rng.choice(kinds, rng.integers(1, 9))) for _ in range(60)]
+    found = line_dedup.deduplicated(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), min_lines, min_words).collect()
+    expected = _without_repeats(texts, min_lines, min_words)
+    for r in found:
+        left = [x for x in r.text.split("\n") if x]
+        assert left == expected[r.doc_id] and r.n_lines - r.n_removed == len(left), (texts[r.doc_id], r.text)
+
+
+def test_line_dedup_longest_earlier_match_counts(spark):
+    long = " ".join(f"l{k}" for k in range(30))
+    rows = [(0, long, "s"), (1, f"{long}\nx\ny", "s"), (2, f"{long}\nx\ny\nown", "s")]
+    found = {r.doc_id: r.text for r in line_dedup.deduplicated(documents(spark, rows)).collect()}
+    assert found == {0: long, 1: "x\ny", 2: "own"}
+
+
+def test_line_dedup_of_long_texts(spark):
+    """Texts of 20,000 lines, of which one repeats 15,000 of the other's."""
+    first = [f"line {k} of the first" for k in range(20_000)]
+    second = [f"own {k}" for k in range(5_000)] + first[2_000:17_000]
+    rows = [(1, "\n".join(first), "s"), (2, "\n".join(second), "s"), (3, "\n".join(["same"] * 20_000), "s")]
+    found = {r.doc_id: r for r in line_dedup.deduplicated(documents(spark, rows)).collect()}
+    assert found[1].n_removed == 0 and found[2].n_removed == 15_000 and found[2].text == "\n".join(second[:5_000])
+    assert found[3].text == "same"
+
+
 def test_mixing_fills_to_the_caps(spark):
     rows = [(i, "w " * (1 + i % 7), "abcd"[min(i % 9, 3)]) for i in range(300)] + [(900, None, "e"), (901, "x y", None), (None, "z", "a")]
     found = mixing.mixed(documents(spark, rows)).collect()
