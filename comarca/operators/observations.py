@@ -68,6 +68,22 @@ def pivot_metrics(long: DataFrame, variables: Sequence[str], keys: Sequence[str]
     )
 
 
+def sparse_pivot(long: DataFrame, keys: Sequence[str] = ("cve_ent",)) -> DataFrame:
+    """A ``metrics`` map per key of whatever variables there are, in their order; of repeated pairs the last one stays.
+
+    What :func:`pivot_metrics` and :func:`pack_metrics` give for a list of variables, but without the list and with
+    a plan of the same size for any number of them. Pairs are combined before the second shuffle, so a key with a third
+    of all rows arrives as one row per variable. Null values, and rows without a variable, leave no entry; a key
+    that has no other rows keeps an empty map.
+    """
+    order = F.struct("secuencia", "valor") if "secuencia" in long.columns else F.struct("valor")
+    last = long.groupBy(*keys, "variable").agg(F.max(order).alias("_last"))
+    entry = F.struct("variable", F.col("_last.valor").alias("valor"))
+    known = F.when(F.col("variable").isNotNull() & F.col("_last.valor").isNotNull(), entry)
+    entries = last.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("_entries"))
+    return entries.select(*keys, F.map_from_entries("_entries").alias("metrics"))
+
+
 def pack_metrics(wide: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Fold one column per variable into a ``metrics`` map that holds no nulls."""
     pairs = ", ".join(f"{quoted(name)}, `{name}`" for name in variables)
@@ -82,10 +98,11 @@ def unpack_metrics(wide: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def wide_records(
-    long: DataFrame, master: DataFrame, variables: Sequence[str], anio: int | None = None
+    long: DataFrame, master: DataFrame, variables: Sequence[str] | None, anio: int | None = None
 ) -> DataFrame:
-    """One record per entity with its metrics map; ``anio`` only where the dataset has one year."""
-    metrics = pack_metrics(pivot_metrics(long, variables), variables)
+    """One record per entity with its metrics map; ``anio`` only where the dataset has one year. Where
+    ``variables`` is None the map holds all there are."""
+    metrics = sparse_pivot(long) if variables is None else pack_metrics(pivot_metrics(long, variables), variables)
     entities = master.select(*fixed.WIDE_ENTITY_COLUMNS)
     year = [F.lit(anio).cast("int").alias("anio")] if anio is not None else []
     return metrics.join(entities, "cve_ent", "inner").select(*fixed.WIDE_ENTITY_COLUMNS, *year, "metrics")

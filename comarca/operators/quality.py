@@ -6,9 +6,10 @@ the wide table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from comarca import fixed_values as fixed
@@ -16,15 +17,17 @@ from comarca.functions.numeric import round_half_even
 from comarca.functions.text import fill_in, is_blank
 
 
-def source_profile(rows: DataFrame, source_id: str, file_name: str, keys: Sequence[str]) -> DataFrame:
-    """Rows, columns and rows with a blank key of a raw table, in one pass over the key columns."""
+def _profile_measures(rows: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
     blank: Column = F.lit(False)
     for key in keys:
         blank = blank | (is_blank(F.col(key)) if key in rows.columns else F.lit(True))
+    return {"rows_read": F.count(F.lit(1)), "rows_with_missing_primary_keys": F.count_if(blank)}
+
+
+def source_profile(rows: DataFrame, source_id: str, file_name: str, keys: Sequence[str]) -> DataFrame:
+    """Rows, columns and rows with a blank key of a raw table, in one pass over the key columns."""
     names = F.array(*[F.lit(name) for name in rows.columns])
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows_read"), F.count_if(blank).alias("rows_with_missing_primary_keys")
-    ).select(
+    return rows.agg(*[c.alias(name) for name, c in _profile_measures(rows, keys).items()]).select(
         F.lit(source_id).alias("source_id"),
         F.lit(file_name).alias("file_name"),
         "rows_read",
@@ -33,6 +36,35 @@ def source_profile(rows: DataFrame, source_id: str, file_name: str, keys: Sequen
     )
 
 
+def value_measures(long: DataFrame) -> dict[str, Column]:
+    """What the checks of single values count: rows, rows without a value, percentages out of range."""
+    value = F.col("valor")
+    outside = (F.col("unidad") == "%") & ((value < 0) | (value > 100))
+    return {"records": F.count(F.lit(1)), "null_values": F.count_if(value.isNull()), "out_of_range": F.count_if(outside)}
+
+
+def write_measured(rows: DataFrame, measures: Mapping[str, Column], write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Writes ``rows`` by ``write`` and returns what the job that wrote them counted on the way, without another read.
+
+    ``write`` must run one action over all rows of the table that it is given (a sort before it may take a sample,
+    which is a job of its own). Counts of an empty table are 0.
+    """
+    observation = Observation(f"measured-{uuid.uuid4().hex}")
+    write(rows.observe(observation, *[c.alias(name) for name, c in measures.items()]))
+    found = observation.get
+    return {name: int(found.get(name) or 0) for name in measures}
+
+
+def write_profiled(
+    rows: DataFrame, source_id: str, file_name: str, keys: Sequence[str], write: Callable[[DataFrame], None]
+) -> DataFrame:
+    """Writes a raw table and returns its :func:`source_profile`, counted by the same job."""
+    found = write_measured(rows, _profile_measures(rows, keys), write)
+    profile = (source_id, file_name, found["rows_read"], list(rows.columns), found["rows_with_missing_primary_keys"])
+    schema = "source_id string, file_name string, rows_read bigint, columns array<string>, rows_with_missing_primary_keys bigint"
+    return rows.sparkSession.createDataFrame([profile], schema)
+
+
 def source_breakdown(long: DataFrame) -> DataFrame:
     """Long rows per source."""
     return long.groupBy(F.col("fuente").alias("source")).agg(F.count(F.lit(1)).alias("records"))

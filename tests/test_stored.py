@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from comarca.operators import catalog as cat
 from comarca.operators import coverage as cov
 from comarca.operators import estimators as est
+from comarca.operators import observations, quality
 from comarca.operators.running_totals import RunningTotals
 from comarca.sinks import catalog_log, layouts, versions
 from comarca.specs import Share, locality_shares
@@ -181,3 +182,37 @@ def test_curve_keys_interleave_bits(spark):
     places = [(0.0, 0.0), (-180.0, -90.0), (180.0, 90.0), (-102.0, 23.5), (11.25, 45.0), (999.0, -999.0)]
     df = spark.createDataFrame(places, "x double, y double")
     assert [r[0] for r in df.select(layouts.curve_key(F.col("x"), F.col("y"))).collect()] == [plain(*p) for p in places]
+
+
+def test_sparse_pivot_equals_the_listed_one(spark):
+    draw = random.Random(5)
+    rows = [(f"e{draw.randrange(4)}", f"v{draw.randrange(6)}", k // 2, draw.choice([None, 1.0, 2.5, -3.0])) for k in range(200)]
+    rows += [("alone", "v1", 900, None), ("alone", None, 901, 4.0)]
+    long = spark.createDataFrame(rows, "cve_ent string, variable string, secuencia bigint, valor double")
+    names = [f"v{k}" for k in range(6)]
+    listed = observations.pack_metrics(observations.pivot_metrics(long, names), names)
+    expected = {r.cve_ent: r.metrics for r in listed.collect()}
+    assert {r.cve_ent: r.metrics for r in observations.sparse_pivot(long).collect()} == expected and expected["alone"] == {}
+    assert observations.sparse_pivot(long.limit(0)).count() == 0
+    plain = observations.sparse_pivot(long.drop("secuencia")).first().metrics
+    assert list(plain) == sorted(plain)
+
+
+def test_sparse_pivot_of_thousands_of_variables_keeps_its_plan(spark):
+    def pivot(n):
+        return observations.sparse_pivot(spark.range(n).selectExpr("'e' as cve_ent", "concat('v', id) as variable", "cast(id as double) as valor"))
+
+    few, many = (pivot(n) for n in (10, 5000))
+    lengths = [len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()) for df in (few, many)]
+    assert lengths[0] == lengths[1] and len(many.first().metrics) == 5000
+
+
+def test_profile_counted_while_writing_equals_the_one_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, " "), (None, "b"), (4, None)], "k bigint, name string").repartition(3)
+    for n, df in enumerate((rows, rows.limit(0))):
+        path = f"{tmp_path}/{n}"
+        found = quality.write_profiled(df, "s", "s.csv", ("k", "name"), lambda x: x.write.parquet(path))
+        assert found.collect() == quality.source_profile(spark.read.parquet(path), "s", "s.csv", ("k", "name")).collect()
+    long = spark.createDataFrame([("%", 101.0), ("%", 100.0), ("km", 900.0), ("%", None)], "unidad string, valor double")
+    found = quality.write_measured(long, quality.value_measures(long), lambda x: x.write.json(f"{tmp_path}/long"))
+    assert found == {"records": 4, "null_values": 1, "out_of_range": 1}

@@ -577,6 +577,16 @@ SQL["raw_profile"] = " UNION ALL ".join(
     count(*) FILTER ({' OR '.join(f"trim(coalesce(CAST({k} AS VARCHAR), '')) = ''" for k in _KEYS[name])}) AS rows_with_missing_primary_keys FROM {name}"""
     for name in _COLUMNS
 )
+SQL["written_profile"] = f"SELECT * FROM ({SQL['raw_profile']}) WHERE source_id IN ('orders', 'events')"
+SQL["written_checks"] = f"""WITH {LONG} SELECT 'records' AS measure, count(*) AS n FROM long
+UNION ALL SELECT 'null_values', count(*) FILTER (valor IS NULL) FROM long
+UNION ALL SELECT 'out_of_range', count(*) FILTER (unidad = '%' AND (valor < 0 OR valor > 100)) FROM long"""
+SQL["open_wide"] = """
+WITH ranked AS (
+  SELECT l_suppkey, 'part_' || l_partkey AS variable, CAST(floor(l_quantity) AS BIGINT) AS valor,
+    row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS nth FROM lineitem)
+SELECT CAST(l_suppkey AS VARCHAR) AS cve_ent, count(*) AS n_metrics, string_agg(variable || '=' || valor, ' ' ORDER BY variable) AS metrics
+FROM ranked WHERE nth = 1 GROUP BY l_suppkey"""
 SQL["report_lines"] = f"""WITH {WIDE}, {_CATALOG}, {_PROFILE}, {_FACTS}, checks AS ({_checks()})
 SELECT 'summary' AS section, 'raw_files_profiled' AS key, '4' AS value UNION ALL SELECT 'summary', 'records_long', CAST(records AS VARCHAR) FROM f
 UNION ALL SELECT 'summary', 'states_wide', CAST(entities AS VARCHAR) FROM f UNION ALL SELECT 'summary', 'metrics_in_catalog', CAST(metrics AS VARCHAR) FROM f

@@ -141,6 +141,20 @@ def survey_wide(spark: SparkSession, sf: str) -> DataFrame:
     return observations.unpack_metrics(wide, t.metrics().variables)
 
 
+@query
+def open_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A metrics map per supplier with a variable for each part, as text; the latest order's quantity stays."""
+    long = t.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("cve_ent"),
+        F.concat(F.lit("part_"), F.col("l_partkey")).alias("variable"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("secuencia"),
+        F.col("l_quantity").alias("valor"),
+    )
+    wide = observations.sparse_pivot(long)
+    entries = F.transform(F.map_entries("metrics"), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"])))
+    return wide.select("cve_ent", F.size("metrics").cast("long").alias("n_metrics"), F.array_join(entries, " ").alias("metrics"))
+
+
 @query
 def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
     """Back from the metrics map to entity, variable and value."""
@@ -720,6 +734,26 @@ def raw_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _union(profiles).withColumn("columns", F.array_join("columns", ","))
 
 
+@query
+def written_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, columns and blank keys of two raw tables, counted by the jobs that store them."""
+
+    def stored(name: str, keys: tuple[str, ...]) -> DataFrame:
+        folder = t.scratch(spark, name)
+        return quality.write_profiled(t.table(spark, sf, name), name, f"{name}.parquet", keys, lambda rows: rows.write.parquet(folder))
+
+    profiles = [stored("orders", ("o_orderkey",)), stored("events", ("event_id", "props"))]
+    return _union(profiles).withColumn("columns", F.array_join("columns", ","))
+
+
+@query
+def written_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of single values of the long table, counted by the job that stores it."""
+    long, folder = t.survey_long(spark, sf), t.scratch(spark, "long")
+    found = quality.write_measured(long, quality.value_measures(long), lambda rows: rows.write.parquet(folder))
+    return spark.createDataFrame(list(found.items()), "measure string, n bigint")
+
+
 @query
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The report in long form."""
