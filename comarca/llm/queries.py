@@ -67,7 +67,7 @@ def op5_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
     from comarca.llm.permutation_index import neighbours
 
     vectors = table(spark, folder, "embeddings")
-    return neighbours(vectors, vectors.filter("vec_id % 20 = 0"), nearest=20)
+    return neighbours(vectors, F.col("vec_id") % 20 == 0, nearest=20)
 
 
 def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,6 +54,45 @@ def test_index_edges(spark):
     assert permutation_index.neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_index_with_small_blocks(spark):
+    """Several lengths, repeated ids, ids as text, many blocks, a cluster with a third of all rows: exact with all lists read."""
+    rng = np.random.default_rng(3)
+    rows = [(f"a{k}", rng.normal(size=5 if k % 4 else 3).tolist()) for k in range(1500)]
+    rows += [(f"b{k}", [1.0, 0.0, 0.0, 0.0, 1e-9 * (k % 7)]) for k in range(700)] + [("a1", [9.0, 0.0, 0.0, 0.0, 0.0]), ("b1", [1.0, 0.0, 0.0, 0.0, 1e-9])]
+    vectors = spark.createDataFrame(rows, "name string, v array<double>").withColumns({"dim": F.lit(1), "at": F.lit("x"), "asked": F.lit(0)})
+    chosen = {"a1", "a4", "a8", "b3", "b699"}
+    wanted, rows = {}, sorted({(i, tuple(v)) for i, v in rows})
+    for own in rows:
+        if own[0] in chosen:
+            scored = [(-sum(a * b for a, b in zip(own[1], v, strict=True)), i) for i, v in rows if (i, v) != own and len(v) == len(own[1])]
+            wanted.setdefault(own[0], []).extend((k + 1, i, pytest.approx(-s)) for k, (s, i) in enumerate(sorted(scored)[:4]))
+    keys = {"key": "name", "vector": "v", "nearest": 4, "block_values": 5}
+    for queries_ in (F.col("name").isin(*chosen), vectors.filter(F.col("name").isin(*chosen))):
+        found = permutation_index.neighbours(vectors, queries_, read=256, examined=1.0, **keys).collect()
+        got = {}
+        for r in found:
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v, key=lambda x: x[:2]) for k, v in wanted.items()}
+
+
+def test_index_reads_less_than_all(spark):
+    """Posting lists hold all rows under their nearest pivots; a query looks at rows in its own lists only."""
+    rng = np.random.default_rng(4)
+    vectors, points = rng.normal(size=(4000, 64)), rng.normal(size=(256, 64))
+    order = np.argsort(-(vectors @ points.T), axis=1, kind="stable")
+    rows, starts = permutation_index._lists(order, 256, 16)
+    for pivot in (0, 100, 255):
+        assert rows[starts[pivot] : starts[pivot + 1]].tolist() == np.flatnonzero((order[:, :16] == pivot).any(axis=1)).tolist()
+    block = permutation_index.Block(np.arange(4000), vectors, np.ascontiguousarray(permutation_index._places(order).T), rows, starts)
+    for k in range(5):
+        found = block.candidates(order[k], 16, 21)
+        assert found.tolist() == np.flatnonzero(np.isin(order[:, :16], order[k, :16]).any(axis=1)).tolist() and len(found) < 3000
+        near = block.ranked(found, order[k, :64], 1000)
+        places = np.argsort(order, axis=1)
+        footrule = np.abs(places[:, order[k, :64]] - np.arange(64)).sum(axis=1)
+        assert 1000 <= len(near) < 1100 and set(near) == {r for r in found if footrule[r] <= sorted(footrule[found])[999]}
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     names = docs.columns
