@@ -13,6 +13,8 @@ from comarca.functions.numeric import technology
 from comarca.operators.spatial import intersects_box, within_join
 
 TECHNOLOGIES = [name for name, _ in fixed.TECHNOLOGY_LIMITS_MBPS] + [fixed.TECHNOLOGY_ABOVE]
+#: Points of a ring, the closing one included, up to which its centroid is written out.
+SMALL_RING = 5
 BOX_COLUMNS = ("x_min", "y_min", "x_max", "y_max")
 
 
@@ -26,10 +28,35 @@ def tiles_in_box(
 
 
 def with_centroid(tiles: DataFrame, geometry: str = "geometria", x: str = "x", y: str = "y") -> DataFrame:
-    """Add the centroid as two columns, by one formula for all shapes."""
+    """Add the centroid as two columns.
+
+    Tiles are one ring of a few corners: for those the sums of `geometry.centroid` are written out, in steps that
+    compile (a lambda doesn't). Corners that a ring lacks are taken as its first, which adds edges of no length. Other
+    shapes, and those without area, take the general formula."""
+    shape, own = F.col(geometry), [F.col(f"`{name}`") for name in tiles.columns]
+    ring = F.get(F.get(shape, F.lit(0)), F.lit(0))
+    small = (F.size(shape) == 1) & (F.size(F.get(shape, F.lit(0))) == 1) & F.size(ring).between(1, SMALL_RING)
+    rows = tiles.select(*own, small.alias("_small"), ring.alias("_ring"))
+    first = F.get("_ring", F.lit(0))
+    corners = [F.coalesce(F.get("_ring", F.lit(k)), first) for k in range(1, SMALL_RING)]
+    relative = [(p[axis] - first[axis]).alias(f"_{axis}{k}") for k, p in enumerate(corners, 1) for axis in "xy"]
+    rows = rows.select(*own, "_small", first.alias("_first"), *relative)
+    rows = rows.select(*own, "_small", "_first", *[F.expr(sql).alias(name) for name, sql in _corner_sums(SMALL_RING).items()])
+    by_area = F.struct(*[(F.col("_first")[axis] + F.col(f"_m{axis}") / (F.col("_a") * 3.0)).alias(axis) for axis in "xy"])
+    rows = rows.select(*own, F.when(F.col("_small") & (F.col("_a") != 0.0), by_area).otherwise(geo.centroid(shape)).alias("_centre"))
     # The generator keeps the optimizer from copying these expressions into later conditions.
-    centre = F.inline(F.array(geo.centroid(F.col(geometry)))).alias(x, y)
-    return tiles.select(*tiles.columns, centre)
+    return rows.select(*own, F.inline(F.array("_centre")).alias(x, y))
+
+
+def _corner_sums(corners: int) -> dict[str, str]:
+    """SQL of the doubled area and its moments from corners relative to the first, which is 0, 0. Its own edges turn by 0."""
+    edges = [(f"_x{k}", f"_y{k}", f"_x{k + 1}", f"_y{k + 1}") for k in range(1, corners - 1)]
+    turns = [(f"({x1} * {y2} - {x2} * {y1})", x1, y1, x2, y2) for x1, y1, x2, y2 in edges]
+    return {
+        "_a": " + ".join(turn for turn, *_ in turns),
+        "_mx": " + ".join(f"({x1} + {x2}) * {turn}" for turn, x1, _, x2, _ in turns),
+        "_my": " + ".join(f"({y1} + {y2}) * {turn}" for turn, _, y1, _, y2 in turns),
+    }
 
 
 def located_tiles(
