@@ -34,8 +34,8 @@ def write_long_csv(long: DataFrame, path: str) -> None:
     long.select(*fixed.LONG_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def document_lines(records: DataFrame, head: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """Lines of one enveloped JSON document, with the keys that put them in order.
+def document_lines(records: DataFrame, head: DataFrame, catalog: DataFrame | None = None, name: str = "records") -> DataFrame:
+    """Lines of one enveloped JSON document with the array ``name``, and the keys that put them in order.
 
     Each record is a line of its own, so nothing is gathered into one row: sorted part files
     put one after the other are the document. The metric catalog of a wide document travels
@@ -44,14 +44,14 @@ def document_lines(records: DataFrame, head: DataFrame, catalog: DataFrame | Non
     start = F.to_json(F.struct(*head.columns))
     opening = F.expr("substring(_start, 1, length(_start) - 1)")
     if catalog is None:
-        top = head.select(start.alias("_start")).select(F.concat(opening, F.lit(',"records":[')).alias("value"))
+        top = head.select(start.alias("_start")).select(F.concat(opening, F.lit(f',"{name}":[')).alias("value"))
     else:
-        fields = [name for name in catalog.columns if name != "posicion"]
+        fields = [field for field in catalog.columns if field != "posicion"]
         listed = catalog.agg(
             F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("posicion", F.struct(*fields).alias("m")))), lambda i: i["m"]))
         ).scalar()
         top = head.select(start.alias("_start"), listed.alias("_catalog")).select(
-            F.concat(opening, F.lit(',"metric_catalog":'), F.col("_catalog"), F.lit(',"records":[')).alias("value")
+            F.concat(opening, F.lit(',"metric_catalog":'), F.col("_catalog"), F.lit(f',"{name}":[')).alias("value")
         )
     first = records.agg(F.min("cve_ent").alias("k")).scalar()
     comma = F.when(F.col("cve_ent") == first, F.lit("")).otherwise(F.lit(","))
@@ -74,10 +74,8 @@ def write_wide_document(
     the other; ``single_file`` streams the lines through one writer instead, for datasets of
     few entities.
     """
-    lines = document_lines(wide, head, catalog)
     parts = 1 if single_file else int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartitionByRange(parts, "_section", "_key").sortWithinPartitions("_section", "_key")
-    ordered = ordered.select("value").persist()
+    ordered = _in_order(document_lines(wide, head, catalog), parts).persist()
     try:
         for path in paths:
             ordered.write.mode("overwrite").text(path)
@@ -85,6 +83,15 @@ def write_wide_document(
         ordered.unpersist()
 
 
+def _in_order(lines: DataFrame, parts: int) -> DataFrame:
+    return lines.repartitionByRange(parts, "_section", "_key").sortWithinPartitions("_section", "_key").select("value")
+
+
+def write_entity_master(master: DataFrame, head: DataFrame, path: str) -> None:
+    """The entity master as the one document that `documents.read_entity_master` reads: a line per entity, unique codes."""
+    _in_order(document_lines(master, head, name="states"), 1).write.mode("overwrite").text(path)
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """One folder of JSON lines per section of the quality report."""
     for section, table in tables.items():

@@ -659,3 +659,13 @@ FROM (SELECT p_partkey, p_partkey % 2 AS turn, 'cat_5' || lower(p_type) AS categ
              replace(p_name, ' ', '_') || '_' || lower(p_type) || CASE WHEN p_type = 'PROMO' THEN '_pct' ELSE '' END AS variable,
              CASE p_type WHEN 'SMALL' THEN ' % ' WHEN 'LARGE' THEN 'USD millones' ELSE 'piezas' END AS unidad FROM part)
 GROUP BY 1"""
+
+SQL["marked_microdata"] = """
+SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS "ENT", 'Año "1", ' || c_name AS "NOMBRE", CAST(c_custkey AS VARCHAR) AS "FOLIO" FROM customer"""
+SQL["latin1_localities"] = """
+SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS "CVEGEO", 'Peñón Güémez, ' || c_name AS "NOM_LOC", CAST(c_nationkey AS VARCHAR) AS "ANIO" FROM customer"""
+SQL["enveloped_master"] = """
+SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS state_code, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS cve_ent, n_name AS estado,
+       r_name AS region, '' AS capital, unnest(['Nación ' || n_nationkey, 'N.' || n_nationkey]) AS alias
+FROM nation JOIN region ON n_regionkey = r_regionkey"""
+SQL["coverage_frames"] = SQL["tile_coverage_state"]

@@ -27,7 +27,7 @@ from comarca.plans import context, network, survey
 from comarca.plans.dashboard import Dashboard
 from comarca.sinks import catalog_log, layouts, publish, versions
 from comarca.sources import cells, shapes, tables
-from comarca.sources.documents import WIDE_FIELDS, category_label, read_long
+from comarca.sources.documents import WIDE_FIELDS, category_label, read_entity_master, read_long
 from comarca.specs import Share
 from workload import tables as t
 
@@ -891,3 +891,49 @@ def catalog_log_variables(spark: SparkSession, sf: str) -> DataFrame:
     catalog_log.append_catalog(spark, folder, second, "2026-04-20")
     _, variables, updated_at = catalog_log.read_catalog_log(spark, folder)
     return variables.select("variable_id", "categoria_id", "unidad_base", F.lit(updated_at).alias("updated_at"))
+
+
+@query
+def marked_microdata(spark: SparkSession, sf: str) -> DataFrame:
+    """Persons from UTF-8 files that each begin with a byte order mark: some columns, codes with their zeros."""
+    path, customer = t.scratch(spark, "persons"), t.table(spark, sf, "customer")
+    persons = customer.select(
+        F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("\ufeffENT"), F.concat(F.lit('Año "1", '), "c_name").alias("NOMBRE"),
+        F.col("c_mktsegment").alias("SECTOR"), F.col("c_custkey").alias("FOLIO"),
+    )
+    persons.write.option("header", True).options(**tables.QUOTES).csv(path)
+    return tables.read_microdata(spark, path, ["ENT", "NOMBRE", "FOLIO", "FALTA"])
+
+
+@query
+def latin1_localities(spark: SparkSession, sf: str) -> DataFrame:
+    """Localities from files in Latin-1."""
+    path, customer = t.scratch(spark, "latin1"), t.table(spark, sf, "customer")
+    places = customer.select(
+        F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("CVEGEO"), F.concat(F.lit("Peñón Güémez, "), "c_name").alias("NOM_LOC"),
+        F.col("c_nationkey").alias("AÑO"),
+    )
+    places.write.option("header", True).option("encoding", tables.LATIN1).options(**tables.QUOTES).csv(path)
+    return tables.read_latin1(spark, path).withColumnRenamed("AÑO", "ANIO")
+
+
+@query
+def enveloped_master(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity master written as one enveloped document and read back, aliases one a row."""
+    path, master = t.scratch(spark, "master"), t.master(spark, sf)
+    head = spark.createDataFrame([("2026-04-19", "MX")], "updated_at string, country string")
+    publish.write_entity_master(master, head, path)
+    return read_entity_master(spark, path).select("state_code", "cve_ent", "estado", "region", "capital", F.explode("aliases").alias("alias"))
+
+
+@query
+def coverage_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """States of the published frames, where rolling up the published municipalities gives the same."""
+    path, stored = t.scratch(spark, "frames"), t.scratch(spark, "municipalities")
+    classified = network.classified_tiles(t.tiles(spark, sf), t.territories(spark, sf), t.STRIP_BOX)
+    cov.by_municipality(classified).write.parquet(stored)
+    municipalities = spark.read.parquet(stored)
+    states = cov.by_state(municipalities)
+    publish.write_coverage(municipalities, states, path)
+    read = {name: spark.read.schema(df.schema).json(f"{path}/{name}") for name, df in (("municipios", municipalities), ("estados", states))}
+    return _rounded(read["estados"], 9).intersectAll(_rounded(cov.by_state(read["municipios"]), 9))
