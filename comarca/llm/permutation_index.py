@@ -124,7 +124,7 @@ class Block:
         """The `most` rows nearest by footrule over the pivots `near`, and all others as near as the last."""
         if len(rows) <= most:
             return rows
-        distance = np.zeros(len(rows), np.int32)
+        distance = np.zeros(len(rows), np.int16 if len(near) <= 128 else np.int32)
         for place, pivot in enumerate(near):
             distance += np.abs(self.places[pivot, rows].astype(np.int16) - np.int16(place))
         return rows[distance <= np.partition(distance, most - 1)[most - 1]]
@@ -133,7 +133,7 @@ class Block:
         """The best of `rows` by inner product, without the query's own; their places and scores."""
         same = np.arange(np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right"))
         same = same[(self.vectors[same] == vector).all(axis=1)]
-        rows = rows[~np.isin(rows, same)]
+        rows = rows[~np.isin(rows, same)] if len(same) else rows
         scores = self.vectors[rows] @ vector
         if len(scores) > nearest:
             floor = np.partition(scores, -nearest)[-nearest]
@@ -184,7 +184,7 @@ def neighbours(
     pivots: int = 256,
     posted: int = 16,
     read: int = 16,
-    footrule: int = 64,
+    footrule: int = 32,
     examined: float = 0.25,
     block_values: int = 1 << 19,
 ) -> DataFrame:
