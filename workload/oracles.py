@@ -587,7 +587,7 @@ WITH ranked AS (
     row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS nth FROM lineitem)
 SELECT CAST(l_suppkey AS VARCHAR) AS cve_ent, count(*) AS n_metrics, string_agg(variable || '=' || valor, ' ' ORDER BY variable) AS metrics
 FROM ranked WHERE nth = 1 GROUP BY l_suppkey"""
-SQL["report_lines"] = f"""WITH {WIDE}, {_CATALOG}, {_PROFILE}, {_FACTS}, checks AS ({_checks()})
+SQL["report_lines"] = f"""WITH {WIDE}, {_CATALOG}, {_PROFILE}, {_FACTS}, checks AS ({_checks()}), raw AS ({SQL['raw_profile']})
 SELECT 'summary' AS section, 'raw_files_profiled' AS key, '4' AS value UNION ALL SELECT 'summary', 'records_long', CAST(records AS VARCHAR) FROM f
 UNION ALL SELECT 'summary', 'states_wide', CAST(entities AS VARCHAR) FROM f UNION ALL SELECT 'summary', 'metrics_in_catalog', CAST(metrics AS VARCHAR) FROM f
 UNION ALL SELECT 'source_breakdown', fuente, CAST(count(*) AS VARCHAR) FROM long GROUP BY fuente
@@ -597,6 +597,10 @@ UNION ALL SELECT 'metrics_profile', metric_id, CAST("count" AS VARCHAR) FROM pro
     f"""
 UNION ALL SELECT 'metrics_profile', metric_id || '.{name}', CAST(CAST("{name}" AS DECIMAL(38,2)) AS VARCHAR) FROM profile"""
     for name in ("min", "max", "mean", "std_dev")
+) + "".join(
+    f"""
+UNION ALL SELECT 'raw_files', source_id || '.{name}', CAST({name} AS VARCHAR) FROM raw"""
+    for name in ("file_name", "columns", "rows_read", "rows_with_missing_primary_keys")
 )
 SQL["published_records"] = f"""WITH {WIDE}
 SELECT l.cve_ent, m.estado, m.region, l.variable, l.valor FROM last_values l JOIN wide m USING (cve_ent)"""

@@ -726,12 +726,16 @@ def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def raw_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Rows, columns and blank keys of four raw tables."""
+    return _raw_profiles(spark, sf).withColumn("columns", F.array_join("columns", ","))
+
+
+def _raw_profiles(spark: SparkSession, sf: str) -> DataFrame:
     sources = [
         ("lineitem", ("l_orderkey", "l_quantity")), ("orders", ("o_orderkey",)), ("events", ("event_id", "props")),
         ("documents", ("doc_id", "lang")),
     ]
     profiles = [quality.source_profile(t.table(spark, sf, name), name, f"{name}.parquet", keys) for name, keys in sources]
-    return _union(profiles).withColumn("columns", F.array_join("columns", ","))
+    return _union(profiles)
 
 
 @query
@@ -756,12 +760,12 @@ def written_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The report in long form."""
+    """The report in long form, raw tables included."""
     long, wide, catalog = _stored_forms(spark, sf)
     facts = quality.validation_facts(long, wide, catalog)
     return quality.report_lines(
         quality.summary_of(facts, 4), quality.source_breakdown(long),
-        quality.checks_of(facts, 25), quality.metric_profile(wide, catalog),
+        quality.checks_of(facts, 25), quality.metric_profile(wide, catalog), _raw_profiles(spark, sf),
     )
 
 
