@@ -44,6 +44,8 @@ CONFIDENT = 7
 SLOTS = 18
 _BLOCK, _GROUP = struct.Struct("<4sIIIIII"), struct.Struct("<4sIIQQI")
 END = b"CME1"
+#: What a hit (the upper 8) or a miss (the lower 8) adds to a confidence; a miss at 0 or 1 puts another id there.
+_SURER = np.array([0, 0, *((k >> 1) - k for k in range(2, 8)), *[1] * 7, 0], np.int32)
 _ONE, _WORD, _LOW = np.uint64(1), np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -57,12 +59,14 @@ class _Mixer:
     def __init__(self, vocabulary: int) -> None:
         self.vocabulary = vocabulary
         # Predicted id and confidence of a context in one number.
-        self.first = np.zeros(vocabulary, np.int64)
-        self.second = np.zeros(1 << SLOTS, np.int64)
+        self.first = np.zeros(vocabulary, np.int32)
+        self.second = np.zeros(1 << SLOTS, np.int32)
         self.seen = np.ones(vocabulary, np.int64)
+        self.every = np.arange(vocabulary + 1, dtype=np.uint64)
         contexts = (CONFIDENT + 1) ** 2 * 2
-        self.right = np.tile(np.array([2, 2, 4], np.int64), (contexts, 1))
-        self.right[1::2, 1] = 0  # both predict the same id
+        # How often order 2, else order 1, or neither was right, a row each.
+        self.right = np.repeat(np.array([[2], [2], [4]], np.int64), contexts, axis=1)
+        self.right[1, 1::2] = 0  # both predict the same id
         self.step = 0
         self.fresh: list[np.ndarray] = []
 
@@ -72,11 +76,13 @@ class _Mixer:
         if self.fresh:
             self.seen += np.bincount(np.concatenate(self.fresh), minlength=self.vocabulary) * 32
             self.fresh = []
-        upto = np.append(0, np.cumsum(self.seen))
-        room = (1 << COARSE) - self.vocabulary
-        # Narrow for searching, wide for multiplying.
-        self.search = (upto * room // upto[-1] + np.arange(self.vocabulary + 1)).astype(np.uint32)
-        self.cumulative = self.search.astype(np.uint64)
+        upto = np.zeros(self.vocabulary + 1, np.uint64)
+        np.cumsum(self.seen, out=upto[1:].view(np.int64))
+        total = upto[-1]
+        upto *= np.uint64((1 << COARSE) - self.vocabulary)
+        upto //= total
+        upto += self.every
+        self.cumulative = upto.astype(np.uint32)  # narrow: it is looked up at random
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> None:
         """Ids predicted by order 2 and 1 and the bounds of their intervals."""
@@ -85,22 +91,22 @@ class _Mixer:
             self._renew()
         self.last = last
         self.slot = ((before * 40503 + last) * 2654435761 >> 10) & ((1 << SLOTS) - 1)
-        one, two = self.first[last], self.second[self.slot]
+        self.one, self.two = one, two = self.first.take(last), self.second.take(self.slot)
         self.id1, self.id2 = one >> 3, two >> 3
         self.sure1, self.sure2 = one & 7, two & 7
-        self.context = ((self.sure2 << 3 | self.sure1) << 1) | (self.id1 == self.id2)
+        self.context = ((self.sure2 << 3 | self.sure1) << 1 | (self.id1 == self.id2)).astype(np.int64)
         share = (1 << TOTAL) - (1 << COARSE)  # what is left to order 0 at least
-        upto = np.cumsum(self.right, axis=1)
-        bounds = (upto[:, :2] * share // upto[:, 2:]).astype(np.uint64)
-        self.to2, self.to1 = bounds[:, 0].take(self.context), bounds[:, 1].take(self.context)
+        upto = np.cumsum(self.right, axis=0)
+        bounds = (upto[:2] * share // upto[2]).astype(np.uint64)
+        self.to2, self.to1 = bounds[0].take(self.context), bounds[1].take(self.context)
 
     def interval(self, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of order 2's id where `second` holds, elsewhere of order 1's."""
-        return np.where(second, np.uint64(0), self.to2), np.where(second, self.to2, self.to1)
+        return self.to2 * ~second, np.where(second, self.to2, self.to1)
 
     def rest(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of ids that neither predicts, in the lanes `at`."""
-        over = self.to1[at]
+        over = self.to1.take(at)
         left = np.uint64(1 << TOTAL) - over
         begin, end = (left * self.cumulative.take(x) >> np.uint64(COARSE) for x in (ids, ids + 1))
         return over + begin, over + end
@@ -108,18 +114,17 @@ class _Mixer:
     def learn(self, ids: np.ndarray) -> None:
         self.step += 1
         hit2, hit1 = self.id2 == ids, self.id1 == ids
-        outcome = 2 - hit1
-        outcome[hit2] = 0
-        self.right += np.bincount(self.context * 3 + outcome, minlength=self.right.size).reshape(-1, 3)
-        high = self.right.sum(axis=1) > 1 << 20
-        self.right[high] = (self.right[high] + 1) >> 1
+        outcome = (2 - hit1.view(np.int8)) * ~hit2
+        self.right += np.bincount(outcome * np.int16(self.right.shape[1]) + self.context, minlength=self.right.size).reshape(3, -1)
+        high = self.right.sum(axis=0) > 1 << 20
+        if high.any():
+            self.right[:, high] = (self.right[:, high] + 1) >> 1
+        anew = (ids << 3 | 1).astype(np.int32)
         for table, at, had, sure, hit in (
-            (self.second, self.slot, self.id2, self.sure2, hit2),
-            (self.first, self.last, self.id1, self.sure1, hit1),
+            (self.second, self.slot, self.two, self.sure2, hit2),
+            (self.first, self.last, self.one, self.sure1, hit1),
         ):
-            kept = hit | (sure > 1)
-            sure = np.where(hit, np.minimum(sure + 1, CONFIDENT), np.where(kept, sure >> 1, 1))
-            table[at] = np.where(kept, had, ids) << 3 | sure
+            table[at] = np.where(hit | (sure > 1), had + _SURER.take(hit.view(np.int8) << 3 | sure), anew)
         self.fresh.append(ids)
 
 
@@ -136,28 +141,29 @@ def encode_block(ids: np.ndarray) -> bytes:
     if n > BLOCK_IDS or vocabulary > 1 << 21:
         raise ValueError("too many ids for a block" if n > BLOCK_IDS else "ids beyond 21 bits")
     lanes, short = _lanes(n)
-    flat = np.zeros(lanes * STEPS, np.int64)
+    flat = np.zeros(lanes * STEPS, "<u4")
     flat[:n] = ids
     table = np.ascontiguousarray(flat.reshape(lanes, STEPS).T)
     model = _Mixer(vocabulary)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    words, count = np.zeros((lanes, STEPS + 2), np.uint32), np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
-    nothing = np.zeros(lanes, np.int64)
+    # Words of all lanes, one lane behind the other, and where the next word of each goes.
+    words = np.zeros(lanes * (STEPS + 2), np.uint32)
+    begins = np.arange(lanes) * (STEPS + 2)
+    place = begins.copy()
+    last = before = np.zeros(lanes, np.int64)
 
     def carry(at: np.ndarray) -> None:
-        place = count[at] - 1
+        at = place[at] - 1
         while len(at):
-            words[at, place] += np.uint32(1)
-            over = words[at, place] == 0
-            at, place = at[over], place[over] - 1
+            words[at] += np.uint32(1)
+            at = at[words[at] == 0] - 1
 
     for t in range(STEPS if n else 0):
         use = lanes if t < short else lanes - 1
         if not use:
             break
-        now = table[t, :use]
-        model.predict(table[t - 1, :use] if t else nothing[:use], table[t - 2, :use] if t > 1 else nothing[:use])
+        now = table[t, :use].astype(np.int64)
+        model.predict(last[:use], before[:use])
         hit2 = model.id2 == now
         begin, end = model.interval(hit2)
         new = np.flatnonzero(~(hit2 | (model.id1 == now)))
@@ -169,17 +175,19 @@ def encode_block(ids: np.ndarray) -> bytes:
             carry(over)
         low[:use], width[:use] = moved, unit * (end - begin)
         out = np.flatnonzero(width[:use] <= _LOW)
-        words[out, count[out]] = (low[out] >> _WORD).astype(np.uint32)
-        count[out] += 1
-        low[out] <<= _WORD
+        due = low.take(out)
+        words[place.take(out)] = due >> _WORD
+        place[out] += 1
+        low[out] = due << _WORD
         width[out] <<= _WORD
         model.learn(now)
+        last, before = now, last
     # The last word: the smallest number from `low` on whose lower word is 0.
     final = (low + _LOW) & ~_LOW
     carry(np.flatnonzero(final < low))
-    words[every, count] = (final >> _WORD).astype(np.uint32)
-    count += 1
-    rest = count.astype("<u2").tobytes() + words[np.arange(STEPS + 2) < count[:, None]].astype("<u4").tobytes()
+    words[place] = final >> _WORD
+    count = place + 1 - begins
+    rest = count.astype("<u2").tobytes() + words.reshape(lanes, STEPS + 2)[np.arange(STEPS + 2) < count[:, None]].astype("<u4").tobytes()
     return _BLOCK.pack(b"CMB1", n, lanes, int(count.sum()), vocabulary, zlib.crc32(ids), zlib.crc32(rest)) + rest
 
 
@@ -190,7 +198,7 @@ def decode_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     mark, n, lanes, number, vocabulary, crc, crc_rest = _BLOCK.unpack_from(raw, at)
     begin = at + _BLOCK.size
     stop = begin + 2 * lanes + 4 * number
-    if mark != b"CMB1" or n > BLOCK_IDS or lanes != -(-n // STEPS) or stop > len(raw) or zlib.crc32(raw[begin:stop]) != crc_rest:
+    if mark != b"CMB1" or n > BLOCK_IDS or not 0 < vocabulary <= 1 << 21 or lanes != -(-n // STEPS) or stop > len(raw) or zlib.crc32(raw[begin:stop]) != crc_rest:
         raise Damaged("block damaged")
     count = np.frombuffer(raw, "<u2", lanes, begin).astype(np.int64)
     if int(count.sum()) != number:
@@ -201,42 +209,46 @@ def decode_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
 
     def following(of: np.ndarray) -> np.ndarray:
         """The next word of these lanes; zeros follow a lane's last word."""
-        found = words[np.where(place[of] < ends[of], place[of], number)]
-        place[of] += 1
-        return found
+        at = place.take(of)
+        place[of] = at + 1
+        return words.take(np.where(at < ends.take(of), at, number))
 
-    every = np.arange(lanes)
-    inside = following(every) << _WORD | following(every)
+    every = np.arange(lanes, dtype=np.uint64)
+    inside = following(every.view(np.int64)) << _WORD | following(every.view(np.int64))
     width = np.full(lanes, 2**64 - 1, np.uint64)
-    table = np.zeros((STEPS, lanes), np.int64)
-    nothing = np.zeros(lanes, np.int64)
+    table = np.zeros((STEPS, lanes), "<u4")
+    last = before = np.zeros(lanes, np.int64)
     model = _Mixer(vocabulary)
     _, short = _lanes(n) if n else (0, 0)
     for t in range(STEPS if n else 0):
         use = lanes if t < short else lanes - 1
         if not use:
             break
-        model.predict(table[t - 1, :use] if t else nothing[:use], table[t - 2, :use] if t > 1 else nothing[:use])
+        model.predict(last[:use], before[:use])
         unit = width[:use] >> np.uint64(TOTAL)
         part = np.minimum(inside[:use] // unit, np.uint64((1 << TOTAL) - 1))
         hit2 = part < model.to2
-        now = np.where(hit2, model.id2, model.id1)
+        now = np.where(hit2, model.id2, model.id1).astype(np.int64)
         begin, end = model.interval(hit2)
         new = np.flatnonzero(part >= model.to1)
-        over = model.to1[new]
+        over = model.to1.take(new)
         rest = np.uint64(1 << TOTAL) - over
-        coarse = (((part[new] - over + _ONE) << np.uint64(COARSE)) - _ONE) // rest
-        found = np.searchsorted(model.search, coarse.astype(np.uint32), "right") - 1
+        coarse = (((part.take(new) - over + _ONE) << np.uint64(COARSE)) - _ONE) // rest
+        # In the order of what is searched, for which one way through the frequencies does.
+        coarse = np.sort(coarse << _WORD | new.astype(np.uint64))
+        new = (coarse & _LOW).view(np.int64)
+        found = np.searchsorted(model.cumulative, (coarse >> _WORD).astype(np.uint32), "right") - 1
         now[new] = found
         begin[new], end[new] = model.rest(new, found)
         inside[:use] -= unit * begin
         width[:use] = unit * (end - begin)
         out = np.flatnonzero(width[:use] <= _LOW)
-        inside[out] = inside[out] << _WORD | following(out)
+        inside[out] = inside.take(out) << _WORD | following(out)
         width[out] <<= _WORD
         table[t, :use] = now
         model.learn(now)
-    ids = table.T.reshape(-1)[:n].astype("<u4")
+        last, before = now, last
+    ids = table.T.reshape(-1)[:n]
     if zlib.crc32(ids) != crc:
         raise Damaged("ids differ from what was written")
     return ids, stop
@@ -266,6 +278,8 @@ def decode_groups(raw: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np
             raise Damaged("group damaged")
         table = zlib.decompress(raw[at : at + size])
         at += size
+        if len(table) != 17 * rows:
+            raise Damaged("group damaged")
         known = np.frombuffer(table, "u1", rows)
         names = np.frombuffer(table, "<i8", rows, rows).tolist()
         sizes = np.frombuffer(table, "<u8", rows, 9 * rows).astype(np.int64)

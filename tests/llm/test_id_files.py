@@ -47,6 +47,24 @@ def test_predictions_of_each_order_make_blocks_smaller():
     assert bits["flat"] < 6.3 and bits["0"] < 4 and bits["1"] < 2 and bits["2"] < 2
 
 
+def test_format_stays_and_tables_are_small():
+    draw = np.random.default_rng(5)
+    ids = np.minimum(draw.geometric(0.002, 90_000), 50_000)
+    ids[30_000:60_000] = ids[:30_000]
+    assert zlib.crc32(id_coder.encode_block(ids)) == 3339143336
+    # Contexts are looked up at random: what they take decides the time.
+    model = id_coder._Mixer(50_000)
+    assert model.first.nbytes + model.second.nbytes <= 4 * (50_000 + (1 << id_coder.SLOTS))
+
+
+def test_number_of_rows_is_checked():
+    raw = bytearray(id_coder.encode_group([1, 2], [np.arange(3), np.arange(4)]) + id_coder.END)
+    for rows in (0, 1, 3, 100):
+        raw[4:8] = rows.to_bytes(4, "little")
+        with pytest.raises(id_coder.Damaged):
+            list(id_coder.decode_groups(bytes(raw)))
+
+
 def test_carries_go_through_words():
     # Intervals at the very end of the range push `low` towards overflow.
     ids = np.full(3000, 9)
