@@ -67,31 +67,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 
 
 def _prefix(keyed: DataFrame, goal: DataFrame) -> DataFrame:
-    """`goal` (need) with upto and have: the last place in the seeded order up to which the rows of
-    `keyed` (size, place) stay within the need, -1 if none, and their words."""
+    """`goal` (need) with upto, have and next: the last place in the seeded order up to which the rows of
+    `keyed` (size, place) stay within the need, -1 if none, their words, and the first place there is."""
     key = ["_source", "_none"]
     names = goal.columns
     part = F.shiftright("place", 48)
-    parts = keyed.groupBy(*key, part.alias("part")).agg(F.sum("size").alias("size"), F.max("place").alias("last"))
+    parts = keyed.groupBy(*key, part.alias("part")).agg(F.sum("size").alias("size"), F.max("place").alias("last"), F.min("place").alias("next"))
     along = Window.partitionBy(*key).orderBy("part")
     parts = parts.withColumn("upto", F.sum("size").over(along)).join(goal.select(*key, "need"), key)
     # Parts wholly within the need, and the one after them.
-    full = parts.filter("upto <= need").groupBy(*key).agg(F.max("part").alias("full"), F.max("upto").alias("have"), F.max("last").alias("last"))
-    goal = written(goal.join(full, key, "left"), "mix-full")
-    crossing = parts.filter("upto > need").groupBy(*key).agg(F.min("part").alias("part"))
-    inner = keyed.withColumn("part", part).join(written(crossing, "mix-crossing"), [*key, "part"])
-    inner = inner.join(goal.select(*key, "need", "have"), key)
+    full = F.col("upto") <= F.col("need")
+    ends = parts.groupBy(*key).agg(
+        F.max(F.when(full, F.col("upto"))).alias("have"),
+        F.max(F.when(full, F.col("last"))).alias("last"),
+        F.min(F.when(~full, F.col("part"))).alias("part"),
+        F.min("next").alias("next"),
+    )
+    goal = written(goal.join(ends, key, "left"), "mix-parts")
+    inner = keyed.withColumn("part", part).join(goal.select(*key, "part", "need", "have"), [*key, "part"])
     reached = F.coalesce("have", F.lit(0)) + F.sum("size").over(
         Window.partitionBy(*key).orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
     )
     inner = inner.withColumn("reached", reached).filter("reached <= need")
     inner = inner.groupBy(*key).agg(F.max("place").alias("inner"), F.max("reached").alias("inner_have"))
-    goal = goal.join(inner, key, "left").select(
+    return goal.join(inner, key, "left").select(
         *names,
         F.coalesce("inner", "last", F.lit(-1)).alias("upto"),
         F.coalesce("inner_have", "have", F.lit(0)).alias("have"),
+        "next",
     )
-    return written(goal, "mix-upto")
 
 
 def _rounds(keyed: DataFrame, goal: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def _rounds(keyed: DataFrame, goal: DataFrame) -> DataFrame:
         left = keyed.join(goal.select(*key, "need", "after"), key)
         left = left.filter((F.col("place") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
         left = left.select(*keyed.columns)
-        found = _prefix(left, goal).join(left.groupBy(*key).agg(F.min("place").alias("next")), key, "left")
+        found = _prefix(left, goal)
         taken = F.struct("after", "upto", F.col("need").alias("most"))
         # Rows that share a place may be too large only together; then the next round passes them over.
         goal = written(
@@ -136,7 +140,7 @@ def decisions(sizes: DataFrame, weights: tuple[int, ...], most: int, further: bo
     goal = targets(sizes, weights, most)
     goal = goal.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = _prefix(keyed, written(goal, "mix-goal"))
+    goal = written(_prefix(keyed, written(goal, "mix-goal")).drop("next"), "mix-upto")
     if further:
         return _rounds(keyed, goal)
     left = keyed.join(goal, key).filter((F.col("place") > F.col("upto")) & (F.col("size") > 0) & (F.col("have") + F.col("size") <= F.col("need")))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,9 +154,9 @@ def _chosen(counts: DataFrame, texts: int, toxic: int, features: int, least: int
     return np.array([r["feature"] for r in rows], np.int64).view(np.uint64)
 
 
-def _training_rows(sample: DataFrame, chosen: np.ndarray) -> list:
+def _training_rows(sample: DataFrame, chosen: np.ndarray) -> pa.Table:
     """toxic, indexes of the text's features, and those of the text with identity terms exchanged
-    (null where it mentions none)."""
+    (null where it mentions none). In Arrow's columns they take a tenth of the memory of rows."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, swaps = textbytes.HashTable(chosen), _swaps()
@@ -182,21 +183,22 @@ def _training_rows(sample: DataFrame, chosen: np.ndarray) -> list:
                 ["toxic", "features", "swapped"],
             )
 
-    return sample.select("text", "toxic").mapInArrow(indexed, "toxic int, features array<int>, swapped array<int>").collect()
+    return sample.select("text", "toxic").mapInArrow(indexed, "toxic int, features array<int>, swapped array<int>").toArrow()
 
 
-def _sparse(rows: list, size: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) for x in rows], np.int64)
-    return np.repeat(np.arange(len(rows)), lengths), np.array([k for x in rows for k in x], np.int64)
+def _sparse(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element) of all elements of a column without nulls."""
+    lengths = pc.list_value_length(lists).to_numpy()
+    return np.repeat(np.arange(len(lists)), lengths), pc.list_flatten(lists).to_numpy().astype(np.int64)
 
 
-def _descend(rows: list, size: int, ridge: float, fairness: float, rounds: int) -> tuple[np.ndarray, float]:
+def _descend(rows: pa.Table, size: int, ridge: float, fairness: float, rounds: int) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent on the whole (bounded) training set."""
-    y = np.array([r["toxic"] for r in rows], float)
-    row, col = _sparse([r["features"] for r in rows], size)
-    pairs = [r for r in rows if r["swapped"] is not None]
-    left, left_col = _sparse([r["features"] for r in pairs], size)
-    right, right_col = _sparse([r["swapped"] for r in pairs], size)
+    y = rows["toxic"].to_numpy().astype(float)
+    row, col = _sparse(rows["features"])
+    pairs = rows.filter(pc.is_valid(rows["swapped"]))
+    left, left_col = _sparse(pairs["features"])
+    right, right_col = _sparse(pairs["swapped"])
     n, m = len(rows), len(pairs)
     step = np.ones(size)
     weights, intercept = np.zeros(size), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))

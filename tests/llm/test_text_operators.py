@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from comarca.llm import chat, jaccard_join, language, line_dedup, mixing, packing, quality, queries, textbytes, token_counts, toxicity
 from comarca.llm.components import components
+from comarca.llm.lineage import cut, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\nb", "\n a \n", None, "a▁b ▁ c", "<s> </s>", "a <|endoftext|> b", "a   b",
@@ -231,6 +232,43 @@ def test_mixing_fills_to_the_caps(spark):
     assert mixing.mixed(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_components_stop_where_every_node_hangs_on_a_root(spark, monkeypatch):
+    """The driver plans and keeps as little as there is to do: no round only to see that nothing changes."""
+    from comarca.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "cut", lambda df: (rounds.append(1), cut(df))[1])
+    stars = [((1, "a"), (5, "a")), ((6, "b"), (1, "a")), ((2, "x"), (9, "")), ((2, "x"), (9, "")), ((3, "s"), (3, "s")), (None, (4, "z"))]
+    kind = "struct<doc_id:bigint,row:string>"
+    found = components(spark.createDataFrame(stars, f"a {kind}, b {kind}"), "a", "b")
+    assert sorted((r.node.doc_id, r.component.doc_id) for r in found.collect()) == [(5, 1), (6, 1), (9, 2)] and len(rounds) == 1
+    rounds.clear()
+    found = components(spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "a bigint, b bigint"), "a", "b")
+    assert sorted(map(tuple, found.collect())) == [(2, 1), (3, 1), (4, 1)] and len(rounds) >= 2
+
+
+def test_a_round_of_the_mix_writes_twice(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(mixing, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    rows = [(i, "w " * (40 if i == 0 else 3 + (i * 7) % 11), "a" if i < 60 else "b") for i in range(120)]
+    mixing.mixed(documents(spark, rows), further=True).collect()
+    rounds = names.count("mix-round")
+    assert rounds >= 2 and len(names) == 3 + 2 * rounds
+
+
+def test_training_rows_stay_in_columns(spark):
+    """What the driver learns from: Arrow's columns, not objects of Python."""
+    chosen = np.array(sorted(int(toxicity._of_text(w)[0]) for w in ("men", "women", "vile")), np.uint64)
+    at = {w: int(np.searchsorted(chosen, toxicity._of_text(w)[0])) for w in ("men", "women", "vile")}
+
+    rows = toxicity._training_rows(spark.createDataFrame([("vile men", 1), ("nothing", 0), ("vile", 1)], "text string, toxic int"), chosen)
+    assert isinstance(rows, pa.Table)
+    found = sorted(zip(*(rows[c].to_pylist() for c in ("toxic", "features", "swapped")), strict=True), key=str)
+    assert found == [(0, [], None), (1, [at["vile"]], None), (1, sorted([at["vile"], at["men"]]), sorted([at["vile"], at["women"]]))]
+    row, col = toxicity._sparse(rows["features"])
+    assert len(row) == len(col) == 3 and np.bincount(row, minlength=3).tolist() == [len(x) for x in rows["features"].to_pylist()]
+
+
 def test_mixing_takes_every_later_document_that_fits(spark):
     """Sources with one document of a tenth to a half of their words, against taking one by one."""
     import hashlib
