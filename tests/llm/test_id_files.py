@@ -129,6 +129,24 @@ def test_many_groups_and_files(spark, tmp_path, monkeypatch):
     assert len(list(Path(f"{tmp_path}/a").glob("part-*"))) >= 4
 
 
+def test_groups_take_no_more_blocks_than_they_must(spark, monkeypatch):
+    monkeypatch.setattr(id_files, "BLOCK_IDS", 100)
+    # Words of one id each; the end id makes them 1, 31, 41, ... ids.
+    for words, groups in (
+        ([30] * 10, [93, 93, 93, 31]),
+        ([99, 99], [100, 100]),
+        ([0] * 250, [100, 100, 50]),
+        ([9, 140, 60, 60], [151, 61, 61]),
+        ([59, 149, 59], [60, 150, 60]),
+        ([320, 9], [321, 10]),
+    ):
+        docs = spark.createDataFrame([(k, " the" * n) for k, n in enumerate(words)], "doc_id bigint, text string")
+        found = id_files.encoded(docs.coalesce(1).sortWithinPartitions("doc_id"), queries.byte_vocabulary()).collect()
+        decoded = [next(id_coder.decode_groups(bytes(r.payload) + id_coder.END)) for r in found]
+        assert [int(sizes.sum()) for _, sizes, _ in decoded] == groups
+        assert [n for names, _, _ in decoded for n in names] == list(range(len(words)))
+
+
 def test_query_reads_back_what_the_library_gives(spark):
     rows = sorted(map(tuple, spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()))
     found = queries.op11_id_files(spark, FOLDER).collect()
