@@ -140,10 +140,10 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = end
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) for each slice of a column."""
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) for each slice of a column, of about `most` bytes."""
     data, offsets = text_column(column)
-    for first, end in slices(offsets):
+    for first, end in slices(offsets, most):
         at = offsets[first : end + 1]
         yield first, end, data[at[0] : at[-1]], at - at[0]
 

@@ -511,3 +511,20 @@ def test_extra_columns_may_have_any_name(spark):
     assert {r.doc_id: r.n_removed for r in lines} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
     assert all(r["_row"] == f"_row-{r.doc_id}" and r["_gone"] == f"_gone-{r.doc_id}" and r["_others"] == f"_others-{r.doc_id}" for r in lines)
     assert [f for f in lines[0].asDict() if f in ("n_lines", "n_removed")] == ["n_lines", "n_removed"]
+
+
+def test_new_chunks_are_encoded_together(monkeypatch):
+    vocabulary = queries.byte_vocabulary()
+    model, encode, odd, widths = packing._model(vocabulary)
+    calls = []
+    counted = lambda text: calls.append(text) or encode(text)
+    monkeypatch.setitem(packing._models, vocabulary.whole, (model, counted, odd, widths))
+    monkeypatch.setitem(packing._known, vocabulary.whole, {})
+    texts = [" ".join(f"w{k}x{k * k}é" for k in range(3000)), "a  b\n\nc\td 12's !!  ", " \x00z ǘ 日本 's", "", None, "x   y 　z"]
+    found = [x.tolist() for x in packing.token_ids(pa.array(texts), vocabulary)]
+    assert found == [model.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(calls) < 30
+    # Invalid UTF-8 and other white space between chunks: the same as each chunk alone.
+    for names in ([b" a\xff", b" b"], [b" a\xc2\xa0", b" \xc2\xa0x", b" b"], [b" \xe6\x97", b" c"], [b" ", b"  ", b"x", b" x"], []):
+        alone = [np.array(encode(x.decode("utf-8", "replace")), "<u4").tobytes() for x in names]
+        assert packing._chunk_ids(names, encode, widths) == alone
