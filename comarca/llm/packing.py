@@ -12,9 +12,9 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from comarca.llm import textbytes
 from comarca.llm.lineage import cut
 
-#: Distinct chunks whose ids a worker remembers; it starts anew beyond (bounds memory only).
-REMEMBERED = 600_000
+#: Bytes of the distinct chunks whose ids a worker remembers; it starts anew beyond (bounds memory only). Looking
+#: a slice's chunks up takes time for all that are remembered, so more of them don't save time.
+REMEMBERED = 1 << 21
 #: Bytes of a slice: larger ones look up fewer distinct chunks in all.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 22
 #: White space beyond ASCII, which the tokenizer's pattern joins with white space around it.
 OTHER_WHITE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_known: dict[str, dict[bytes, bytes]] = {}
+#: For each vocabulary the remembered chunks, their ids one behind the other, and the number of ids of each.
+_known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray] | None] = {}
 _models: dict[str, tuple] = {}
 
 
@@ -71,30 +73,66 @@ def _model(vocabulary: Vocabulary) -> tuple:
     return _models[vocabulary.whole]
 
 
-def _chunk_ids(names: list[bytes], encode, widths: np.ndarray) -> list[bytes]:
-    """Ids of each chunk.
+def _bytes_of(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a large binary column without nulls and the offsets of its rows."""
+    _, offsets, data = names.buffers()
+    at = np.frombuffer(offsets, np.int64)[names.offset : names.offset + len(names) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _encoded(names: pa.Array, encode, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks (a large binary column), one behind the other, and the number of ids of each.
 
     Chunks of a space and a word are encoded as one text, which takes less than half the time: each
     begins with the space of its own, so the pattern parts them as the chunks are. Their ids are told apart
     by the bytes they stand for. Should an end not fall on the end of an id (only invalid UTF-8, or other
     white space in texts that are encoded whole), each chunk is encoded alone, like all other chunks."""
-    found: list[bytes] = [b""] * len(names)
-    alone = range(len(names))
-    spaced = [i for i, x in enumerate(names) if len(x) > 1 and x[0] == 32 and not textbytes.WHITE[x[1]]]
-    if spaced:
-        parts = [names[i] for i in spaced]
-        ids = np.array(encode(b"".join(parts).decode("utf-8", "replace")), "<u4")
-        upto, ends = np.cumsum(widths[ids]), np.cumsum(list(map(len, parts)))
+    counts = np.zeros(len(names), np.int64)
+    if not len(names):
+        return np.zeros(0, "<u4"), counts
+    data, offsets = _bytes_of(names)
+    spaced = np.diff(offsets) > 1
+    begins = offsets[:-1][spaced]
+    spaced[spaced] = (data[begins] == 32) & ~textbytes.WHITE[data[begins + 1]]
+    ids = np.zeros(0, "<u4")
+    if spaced.any():
+        text, offsets = _bytes_of(names.filter(pa.array(spaced)))
+        ids, ends = np.array(encode(text.tobytes().decode("utf-8", "replace")), "<u4"), offsets[1:]
+        upto = np.cumsum(widths[ids])
         last = np.searchsorted(upto, ends)
         if upto[-1] == ends[-1] and (upto[last] == ends).all():
-            raw, begin = ids.tobytes(), 0
-            for i, end in zip(spaced, (4 * (last + 1)).tolist(), strict=True):
-                found[i] = raw[begin:end]
-                begin = end
-            alone = sorted(set(alone).difference(spaced))
-    for i in alone:
-        found[i] = array("I", encode(names[i].decode("utf-8", "replace"))).tobytes()
-    return found
+            counts[spaced] = np.diff(last, prepend=-1)
+        else:
+            spaced[:], ids = False, ids[:0]
+    alone = [encode(x.decode("utf-8", "replace")) for x in names.filter(pa.array(~spaced)).to_pylist()]
+    counts[~spaced] = list(map(len, alone))
+    flat, together = np.empty(counts.sum(), "<u4"), np.repeat(spaced, counts)
+    flat[together] = ids
+    flat[~together] = np.fromiter(chain.from_iterable(alone), "<u4")
+    return flat, counts
+
+
+def _chunk_ids(names: list[bytes], encode, widths: np.ndarray) -> list[bytes]:
+    """`_encoded` for a list: the ids of each chunk."""
+    flat, counts = _encoded(pa.array(names, pa.large_binary()), encode, widths)
+    return [flat[end - n : end].tobytes() for n, end in zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)]
+
+
+def _looked_up(names: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begins, counts): the ids of distinct chunks are `counts` many from `begins` on; those of
+    chunks that the worker remembers are not encoded again."""
+    _, encode, _, widths = _model(vocabulary)
+    known, ids, counts = _known.get(vocabulary.whole) or (names[:0], np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    place = pc.fill_null(pc.index_in(names, value_set=known), -1).to_numpy().astype(np.int64)
+    missing = place < 0
+    new = names.filter(pa.array(missing))
+    new_ids, new_counts = _encoded(new, encode, widths)
+    place[missing] = len(known) + np.arange(len(new))
+    both = pa.concat_arrays([known, new])
+    ids, counts = np.concatenate([ids, new_ids]), np.concatenate([counts, new_counts])
+    kept = [(both, ids, counts), (new, new_ids, new_counts), None]
+    _known[vocabulary.whole] = next(x for x in kept if x is None or len(_bytes_of(x[0])[0]) <= REMEMBERED)
+    return ids, (np.cumsum(counts) - counts)[place], counts[place]
 
 
 def token_ids(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[np.ndarray]:
@@ -104,32 +142,22 @@ def token_ids(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[np.ndarray]:
     character in front of it, so a text is encoded chunk by chunk, each distinct chunk once.
     Texts with other white space or with special strings are encoded whole.
     """
-    model, encode, odd, widths = _model(vocabulary)
-    known = _known.setdefault(vocabulary.whole, {})
+    model, _, odd, _ = _model(vocabulary)
     whole = pc.fill_null(pc.match_substring_regex(texts, odd), False).to_numpy(zero_copy_only=False)
     for first, end, data, offsets in textbytes.text_slices(texts, SLICE_BYTES):
         rows_here = end - first
         if not len(data):
             yield from (np.zeros(0, "<u4") for _ in range(rows_here))
             continue
-        starts, ends, rows = textbytes.chunks(data, offsets)
-        where, back = textbytes.Hasher(data).groups(starts, ends)
-        raw = data.tobytes()
-        names = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        ids = list(map(known.get, names))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-        for i, x in zip(missing, _chunk_ids([names[i] for i in missing], encode, widths), strict=True):
-            ids[i] = x
-            if len(x) <= 256:
-                known[names[i]] = x
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(sizes) - sizes
+        starts, _, rows = textbytes.chunks(data, offsets)
+        # Chunks cover the slice gaplessly, so their starts are the offsets of a column.
+        ends = pa.py_buffer(np.append(starts, len(data)))
+        distinct = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+        back = distinct.indices.to_numpy()
+        flat, begins, sizes = _looked_up(distinct.dictionary, vocabulary)
         each = sizes[back]
         upto = np.cumsum(each)
-        place = np.repeat(begin[back] - (upto - each), each) + np.arange(upto[-1])
+        place = np.repeat(begins[back] - (upto - each), each) + np.arange(upto[-1])
         out = flat[place]
         edge = np.append(0, np.cumsum(np.bincount(rows, each, rows_here).astype(np.int64)))
         for row in range(rows_here):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -528,3 +529,22 @@ def test_new_chunks_are_encoded_together(monkeypatch):
     for names in ([b" a\xff", b" b"], [b" a\xc2\xa0", b" \xc2\xa0x", b" b"], [b" \xe6\x97", b" c"], [b" ", b"  ", b"x", b" x"], []):
         alone = [np.array(encode(x.decode("utf-8", "replace")), "<u4").tobytes() for x in names]
         assert packing._chunk_ids(names, encode, widths) == alone
+
+
+def test_chunks_are_handled_as_columns(monkeypatch):
+    vocabulary = queries.byte_vocabulary()
+    monkeypatch.setitem(packing._known, vocabulary.whole, {})
+    monkeypatch.setattr(packing, "SLICE_BYTES", 3000)
+    model = packing._model(vocabulary)[0]
+    rows = [" ".join(f"w{k % 900}x{k}é" if k % 3 else f"the{k % 7}" for k in range(j, j + 60)) for j in range(0, 20_000, 60)]
+    texts = pa.array([*rows, "", None, "b\n\nc\td  ", "x" * 9000, " " + "y" * 9000, *rows[::-1]])
+    # Repeated slices, slices of one long chunk, and a memory that is full now and then or all the time.
+    expected = [model.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+    for most in (50_000, 4000, 0):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        assert [x.tolist() for x in packing.token_ids(texts, vocabulary)] == expected
+    # What a worker remembers are a few columns, not objects for each chunk.
+    monkeypatch.setattr(packing, "REMEMBERED", 10_000_000)
+    before = sys.getallocatedblocks()
+    assert sum(1 for _ in packing.token_ids(texts, vocabulary)) == len(texts)
+    assert sys.getallocatedblocks() - before < 2000
